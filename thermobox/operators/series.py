@@ -190,24 +190,28 @@ def quantiles(series: Series, probabilities: Sequence[float]) -> DataFrame:
 
 
 def is_regular(times: DataFrame, key: str = "time") -> DataFrame:
-    """One row: n_times, off_grid, regular.
+    """One row: n_times, off_grid, regular. `times` is a per-time table.
 
     n distinct times are evenly spaced exactly when each lies a whole number of mean steps
     after the first, so no ordering is needed. Two or fewer times are regular.
     """
     numeric = _is_numeric(times, key)
     distinct = times.select(key).where(F.col(key).isNotNull()).distinct()
-    bounds = distinct.agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count(key).alias("n_times"))
-    first, last, count = F.col("first"), F.col("last"), F.col("n_times")
-
-    def ticks(a: Column, b: Column) -> Column:
-        return b - a if numeric else F.timestamp_diff("MICROSECOND", a, b)
-
-    # offset * (n - 1) must be a whole multiple of the full span.
-    span, offset = ticks(first, last), ticks(first, F.col(key))
-    off = F.when(count > 2, ((offset * (count - 1)) % span != 0).cast("long")).otherwise(F.lit(0).cast("long"))
+    bounds = distinct.agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count(key).alias("n"))
+    whole = bounds.select(F.struct("first", "last", "n")).scalar()
+    first, last, count = F.col("whole.first"), F.col("whole.last"), F.col("whole.n")
+    if numeric:
+        steps = F.try_divide((F.col(key) - first) * (count - 1), last - first)
+        off = F.abs(steps - F.round(steps)) > 1e-9
+    else:
+        span = F.timestamp_diff("MICROSECOND", first, last)
+        step = F.floor(F.try_divide(span, count - 1))
+        off = (F.try_mod(span, count - 1) != 0) | (
+            F.try_mod(F.timestamp_diff("MICROSECOND", first, F.col(key)), step) != 0
+        )
+    judged = F.when(count > 2, off).otherwise(F.lit(False))
     return (
-        distinct.join(F.broadcast(bounds), F.lit(True))
-        .agg(F.max("n_times").alias("n_times"), F.sum(off).alias("off_grid"))
+        distinct.withColumn("whole", whole)
+        .agg(F.count(key).alias("n_times"), F.coalesce(F.count_if(judged), F.lit(0)).alias("off_grid"))
         .withColumn("regular", F.col("off_grid") == 0)
     )
