@@ -7,7 +7,7 @@ limited by AXIS_LIMIT; a source with more distinct coordinates is refused.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -15,43 +15,41 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from thermobox.functions.columns import cell_area
-from thermobox.sources.state import GridState
+from thermobox.sources.state import GridState, grid_key
 from thermobox.specs import EARTH_RADIUS, BoxRequest, BoxSpec
 
 AXIS_LIMIT = 200_000
 
 
 def coordinate_axes(upper: DataFrame) -> DataFrame:
-    """Distinct coordinates as (axis, value), in one scan of the three key columns."""
-    stacked = upper.select(
-        F.expr(
-            "stack(3, 'level', cast(level AS double), 'lat', cast(lat AS double),"
-            " 'lon', cast(lon AS double)) AS (axis, value)"
-        )
-    )
-    return stacked.where(F.col("value").isNotNull()).distinct()
+    """Distinct coordinates as (axis, value). Each branch scans one key column."""
+    branches = [
+        upper.selectExpr(f"cast({axis} AS double) AS value")
+        .where("value IS NOT NULL")
+        .distinct()
+        .selectExpr(f"'{axis}' AS axis", "value")
+        for axis in ("level", "lat", "lon")
+    ]
+    return branches[0].unionByName(branches[1]).unionByName(branches[2])
 
 
 def measure_axes(axes: DataFrame, request: BoxRequest | None = None) -> DataFrame:
-    """Give each coordinate its index, edges, middle and angular widths.
+    """Give each coordinate its index, key, edges, middle and angular widths.
 
-    Levels are centres ordered downwards in index from the highest pressure: inner
-    edges lie halfway, the two outer ones half a step outside. Latitudes and
-    longitudes are cell starts: a cell reaches to the next start, so the last start
-    has no cell (its `upper_edge` is NULL). `covered` marks the cells the box touches.
+    Levels are centres, counted from the highest pressure: inner edges lie halfway, the
+    two outer ones half a step outside. Latitudes and longitudes are cell starts: a cell
+    reaches to the next start, so the last start has no cell (its `upper_edge` is NULL).
+    `covered` marks the cells the requested box touches.
     """
-    level = F.col("axis") == "level"
-    value, before, after = F.col("value"), F.col("before"), F.col("after")
-    along = Window.partitionBy("axis").orderBy(F.when(level, -value).otherwise(value))
-    half = F.lit(0.5)
-    lower_edge = F.when(
-        level, F.coalesce(half * (before + value), value - half * (after - value))
-    ).otherwise(value)
-    upper_edge = F.when(
-        level, F.coalesce(half * (value + after), value + half * (value - before))
-    ).otherwise(after)
-    lo, hi = F.col("lower_edge"), F.col("upper_edge")
-    measured = (
+    covered = "cast(NULL AS boolean)"
+    if request is not None:
+        lat0, lat1, lon0, lon1 = (float(edge) for edge in request.bbox)
+        covered = (
+            f"CASE axis WHEN 'lat' THEN upper_edge > {lat0}D AND lower_edge < {lat1}D"
+            f" WHEN 'lon' THEN upper_edge > {lon0}D AND lower_edge < {lon1}D ELSE true END"
+        )
+    along = Window.partitionBy("axis").orderBy(F.expr("if(axis = 'level', -value, value)"))
+    return (
         axes.limit(AXIS_LIMIT + 1)
         .select(
             "axis",
@@ -60,41 +58,38 @@ def measure_axes(axes: DataFrame, request: BoxRequest | None = None) -> DataFram
             F.lag("value").over(along).alias("before"),
             F.lead("value").over(along).alias("after"),
         )
-        .select("axis", "value", "id", lower_edge.alias("lower_edge"), upper_edge.alias("upper_edge"))
-        .withColumn("middle", F.when(level, value).otherwise(half * (lo + hi)))
-        .withColumn("width", F.abs(hi - lo))
-        .withColumn("radians", F.when(~level, F.abs(F.radians(hi) - F.radians(lo))))
-        .withColumn(
-            "d_sin",
-            F.when(F.col("axis") == "lat", F.abs(F.sin(F.radians(hi)) - F.sin(F.radians(lo)))),
+        .selectExpr(
+            "axis", "value", "id",
+            "floor(value * 1e6D + 0.5D) AS key",
+            "if(axis = 'level', coalesce(0.5D * (before + value), value - 0.5D * (after - value)), value) AS lower_edge",
+            "if(axis = 'level', coalesce(0.5D * (value + after), value + 0.5D * (value - before)), after) AS upper_edge",
+        )
+        .selectExpr(
+            "*",
+            "if(axis = 'level', value, 0.5D * (lower_edge + upper_edge)) AS middle",
+            "abs(upper_edge - lower_edge) AS width",
+            "if(axis = 'level', NULL, abs(radians(upper_edge) - radians(lower_edge))) AS radians",
+            "if(axis = 'lat', abs(sin(radians(upper_edge)) - sin(radians(lower_edge))), NULL) AS d_sin",
+            f"{covered} AS covered",
         )
-    )
-    return measured.withColumn("covered", _covered(request, lo, hi))
-
-
-def _covered(request: BoxRequest | None, lo: Column, hi: Column) -> Column:
-    if request is None:
-        return F.lit(None).cast("boolean")
-    lat0, lat1, lon0, lon1 = (float(edge) for edge in request.bbox)
-    axis = F.col("axis")
-    return (
-        F.when(axis == "lat", (hi > lat0) & (lo < lat1))
-        .when(axis == "lon", (hi > lon0) & (lo < lon1))
-        .otherwise(F.lit(True))
     )
 
 
 _LEVEL_SCHEMA = pa.schema(
-    [("level", pa.float64()), ("level_id", pa.int64())]
+    [("level", pa.float64()), ("level_key", pa.int64()), ("level_id", pa.int64())]
     + [(name, pa.float64()) for name in ("p_start", "p_end", "p_mid", "dp")]
 )
 _LAT_SCHEMA = pa.schema(
-    [("lat", pa.float64()), ("lat_id", pa.int64())]
+    [("lat", pa.float64()), ("lat_key", pa.int64()), ("lat_id", pa.int64())]
     + [(name, pa.float64()) for name in ("lat_start", "lat_end", "lat_mid", "d_phi", "d_sin")]
     + [("lat_in", pa.bool_())]
 )
+_PIECE_SCHEMA = pa.schema([
+    ("piece", pa.int64()), ("wall", pa.string()), ("along_id", pa.int64()), ("span", pa.float64()),
+    ("cells", pa.list_(pa.int64())),
+])
 _LON_SCHEMA = pa.schema(
-    [("lon", pa.float64()), ("lon_id", pa.int64())]
+    [("lon", pa.float64()), ("lon_key", pa.int64()), ("lon_id", pa.int64())]
     + [(name, pa.float64()) for name in ("lon_start", "lon_end", "lon_mid", "d_lon")]
     + [("lon_in", pa.bool_())]
 )
@@ -110,34 +105,46 @@ class Box:
     lons: DataFrame
     level_values: tuple[float, ...] = field(repr=False)
     layers: tuple[tuple[float, float, float], ...] = field(repr=False)
-    lat_values: tuple[float, ...] = field(repr=False)
-    lon_values: tuple[float, ...] = field(repr=False)
-    halo_edges: tuple[float, float, float, float]
-    first_lon_id: int
+    lat_points: tuple[Row, ...] = field(repr=False)
+    lon_points: tuple[Row, ...] = field(repr=False)
+
+    @property
+    def halo_edges(self) -> tuple[float, float, float, float]:
+        return (self.lat_points[0].lower_edge, self.lat_points[-1].upper_edge,
+                self.lon_points[0].lower_edge, self.lon_points[-1].upper_edge)
 
     @property
     def lowest_level(self) -> float:
         return self.level_values[0]
 
+    def _between(self, skip: int) -> Column:
+        bounds = [
+            F.col(axis).between(points[skip].value, points[-1 - skip].value)
+            for axis, points in (("lat", self.lat_points), ("lon", self.lon_points))
+        ]
+        return bounds[0] & bounds[1]
+
     def halo_filter(self) -> Column:
         """Literal ranges that reach the parquet scan."""
-        return F.col("lat").between(self.lat_values[0], self.lat_values[-1]) & F.col("lon").between(
-            self.lon_values[0], self.lon_values[-1]
-        )
+        return self._between(0)
 
     def domain_filter(self) -> Column:
-        return F.col("lat").between(self.lat_values[1], self.lat_values[-2]) & F.col("lon").between(
-            self.lon_values[1], self.lon_values[-2]
-        )
-
-    def astride(self, values: Sequence[float]) -> tuple[float, float, float, float]:
-        """Starts of the two cells on either side of the first wall, then of the last wall."""
-        return values[0], values[1], values[-2], values[-1]
+        return self._between(1)
 
     def ring_filter(self) -> Column:
-        """The cells next to a side wall, corners excluded later by the ring table."""
-        lats, lons = self.astride(self.lat_values), self.astride(self.lon_values)
-        return self.halo_filter() & (F.col("lat").isin(*lats) | F.col("lon").isin(*lons))
+        """The rows and columns of cells next to a side wall, as literals for the scan."""
+        near = [
+            F.col(axis).isin(*{points[i].value for i in (0, 1, -2, -1)})
+            for axis, points in (("lat", self.lat_points), ("lon", self.lon_points))
+        ]
+        return self.halo_filter() & (near[0] | near[1])
+
+    def attach(self, df: DataFrame, axis: str, *columns: str) -> DataFrame:
+        """Add columns of one dimension table to rows that have the coordinate."""
+        table = {"level": self.levels, "lat": self.lats, "lon": self.lons}[axis]
+        key = f"{axis}_key"
+        small = F.broadcast(table.select(key, *columns))
+        return df.withColumn(key, grid_key(axis)).join(small, key).drop(key)
 
     def crop(self, state: GridState) -> GridState:
         return state.restrict(self.halo_filter())
@@ -163,11 +170,12 @@ def _snap(cells: list[Row], margin: int) -> tuple[int, int]:
 def resolve_box(state: GridState, request: BoxRequest, axes: DataFrame | None = None) -> Box:
     """Snap the request to the grid. One small Spark job over the key columns.
 
-    Pass `axes` (axis, value) to skip that scan when the coordinates are known.
+    Known coordinates, given here or with the state, save that scan.
     """
     spark = state.upper.sparkSession
-    measured = measure_axes(coordinate_axes(state.upper) if axes is None else axes, request)
-    rows = measured.collect()
+    if axes is None:
+        axes = coordinate_axes(state.upper) if state.axes is None else state.axes
+    rows = measure_axes(axes, request).collect()
     if len(rows) > AXIS_LIMIT:
         raise ValueError(f"more than {AXIS_LIMIT} distinct coordinates: not a regular grid")
     by_axis = {name: sorted((r for r in rows if r.axis == name), key=lambda r: r.id)
@@ -176,6 +184,8 @@ def resolve_box(state: GridState, request: BoxRequest, axes: DataFrame | None =
     for name, points in by_axis.items():
         if len(points) < 2:
             raise ValueError(f"axis {name} needs at least two points")
+        if len({point.key for point in points}) < len(points):
+            raise ValueError(f"axis {name} has points closer than a millionth")
 
     m = request.margin
     lat_cells, lon_cells = lats[:-1], lons[:-1]
@@ -202,16 +212,16 @@ def resolve_box(state: GridState, request: BoxRequest, axes: DataFrame | None =
         bottom_pressure=float(request.bottom_pressure) if request.bottom_mode == "pressure_level" else None,
     )
     level_table = [
-        dict(level=r.value, level_id=r.id, p_start=r.lower_edge, p_end=r.upper_edge, p_mid=r.middle, dp=r.width)
+        dict(level=r.value, level_key=r.key, level_id=r.id, p_start=r.lower_edge, p_end=r.upper_edge, p_mid=r.middle, dp=r.width)
         for r in levels
     ]
     lat_table = [
-        dict(lat=r.value, lat_id=r.id, lat_start=r.lower_edge, lat_end=r.upper_edge, lat_mid=r.middle,
+        dict(lat=r.value, lat_key=r.key, lat_id=r.id, lat_start=r.lower_edge, lat_end=r.upper_edge, lat_mid=r.middle,
              d_phi=r.radians, d_sin=r.d_sin, lat_in=lat_first <= r.id <= lat_last)
         for r in halo_lats
     ]
     lon_table = [
-        dict(lon=r.value, lon_id=r.id, lon_start=r.lower_edge, lon_end=r.upper_edge, lon_mid=r.middle,
+        dict(lon=r.value, lon_key=r.key, lon_id=r.id, lon_start=r.lower_edge, lon_end=r.upper_edge, lon_mid=r.middle,
              d_lon=r.radians, lon_in=lon_first <= r.id <= lon_last)
         for r in halo_lons
     ]
@@ -222,11 +232,8 @@ def resolve_box(state: GridState, request: BoxRequest, axes: DataFrame | None =
         lons=_table(spark, lon_table, _LON_SCHEMA),
         level_values=tuple(level_values),
         layers=tuple((r.lower_edge, r.upper_edge, r.middle) for r in levels),
-        lat_values=tuple(r.value for r in halo_lats),
-        lon_values=tuple(r.value for r in halo_lons),
-        halo_edges=(halo_lats[0].lower_edge, halo_lats[-1].upper_edge,
-                    halo_lons[0].lower_edge, halo_lons[-1].upper_edge),
-        first_lon_id=halo_lons[0].id,
+        lat_points=tuple(halo_lats),
+        lon_points=tuple(halo_lons),
     )
 
 
@@ -248,7 +255,7 @@ def halo_cells(box: Box) -> DataFrame:
 
     Latitudes are paired with longitude ids by an equi-join, bounded by the axes.
     """
-    ids = F.explode(F.sequence(F.lit(box.first_lon_id), F.lit(box.first_lon_id + len(box.lon_values) - 1)))
+    ids = F.explode(F.sequence(F.lit(box.lon_points[0].id), F.lit(box.lon_points[-1].id)))
     return (
         box.lats.withColumn("lon_id", ids)
         .join(F.broadcast(box.lons), "lon_id")
@@ -277,44 +284,50 @@ def cell_volumes(box: Box) -> DataFrame:
     )
 
 
-def wall_ring(box: Box) -> DataFrame:
-    """The two cells astride each side wall, per position along the wall.
+def _zonal_factors(box: Box) -> tuple[float, float]:
+    """R cos(lat) of the south and north walls, at the outer edges of the halo.
 
-    Columns lat, lon (cell starts), wall, along_id, span (length of the wall piece, m).
-    Rows are at most 4 x the axis lengths. Only positions of the domain are kept, so
-    corners drop out. The south and north lengths use the cosine at the outer edge of
-    the halo, as the results to match do.
+    Not at the walls' own latitudes: the results to match are defined this way.
     """
-    lat_min, lat_max, _, _ = box.halo_edges
-
-    def pairs(values, low_wall, high_wall, low_factor, high_factor):
-        low_out, low_in, high_in, high_out = box.astride(values)
-        return F.explode(
-            F.array(*[
-                F.struct(F.lit(wall).alias("wall"), F.lit(start).alias("across"), factor.alias("factor"))
-                for wall, start, factor in (
-                    (low_wall, low_out, low_factor), (low_wall, low_in, low_factor),
-                    (high_wall, high_in, high_factor), (high_wall, high_out, high_factor),
-                )
-            ])
-        )
+    south, north, _, _ = box.halo_edges
+    return EARTH_RADIUS * math.cos(math.radians(south)), EARTH_RADIUS * math.cos(math.radians(north))
 
-    radius = F.lit(EARTH_RADIUS)
-    south = radius * F.cos(F.radians(F.lit(lat_min)))
-    north = radius * F.cos(F.radians(F.lit(lat_max)))
-    meridional = (
-        box.lats.where("lat_in")
-        .select("lat", "lat_id", "d_phi", pairs(box.lon_values, "west", "east", radius, radius).alias("side"))
-        .select("lat", F.col("side.across").alias("lon"), "side.wall",
-                F.col("lat_id").alias("along_id"), (F.col("side.factor") * F.col("d_phi")).alias("span"))
-    )
-    zonal = (
-        box.lons.where("lon_in")
-        .select("lon", "lon_id", "d_lon", pairs(box.lat_values, "south", "north", south, north).alias("side"))
-        .select(F.col("side.across").alias("lat"), "lon", "side.wall",
-                F.col("lon_id").alias("along_id"), (F.col("side.factor") * F.col("d_lon")).alias("span"))
+
+def wall_pieces(box: Box) -> DataFrame:
+    """Pieces of the four side walls at positions of the domain: piece, wall, along_id, span (m).
+
+    `cells` holds the keys of the two cells astride. At most 2 x the axis lengths.
+    """
+    south, north = _zonal_factors(box)
+    lats, lons = box.lat_points, box.lon_points
+    walls = (
+        ("west", EARTH_RADIUS, lats, lons[:2]),
+        ("east", EARTH_RADIUS, lats, lons[-2:]),
+        ("south", south, lons, lats[:2]),
+        ("north", north, lons, lats[-2:]),
     )
-    return meridional.unionByName(zonal)
+    pieces = []
+    for wall, factor, positions, astride in walls:
+        for point in positions[1:-1]:
+            pairs = [(point, cell) if positions is lats else (cell, point) for cell in astride]
+            pieces.append(dict(
+                piece=len(pieces), wall=wall, along_id=point.id, span=factor * point.radians,
+                cells=[lat.key * CELL_KEY_BASE + lon.key for lat, lon in pairs],
+            ))
+    return _table(box.lats.sparkSession, pieces, _PIECE_SCHEMA)
+
+
+CELL_KEY_BASE = 1 << 32
+
+
+def cell_key() -> Column:
+    """lat and lon of a row in one integer, as in the `cells` of wall_pieces."""
+    return grid_key("lat") * F.lit(CELL_KEY_BASE) + grid_key("lon")
+
+
+def wall_cells(pieces: DataFrame) -> DataFrame:
+    """cell_key -> piece, two rows per piece."""
+    return pieces.select(F.explode("cells").alias("cell_key"), "piece")
 
 
 def wall_areas(box: Box) -> DataFrame:
@@ -323,29 +336,17 @@ def wall_areas(box: Box) -> DataFrame:
     All positions of the halo are given, as the geometry is defined there; integrals use
     the positions of the domain.
     """
-    lat_min, lat_max, _, _ = box.halo_edges
-    radius = F.lit(EARTH_RADIUS)
-
-    def sides(first, first_factor, second, second_factor):
-        return F.explode(F.array(
-            F.struct(F.lit(first).alias("wall"), first_factor.alias("factor")),
-            F.struct(F.lit(second).alias("wall"), second_factor.alias("factor")),
-        )).alias("side")
-
-    meridional = box.lats.select(
-        F.col("lat_id").alias("along_id"), F.col("d_phi").alias("angle"), sides("west", radius, "east", radius)
-    )
-    zonal = box.lons.select(
-        F.col("lon_id").alias("along_id"),
-        F.col("d_lon").alias("angle"),
-        sides("south", radius * F.cos(F.radians(F.lit(lat_min))),
-              "north", radius * F.cos(F.radians(F.lit(lat_max)))),
-    )
-    count = len(box.level_values)
+    south, north = _zonal_factors(box)
+    spans = box.lats.selectExpr(
+        "lat_id AS along_id", f"inline(array(struct('west' AS wall, {EARTH_RADIUS}D * d_phi AS span),"
+        f" struct('east' AS wall, {EARTH_RADIUS}D * d_phi AS span)))",
+    ).unionByName(box.lons.selectExpr(
+        "lon_id AS along_id", f"inline(array(struct('south' AS wall, {south!r}D * d_lon AS span),"
+        f" struct('north' AS wall, {north!r}D * d_lon AS span)))",
+    ))
+    levels = F.sequence(F.lit(0), F.lit(len(box.level_values) - 1))
     return (
-        meridional.unionByName(zonal)
-        .withColumn("level_id", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+        spans.withColumn("level_id", F.explode(levels))
         .join(F.broadcast(box.levels.select("level_id", "dp")), "level_id")
-        .select("side.wall", "level_id", "along_id",
-                (F.col("dp") * F.col("side.factor") * F.col("angle")).alias("area"))
+        .select("wall", "level_id", "along_id", (F.col("dp") * F.col("span")).alias("area"))
     )

@@ -24,9 +24,9 @@ def domain_cells(
 ) -> DataFrame:
     """Rows of the domain with `area` (m2), `air` (weighted volume, m2 Pa) and the level bounds."""
     inside = with_cell_area(state.restrict(box.domain_filter()), box)
+    rows = inside.rows(fields, ["sp", "area"])
     return (
-        inside.rows(fields, ["sp", "area"])
-        .join(F.broadcast(box.levels), "level")
+        box.attach(rows, "level", "level_id", "p_start", "p_end", "dp")
         .withColumn("bottom", effective_bottom(F.col("sp"), box.spec))
         .withColumn("air", F.col("area") * F.col("dp") * weight_column(box, policy))
     )
@@ -64,46 +64,43 @@ def require_level(box: Box, pressure: float) -> None:
         raise ValueError(f"no level at {pressure} Pa: a face of the box must lie on a level")
 
 
-def face_sums(box: Box) -> list[Column]:
-    """Flow through the top (and bottom) face, from the unblended values on that level."""
-    spec = box.spec
-    faces = [("top", spec.top_pressure)]
-    if spec.closed_below:
-        faces.append(("bottom", spec.bottom_pressure))
-    sums = []
-    for wall, pressure in faces:
-        require_level(box, pressure)
-        flow = F.when(
-            F.col("level") == F.lit(float(pressure)),
-            F.col("w") * F.col("area") * open_face(F.col("sp"), pressure),
-        )
-        warmth = F.col("T") - F.lit(ANCHOR_K)
-        sums += [
-            total(flow * warmth).alias(f"heat_{wall}"),
-            total(flow).alias(f"mass_{wall}"),
-            total(F.when(F.col("T").isNotNull(), flow)).alias(f"warm_{wall}"),
-        ]
-    return sums
-
-
 def volume_moments(
     state: GridState, box: Box, policy: SurfacePolicy, faces: bool = True
 ) -> DataFrame:
     """One row per time with all domain sums.
 
-    volume, heat, adiabatic; lift is the adiabatic sum for 1 K; t_count, t_avg, t_var are
-    unweighted over all cells of the domain; heat_/mass_/warm_ are the face flows, heat
-    relative to ANCHOR_K and warm the mass flow where T is known.
+    volume, heat, adiabatic; lift is the adiabatic sum for 1 K; cells, warmth and warmth2
+    are count, sum and sum of squares of T - ANCHOR_K over all cells of the domain,
+    unweighted. heat_/mass_/warm_ are the flows through the horizontal faces, from the
+    unblended values on that level: heat relative to ANCHOR_K, warm the mass flow where T
+    is known.
     """
     air, temperature = F.col("air"), F.col("T")
-    lift = F.col("w") * F.lit(R_DRY) / F.col("level") / F.lit(CP_DRY)
-    return domain_cells(state, box, policy).groupBy("time").agg(
+    warmth, lift = F.col("warmth"), F.col("lift")
+    cells = domain_cells(state, box, policy).withColumns({
+        "warmth": temperature - F.lit(ANCHOR_K),
+        "lift": F.col("w") * F.lit(R_DRY) / F.col("level") / F.lit(CP_DRY) * air,
+    })
+    sums = [
         total(air).alias("volume"),
         total(temperature * air).alias("heat"),
-        total(heating_rate() * air).alias("adiabatic"),
-        total(lift * air).alias("lift"),
-        F.count("T").alias("t_count"),
-        F.avg("T").alias("t_avg"),
-        F.var_pop("T").alias("t_var"),
-        *(face_sums(box) if faces else []),
-    )
+        total(temperature * lift).alias("adiabatic"),
+        total(lift).alias("lift"),
+        F.count("warmth").alias("cells"),
+        F.sum(warmth).alias("warmth"),
+        F.sum(warmth * warmth).alias("warmth2"),
+    ]
+    spec = box.spec
+    levels = {"top": spec.top_pressure, "bottom": spec.bottom_pressure}
+    for wall in spec.walls[4:] if faces else ():
+        require_level(box, levels[wall])
+        on_level = F.col("level") == F.lit(float(levels[wall]))
+        flow = F.col("w") * F.col("area") * open_face(F.col("sp"), levels[wall])
+        cells = cells.withColumn(f"flow_{wall}", F.when(on_level, flow))
+        flow = F.col(f"flow_{wall}")
+        sums += [
+            total(flow * warmth).alias(f"heat_{wall}"),
+            total(flow).alias(f"mass_{wall}"),
+            total(F.when(warmth.isNotNull(), flow)).alias(f"warm_{wall}"),
+        ]
+    return cells.groupBy("time").agg(*sums)

@@ -13,14 +13,14 @@ from thermobox.functions.columns import (
     blend_with_surface,
     effective_bottom,
     ground_case,
-    total,
     touches_ground,
 )
-from thermobox.operators.domain import Box, wall_ring
+from thermobox.operators.domain import Box, cell_key, wall_pieces
 from thermobox.operators.weights import pair_mean, weight_column
-from thermobox.sources.state import GridState
+from thermobox.sources.state import GridState, grid_key
 from thermobox.specs import ANCHOR_K, SIDE_WALLS, WALL_SIGN, BoxSpec, SurfacePolicy
 
+LAYER = ("level_id", "p_start", "p_end", "p_mid")
 NEAR_SURFACE_OF = {"T": "T2m", "u": "u10", "v": "v10"}
 
 
@@ -32,12 +32,8 @@ def case_column(policy: SurfacePolicy) -> Column:
 
 def surface_cases(state: GridState, box: Box, policy: SurfacePolicy) -> DataFrame:
     """Each halo layer with its case: 'A' untouched, 'B' or 'C' cut by the ground."""
-    return (
-        box.crop(state)
-        .rows([], ["sp"])
-        .join(F.broadcast(box.levels), "level")
-        .withColumn("case", case_column(policy))
-    )
+    rows = box.crop(state).rows([], ["sp"])
+    return box.attach(rows, "level", *LAYER).withColumn("case", case_column(policy))
 
 
 def blend_near_surface(rows: DataFrame, policy: SurfacePolicy) -> DataFrame:
@@ -62,7 +58,7 @@ def blend_near_surface(rows: DataFrame, policy: SurfacePolicy) -> DataFrame:
 def blended_state(state: GridState, box: Box, policy: SurfacePolicy) -> DataFrame:
     """T, u, v of all halo cells as they enter the wall values."""
     rows = box.crop(state).rows(("T", "u", "v"), ("sp", *NEAR_SURFACE_OF.values()))
-    return blend_near_surface(rows.join(F.broadcast(box.levels), "level"), policy)
+    return blend_near_surface(box.attach(rows, "level", *LAYER), policy)
 
 
 def surface_shares(state: GridState, box: Box, policy: SurfacePolicy) -> DataFrame:
@@ -89,26 +85,30 @@ def surface_shares(state: GridState, box: Box, policy: SurfacePolicy) -> DataFra
 def wall_faces(state: GridState, box: Box, policy: SurfacePolicy) -> DataFrame:
     """Values at each wall piece: flow and T are means of the two cells astride the wall.
 
-    Columns time, wall, level, along_id, flow (u through west and east, v through south
-    and north), T, weight, area.
+    Columns time, wall, level_id, along_id, flow (u through west and east, v through south
+    and north), T, weight, area. The means group by three integers; names and geometry are
+    attached to the result, half as many rows.
     """
     surface_fields = ("sp", *NEAR_SURFACE_OF.values()) if policy.use_surface_fields else ("sp",)
     rows = state.restrict(box.ring_filter()).rows(("T", "u", "v"), surface_fields)
     if policy.use_surface_fields:
-        rows = blend_near_surface(rows.join(F.broadcast(box.levels), "level"), policy)
-    flow = F.when(F.col("wall").isin("west", "east"), F.col("u")).otherwise(F.col("v"))
-    pieces = (
-        rows.select("time", "level", "lat", "lon", "T", "u", "v", "sp")
-        .join(F.broadcast(wall_ring(box)), ["lat", "lon"])
-        .select("time", "wall", "level", "along_id", "span", "T", flow.alias("flow"),
-                effective_bottom(F.col("sp"), box.spec).alias("bottom"))
-        .groupBy("time", "wall", "level", "along_id")
-        .agg(pair_mean("flow"), pair_mean("T"), pair_mean("bottom"), F.min("span").alias("span"))
+        rows = blend_near_surface(box.attach(rows, "level", *LAYER), policy)
+    table = wall_pieces(box)
+    named = table.select("piece", "wall", "along_id", "span")
+    zonal_wind = table.select("piece", F.explode("cells").alias("cell_key"), F.expr("wall IN ('west', 'east')").alias("zonal"))
+    means = (
+        rows.select("time", grid_key("level").alias("level_key"), cell_key().alias("cell_key"), "T", "u", "v",
+                    effective_bottom(F.col("sp"), box.spec).alias("bottom"))
+        .join(F.broadcast(zonal_wind), "cell_key")
+        .select("time", "level_key", "piece", "T", "bottom", F.expr("if(zonal, u, v) AS flow"))
+        .groupBy("time", "level_key", "piece")
+        .agg(pair_mean("flow"), pair_mean("T"), pair_mean("bottom"))
     )
-    return pieces.join(F.broadcast(box.levels), "level").select(
-        "time", "wall", "level", "along_id", "flow", "T",
-        weight_column(box, policy).alias("weight"),
-        (F.col("span") * F.col("dp")).alias("area"),
+    return (
+        means.join(F.broadcast(box.levels), "level_key")
+        .join(F.broadcast(named), "piece")
+        .select("time", "wall", "level_id", "along_id", "flow", "T",
+                weight_column(box, policy).alias("weight"), (F.col("span") * F.col("dp")).alias("area"))
     )
 
 
@@ -121,16 +121,15 @@ def wall_sums(faces: DataFrame, reference: Column | None = None) -> DataFrame:
     """
     if reference is None:
         reference = F.lit(ANCHOR_K)
-    through = F.col("flow") * F.col("area") * F.col("weight")
-    sums = []
-    for wall in SIDE_WALLS:
-        here = F.col("wall") == wall
-        sums += [
-            total(F.when(here, through * (F.col("T") - reference))).alias(f"heat_{wall}"),
-            total(F.when(here, through)).alias(f"mass_{wall}"),
-            total(F.when(here & F.col("T").isNotNull(), through)).alias(f"warm_{wall}"),
-        ]
-    return faces.groupBy("time").agg(*sums)
+    pieces = faces.select(
+        "time", "wall",
+        (F.col("flow") * F.col("area") * F.col("weight")).alias("mass"),
+        (F.col("T") - reference).alias("warmth"),
+    ).selectExpr("time", "wall", "mass", "mass * warmth AS heat", "if(warmth IS NOT NULL, mass, NULL) AS warm")
+    return pieces.groupBy("time").agg(*[
+        F.expr(f"coalesce(sum({kind}) FILTER (WHERE wall = '{wall}'), 0.0D) AS {kind}_{wall}")
+        for wall in SIDE_WALLS for kind in ("heat", "mass", "warm")
+    ])
 
 
 def advection_columns(spec: BoxSpec, shift: Column | None) -> list[Column]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from thermobox.functions.columns import (
     layer_weight,
     open_face,
 )
-from thermobox.operators.domain import Box, wall_ring
+from thermobox.operators.domain import Box, cell_key, wall_cells, wall_pieces
 from thermobox.sources.state import GridState
 from thermobox.specs import SurfacePolicy
 
@@ -25,20 +27,14 @@ def weight_column(box: Box, policy: SurfacePolicy, bottom: str = "bottom"):
 
 def with_cell_area(state: GridState, box: Box) -> GridState:
     """Add `area` (m2), lat_id and lon_id to the rows that carry the ground pressure."""
-    lats = F.broadcast(box.lats.select("lat", "lat_id", "d_sin"))
-    lons = F.broadcast(box.lons.select("lon", "lon_id", "d_lon"))
 
-    def attach(df: DataFrame) -> DataFrame:
-        return (
-            df.join(lats, "lat")
-            .join(lons, "lon")
-            .withColumn("area", cell_area(F.col("d_sin"), F.col("d_lon")))
-            .drop("d_sin", "d_lon")
-        )
+    def with_area(df: DataFrame) -> DataFrame:
+        df = box.attach(box.attach(df, "lat", "lat_id", "d_sin"), "lon", "lon_id", "d_lon")
+        return df.withColumn("area", cell_area(F.col("d_sin"), F.col("d_lon"))).drop("d_sin", "d_lon")
 
     if state.wide:
-        return GridState(attach(state.upper))
-    return GridState(state.upper, attach(state.surface))
+        return replace(state, upper=with_area(state.upper))
+    return replace(state, surface=with_area(state.surface))
 
 
 def horizontal_weights(state: GridState, box: Box) -> DataFrame:
@@ -55,9 +51,9 @@ def horizontal_weights(state: GridState, box: Box) -> DataFrame:
 def volume_weights(state: GridState, box: Box, policy: SurfacePolicy) -> DataFrame:
     """W_volume per time, level and domain cell."""
     inside = with_cell_area(state.restrict(box.domain_filter()), box)
+    rows = inside.rows([], ["sp", "lat_id", "lon_id"])
     return (
-        inside.rows([], ["sp", "lat_id", "lon_id"])
-        .join(F.broadcast(box.levels), "level")
+        box.attach(rows, "level", "level_id", "p_start", "p_end")
         .withColumn("bottom", effective_bottom(F.col("sp"), box.spec))
         .select("time", "level_id", "lat_id", "lon_id", weight_column(box, policy).alias("W_volume"))
     )
@@ -65,18 +61,21 @@ def volume_weights(state: GridState, box: Box, policy: SurfacePolicy) -> DataFra
 
 def wall_bottoms(state: GridState, box: Box) -> DataFrame:
     """Bottom pressure at each wall position: the mean of the two cells astride the wall."""
+    pieces = wall_pieces(box)
     ground = state.restrict(box.ring_filter()).ground(["sp"], box.lowest_level)
     return (
-        ground.withColumn("bottom", effective_bottom(F.col("sp"), box.spec))
-        .join(F.broadcast(wall_ring(box)), ["lat", "lon"])
-        .groupBy("time", "wall", "along_id")
+        ground.select("time", cell_key().alias("cell_key"), effective_bottom(F.col("sp"), box.spec).alias("bottom"))
+        .join(F.broadcast(wall_cells(pieces)), "cell_key")
+        .groupBy("time", "piece")
         .agg(pair_mean("bottom"))
+        .join(F.broadcast(pieces.select("piece", "wall", "along_id")), "piece")
+        .drop("piece")
     )
 
 
 def pair_mean(name: str):
     """Mean of the two cells astride a wall; missing when one of them is."""
-    return F.when(F.count(name) == 2, F.avg(name)).alias(name)
+    return F.expr(f"if(count({name}) = 2, 0.5D * sum({name}), NULL)").alias(name)
 
 
 def wall_weights(state: GridState, box: Box, policy: SurfacePolicy) -> DataFrame:

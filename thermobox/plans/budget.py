@@ -37,13 +37,12 @@ def hourly_moments(state: GridState, box: Box, policy: SurfacePolicy) -> DataFra
 def temperature_spread(moments: DataFrame) -> DataFrame:
     """T_scale as one row: root mean square of T - <T> over all cells and times, unweighted.
 
-    From count, mean and variance per time; times without a mean do not count.
+    From count, sum and sum of squares per time; times without a mean do not count.
     """
-    off = F.col("t_avg") - mean_temperature()
-    known = F.when(off.isNotNull(), F.col("t_count"))
-    return moments.agg(
-        F.sqrt(F.try_divide(F.sum(known * (F.col("t_var") + off * off)), F.sum(known))).alias("T_scale")
-    )
+    shift = mean_temperature() - F.lit(ANCHOR_K)
+    known = F.when(shift.isNotNull(), F.col("cells"))
+    squares = F.col("warmth2") - 2 * shift * F.col("warmth") + shift * shift * F.col("cells")
+    return moments.agg(F.sqrt(F.try_divide(F.sum(squares), F.sum(known))).alias("T_scale"))
 
 
 def mean_of_means(moments: DataFrame) -> DataFrame:

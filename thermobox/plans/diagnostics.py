@@ -6,6 +6,8 @@ mean volume enter as one-row scalar subqueries.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,31 +63,34 @@ def _by_mean_volume(name: str) -> Column:
 
 
 def mass_continuity(run: BudgetRun) -> DataFrame:
-    """dV/dt against net mass flow; `limit` is the largest size of either over the run."""
+    """dV/dt against net mass flow; `plot_limit` is the largest size of either over the run."""
     size = F.greatest(F.abs(F.col("dV_dt")), F.abs(F.col("net_mass_advection")))
-    limit = run.series.frame.agg(F.max(size).alias("limit")).scalar()
-    return run.series.frame.select("time", "dV_dt", "net_mass_advection").withColumn("limit", limit)
+    limit = run.series.frame.agg(F.max(size).alias("plot_limit")).scalar()
+    return run.series.frame.select("time", "dV_dt", "net_mass_advection").withColumn("plot_limit", limit)
 
 
-def binned_residual(run: BudgetRun, bins: int = QUANTILE_BINS) -> DataFrame:
-    """Mean dV/dt and mean mass residual in quantile bins of dV/dt; empty bins are kept."""
-    pairs = run.series.frame.select(
-        F.col("dV_dt").alias("x"), (F.col("net_mass_advection") + F.col("dV_dt")).alias("residual")
-    ).where(F.col("x").isNotNull())
-    ordered = index_by(pairs, "x")
-    inner = [i / bins for i in range(1, bins)]
-    edges = quantiles(ordered, inner)
+def binned_means(frame: DataFrame, by: str, names: Sequence[str], bins: int = QUANTILE_BINS) -> DataFrame:
+    """Mean of columns in quantile bins of `by`; empty bins are kept.
+
+    A bin is the number of inner edges at or below the value, so equal values share a bin.
+    """
+    ordered = index_by(frame.select(by, *[n for n in names if n != by]).where(F.col(by).isNotNull()), by)
+    edges = quantiles(ordered, [i / bins for i in range(1, bins)])
     bound = edges.select(F.array(*edges.columns).alias("edges"))
     placed = ordered.frame.withColumn("edges", bound.scalar()).withColumn(
-        "bin", F.size(F.filter("edges", lambda edge: edge <= F.col("x")))
+        "bin", F.size(F.filter("edges", lambda edge: edge <= F.col(by)))
     )
-    means = placed.groupBy("bin").agg(
-        F.count("x").alias("n"), F.avg("x").alias("mean_x"), F.avg("residual").alias("mean_residual")
-    )
-    all_bins = run.series.frame.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    means = placed.groupBy("bin").agg(F.count(by).alias("n"), *[F.avg(name).alias(f"mean_{name}") for name in names])
+    all_bins = frame.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return all_bins.join(means, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
+def binned_residual(run: BudgetRun, bins: int = QUANTILE_BINS) -> DataFrame:
+    """Mean dV/dt and mean mass residual in quantile bins of dV/dt."""
+    frame = run.series.frame.withColumn("residual", F.col("net_mass_advection") + F.col("dV_dt"))
+    return binned_means(frame, "dV_dt", ("dV_dt", "residual"), bins)
+
+
 def mass_series(run: BudgetRun) -> DataFrame:
     """Mass residual and its two parts per mean volume, 1/h."""
     names = ("delta_mass", "net_mass_advection", "dV_dt")

@@ -15,6 +15,8 @@ RECOMMENDED_CONF = {
     # surface side of a partition is small, which it is: one row per column.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.sql.parquet.filterPushdown": "true",
+    # Python call sites on every column expression; costs more than building the plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

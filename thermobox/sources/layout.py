@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thermobox.operators.domain import coordinate_axes
 from thermobox.sources.state import NEAR_SURFACE_FIELDS, UPPER_FIELDS, GridState
 
 
@@ -22,13 +23,15 @@ def write_state(state: GridState, path: str, surface_fields: tuple[str, ...] = (
         .sortWithinPartitions("date", "lat", "lon", "time", "level")
         .write.mode("overwrite")
         .partitionBy("date")
-        .parquet(path)
+        .parquet(f"{path}/cells")
     )
+    stored = rows.sparkSession.read.parquet(f"{path}/cells")
+    coordinate_axes(stored).coalesce(1).write.mode("overwrite").parquet(f"{path}/axes")
 
 
 def read_state(spark: SparkSession, path: str) -> GridState:
-    """A table made by write_state. Filters on `date` prune folders."""
-    return GridState(spark.read.parquet(path))
+    """A table made by write_state, with its coordinates. Filters on `date` prune folders."""
+    return GridState(spark.read.parquet(f"{path}/cells"), axes=spark.read.parquet(f"{path}/axes"))
 
 
 def has_near_surface(state: GridState) -> bool:

@@ -13,7 +13,7 @@ from thermobox.operators.domain import AXIS_LIMIT, coordinate_axes, measure_axes
 from thermobox.operators.series import is_regular
 from thermobox.session import materialise
 from thermobox.sources.harmonise import unit_of
-from thermobox.sources.state import SURFACE_FIELDS, SURFACE_KEYS, UPPER_FIELDS, UPPER_KEYS, GridState
+from thermobox.sources.state import SURFACE_FIELDS, SURFACE_KEYS, UPPER_FIELDS, UPPER_KEYS, GridState, grid_key
 
 
 @dataclass(frozen=True)
@@ -25,13 +25,13 @@ class Axes:
 
 
 def read_axes(upper: DataFrame) -> Axes:
-    rows = measure_axes(coordinate_axes(upper)).select("axis", "value", "id").collect()
+    rows = measure_axes(coordinate_axes(upper)).select("axis", "key", "id").collect()
     if len(rows) > AXIS_LIMIT:
         raise ValueError(f"more than {AXIS_LIMIT} distinct coordinates: not a regular grid")
     tables, sizes = {}, {}
     for axis in ("level", "lat", "lon"):
         points = [r for r in rows if r.axis == axis]
-        table = pa.table({axis: pa.array([r.value for r in points], pa.float64()),
+        table = pa.table({f"{axis}_key": pa.array([r.key for r in points], pa.int64()),
                           f"{axis}_id": pa.array([r.id for r in points], pa.int64())})
         tables[axis], sizes[axis] = upper.sparkSession.createDataFrame(table), len(points)
     return Axes(tables, sizes)
@@ -45,7 +45,7 @@ def cells_per_time(df: DataFrame, axes: Axes, axis_names: tuple[str, ...]) -> Da
     """
     cell = F.lit(0).cast("long")
     for axis in axis_names:
-        df = df.join(F.broadcast(axes.tables[axis]), axis, "left")
+        df = df.withColumn(f"{axis}_key", grid_key(axis)).join(F.broadcast(axes.tables[axis]), f"{axis}_key", "left")
         cell = cell * F.lit(axes.sizes[axis]) + F.col(f"{axis}_id")
     return (
         df.select("time", cell.alias("cell"))

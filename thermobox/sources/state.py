@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -16,16 +16,26 @@ SURFACE_FIELDS = ("sp",)
 NEAR_SURFACE_FIELDS = ("T2m", "u10", "v10")
 
 
+def grid_key(name: str) -> Column:
+    """A coordinate as an integer of millionths: integer keys hash several times faster.
+
+    Coordinates of a grid lie further apart than that; resolving a box checks it.
+    """
+    return F.expr(f"floor({name} * 1e6D + 0.5D)")
+
+
 @dataclass(frozen=True)
 class GridState:
     """`upper` has time, level, lat, lon, T, u, v, w; `surface` has time, lat, lon, sp and more.
 
     With `surface=None` the rows of `upper` carry the surface fields themselves. That is
     the layout the writer makes, and it lets a budget run without joining two large tables.
+    `axes` (axis, value) are the coordinates where they are known without reading `upper`.
     """
 
     upper: DataFrame
     surface: DataFrame | None = None
+    axes: DataFrame | None = None
 
     @property
     def wide(self) -> bool:
@@ -33,7 +43,9 @@ class GridState:
 
     def restrict(self, keep: Column) -> GridState:
         """Filter both tables by a condition on time, lat and lon."""
-        return GridState(self.upper.where(keep), None if self.wide else self.surface.where(keep))
+        return replace(
+            self, upper=self.upper.where(keep), surface=None if self.wide else self.surface.where(keep)
+        )
 
     def rows(self, fields: Sequence[str], surface_fields: Sequence[str]) -> DataFrame:
         """4-D rows with the ground values of their column.
@@ -44,8 +56,10 @@ class GridState:
         columns = [*UPPER_KEYS, *fields]
         if self.wide:
             return self.upper.select(*columns, *surface_fields)
-        ground = self.surface.select(*SURFACE_KEYS, *surface_fields)
-        return self.upper.select(*columns).join(ground, list(SURFACE_KEYS), "left")
+        place = {"_lat": grid_key("lat"), "_lon": grid_key("lon")}
+        ground = self.surface.withColumns(place).select("time", "_lat", "_lon", *surface_fields)
+        upper = self.upper.select(*columns).withColumns(place)
+        return upper.join(ground, ["time", "_lat", "_lon"], "left").drop("_lat", "_lon")
 
     def ground(self, surface_fields: Sequence[str], lowest_level: float) -> DataFrame:
         """One row per column: time, lat, lon and the ground values."""
@@ -57,8 +71,8 @@ class GridState:
 
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> GridState:
         """Keep a cropped state for several runs over the same box."""
-        return GridState(
-            self.upper.persist(level), None if self.wide else self.surface.persist(level)
+        return replace(
+            self, upper=self.upper.persist(level), surface=None if self.wide else self.surface.persist(level)
         )
 
     def unpersist(self) -> None:
