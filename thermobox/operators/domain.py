@@ -78,6 +78,8 @@ def measure_axes(axes: DataFrame, request: BoxRequest | None = None) -> DataFram
 _LEVEL_SCHEMA = pa.schema(
     [("level", pa.float64()), ("level_key", pa.int64()), ("level_id", pa.int64())]
     + [(name, pa.float64()) for name in ("p_start", "p_end", "p_mid", "dp")]
+    + [(name, pa.float64()) for name in ("below_start", "below_end", "below_mid")]
+    + [("is_top", pa.bool_())]
 )
 _LAT_SCHEMA = pa.schema(
     [("lat", pa.float64()), ("lat_key", pa.int64()), ("lat_id", pa.int64())]
@@ -212,8 +214,10 @@ def resolve_box(state: GridState, request: BoxRequest, axes: DataFrame | None =
         bottom_pressure=float(request.bottom_pressure) if request.bottom_mode == "pressure_level" else None,
     )
     level_table = [
-        dict(level=r.value, level_key=r.key, level_id=r.id, p_start=r.lower_edge, p_end=r.upper_edge, p_mid=r.middle, dp=r.width)
-        for r in levels
+        dict(level=r.value, level_key=r.key, level_id=r.id, p_start=r.lower_edge, p_end=r.upper_edge, p_mid=r.middle, dp=r.width,
+             below_start=below and below.lower_edge, below_end=below and below.upper_edge,
+             below_mid=below and below.middle, is_top=r is levels[-1])
+        for below, r in zip([None, *levels], levels)
     ]
     lat_table = [
         dict(lat=r.value, lat_key=r.key, lat_id=r.id, lat_start=r.lower_edge, lat_end=r.upper_edge, lat_mid=r.middle,

@@ -6,7 +6,7 @@ scan. Blending with the near-surface fields happens on those rows alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thermobox.functions.columns import (
@@ -17,7 +17,7 @@ from thermobox.functions.columns import (
 )
 from thermobox.operators.domain import Box, cell_key, wall_pieces
 from thermobox.operators.weights import pair_mean, weight_column
-from thermobox.sources.state import GridState, grid_key
+from thermobox.sources.state import GridState
 from thermobox.specs import ANCHOR_K, SIDE_WALLS, WALL_SIGN, BoxSpec, SurfacePolicy
 
 LAYER = ("level_id", "p_start", "p_end", "p_mid")
@@ -36,29 +36,46 @@ def surface_cases(state: GridState, box: Box, policy: SurfacePolicy) -> DataFram
     return box.attach(rows, "level", *LAYER).withColumn("case", case_column(policy))
 
 
-def blend_near_surface(rows: DataFrame, policy: SurfacePolicy) -> DataFrame:
+def blend_near_surface(rows: DataFrame, box: Box, policy: SurfacePolicy) -> DataFrame:
     """Replace T, u, v of the layer cut by the ground by the blended value.
 
-    `rows` carry the level bounds, sp and the near-surface fields. The window has the
-    key of the join that brought sp, so it needs no further shuffle, and each of its
-    groups is one vertical column.
+    In case C the new value of a layer is made from the layer above it and the surface, not
+    from its own. So the row above, which knows sp and the bounds of the layer below, hands
+    it out, and the own row is left out. Each level keeps one row per column, and no row has
+    to see another: a projection without window, sort or shuffle. At the top level, where
+    nothing lies above, the surface value stands in.
+
+    `rows` carry sp and the near-surface fields; `level` gives way to `level_id`.
     """
-    column = Window.partitionBy("time", "lat", "lon").orderBy("level_id")
-    above = {f"_{name}": F.lead(name).over(column) for name in NEAR_SURFACE_OF}
-    blended = {
-        name: blend_with_surface(
-            F.col("case"), F.col(name), F.col(f"_{name}"), F.col(near),
-            F.col("p_end"), F.col("p_mid"), F.col("sp"),
-        )
-        for name, near in NEAR_SURFACE_OF.items()
-    }
-    return rows.withColumn("case", case_column(policy)).withColumns(above).withColumns(blended).drop(*above)
+    layer = box.attach(rows, "level", *LAYER, "below_start", "below_end", "below_mid", "is_top")
+    sp, level_id = F.col("sp"), F.col("level_id")
+    layer = layer.withColumns({
+        "case": case_column(policy),
+        "below_case": ground_case(
+            level_id - 1, F.col("below_start"), F.col("below_end"), F.col("below_mid"), sp, policy
+        ),
+    })
+    own, below = [level_id], [level_id - 1]
+    for name, near in NEAR_SURFACE_OF.items():
+        value, surface = F.col(name), F.col(near)
+        own.append(blend_with_surface(
+            F.col("case"), value, F.lit(None), surface, F.col("p_end"), F.col("p_mid"), sp
+        ).alias(name))
+        below.append((F.lit(0.5) * (F.coalesce(value, surface) + surface)).alias(name))
+    own_entry, below_entry = F.struct(*own), F.struct(below[0].alias("level_id"), *below[1:])
+    entries = (
+        F.when(F.col("below_case") == "C", F.array(own_entry, below_entry))
+        .when((F.col("case") == "C") & ~F.col("is_top"), F.slice(F.array(own_entry), 1, 0))
+        .otherwise(F.array(own_entry))
+    )
+    kept = [name for name in rows.columns if name not in ("level", *NEAR_SURFACE_OF)]
+    return layer.select(*kept, F.explode(entries).alias("entry")).select(*kept, "entry.*")
 
 
 def blended_state(state: GridState, box: Box, policy: SurfacePolicy) -> DataFrame:
     """T, u, v of all halo cells as they enter the wall values."""
     rows = box.crop(state).rows(("T", "u", "v"), ("sp", *NEAR_SURFACE_OF.values()))
-    return blend_near_surface(box.attach(rows, "level", *LAYER), policy)
+    return blend_near_surface(rows, box, policy)
 
 
 def surface_shares(state: GridState, box: Box, policy: SurfacePolicy) -> DataFrame:
@@ -92,20 +109,22 @@ def wall_faces(state: GridState, box: Box, policy: SurfacePolicy) -> DataFrame:
     surface_fields = ("sp", *NEAR_SURFACE_OF.values()) if policy.use_surface_fields else ("sp",)
     rows = state.restrict(box.ring_filter()).rows(("T", "u", "v"), surface_fields)
     if policy.use_surface_fields:
-        rows = blend_near_surface(box.attach(rows, "level", *LAYER), policy)
+        rows = blend_near_surface(rows, box, policy)
+    else:
+        rows = box.attach(rows, "level", "level_id")
     table = wall_pieces(box)
     named = table.select("piece", "wall", "along_id", "span")
     zonal_wind = table.select("piece", F.explode("cells").alias("cell_key"), F.expr("wall IN ('west', 'east')").alias("zonal"))
     means = (
-        rows.select("time", grid_key("level").alias("level_key"), cell_key().alias("cell_key"), "T", "u", "v",
+        rows.select("time", "level_id", cell_key().alias("cell_key"), "T", "u", "v",
                     effective_bottom(F.col("sp"), box.spec).alias("bottom"))
         .join(F.broadcast(zonal_wind), "cell_key")
-        .select("time", "level_key", "piece", "T", "bottom", F.expr("if(zonal, u, v) AS flow"))
-        .groupBy("time", "level_key", "piece")
+        .select("time", "level_id", "piece", "T", "bottom", F.expr("if(zonal, u, v) AS flow"))
+        .groupBy("time", "level_id", "piece")
         .agg(pair_mean("flow"), pair_mean("T"), pair_mean("bottom"))
     )
     return (
-        means.join(F.broadcast(box.levels), "level_key")
+        means.join(F.broadcast(box.levels), "level_id")
         .join(F.broadcast(named), "piece")
         .select("time", "wall", "level_id", "along_id", "flow", "T",
                 weight_column(box, policy).alias("weight"), (F.col("span") * F.col("dp")).alias("area"))
