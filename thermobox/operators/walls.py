@@ -49,27 +49,26 @@ def blend_near_surface(rows: DataFrame, box: Box, policy: SurfacePolicy) -> Data
     """
     layer = box.attach(rows, "level", *LAYER, "below_start", "below_end", "below_mid", "is_top")
     sp, level_id = F.col("sp"), F.col("level_id")
-    layer = layer.withColumns({
-        "case": case_column(policy),
-        "below_case": ground_case(
-            level_id - 1, F.col("below_start"), F.col("below_end"), F.col("below_mid"), sp, policy
-        ),
-    })
-    own, below = [level_id], [level_id - 1]
-    for name, near in NEAR_SURFACE_OF.items():
-        value, surface = F.col(name), F.col(near)
-        own.append(blend_with_surface(
-            F.col("case"), value, F.lit(None), surface, F.col("p_end"), F.col("p_mid"), sp
-        ).alias(name))
-        below.append((F.lit(0.5) * (F.coalesce(value, surface) + surface)).alias(name))
-    own_entry, below_entry = F.struct(*own), F.struct(below[0].alias("level_id"), *below[1:])
-    entries = (
-        F.when(F.col("below_case") == "C", F.array(own_entry, below_entry))
-        .when((F.col("case") == "C") & ~F.col("is_top"), F.slice(F.array(own_entry), 1, 0))
-        .otherwise(F.array(own_entry))
+    below_case = ground_case(
+        level_id - 1, F.col("below_start"), F.col("below_end"), F.col("below_mid"), sp, policy
     )
-    kept = [name for name in rows.columns if name not in ("level", *NEAR_SURFACE_OF)]
-    return layer.select(*kept, F.explode(entries).alias("entry")).select(*kept, "entry.*")
+    layer = layer.withColumns({"case": case_column(policy), "below_case": below_case})
+    # Levels this row speaks for, relative to its own.
+    shifts = F.expr(
+        "CASE WHEN below_case = 'C' THEN array(0, -1) WHEN case = 'C' AND NOT is_top THEN slice(array(0), 1, 0)"
+        " ELSE array(0) END"
+    )
+    spoken = layer.withColumn("shift", F.explode(shifts))
+    from_above = F.when(F.col("shift") == -1, "C").otherwise(F.col("case"))
+    above_is_own = F.col("shift") == -1
+    blended = {
+        name: blend_with_surface(
+            from_above, F.col(name), F.when(above_is_own, F.col(name)), F.col(near), F.col("p_end"), F.col("p_mid"), sp
+        ).alias(name)
+        for name, near in NEAR_SURFACE_OF.items()
+    }
+    kept = [n for n in rows.columns if n not in ("level", *NEAR_SURFACE_OF, *NEAR_SURFACE_OF.values())]
+    return spoken.select(*kept, (level_id + F.col("shift")).alias("level_id"), *blended.values())
 
 
 def blended_state(state: GridState, box: Box, policy: SurfacePolicy) -> DataFrame:
