@@ -96,6 +96,9 @@ def test_written_state_reads_narrow(spark, state, tmp_path):
 
 
 def plan_of(df):
+    """Physical plan with whole filter lists."""
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    df = df.where(F.lit(True))
     return df._jdf.queryExecution().executedPlan().toString()
 
 
@@ -117,6 +120,14 @@ def test_plans_prune_and_push(spark, state, tmp_path):
     assert "CartesianProduct" not in walls and "NestedLoop" not in walls
 
 
+def test_slice_prunes_date_folders(spark, state, tmp_path):
+    write_state(state, f"{tmp_path}/s")
+    sliced = slice_time(read_state(spark, f"{tmp_path}/s").upper, "2000-01-01T01", "2000-01-01T03")
+    assert sliced.select("time").distinct().count() == 3
+    pruned = plan_of(sliced).split("PartitionFilters: ")[1]
+    assert pruned.startswith("[isnotnull(date") and "date#" in pruned.split("]")[0]
+
+
 def test_kelvin_rules(spark):
     df = spark.createDataFrame([(1.0,)], "T double")
     assert to_kelvin(with_unit(df, "T", "celsius"), "T").first().T == 274.15

@@ -146,16 +146,20 @@ def _period(text: str) -> tuple[dt.datetime, dt.datetime]:
 def slice_time(df: DataFrame, start: str | None, end: str | None) -> DataFrame:
     """Keep start <= time <= end; a partial end date includes the whole period it names.
 
-    The bounds are literals of the type of the column, so they reach the scan.
+    The bounds are literals of the type of the column, so they reach the scan. A stored
+    state also has its `date` folders cut.
     """
     kind = df.schema["time"].dataType
+    by_date = "date" in df.columns and isinstance(df.schema["date"].dataType, T.DateType)
     condition = F.lit(True)
-
-    def literal(moment: dt.datetime) -> Column:
-        return F.lit(moment.isoformat(sep=" ")).cast(kind)
-
     if start is not None:
-        condition = condition & (F.col("time") >= literal(_period(start)[0]))
+        first = _period(start)[0]
+        condition = condition & (F.col("time") >= F.lit(first.isoformat(sep=" ")).cast(kind))
+        if by_date:
+            condition = condition & (F.col("date") >= F.lit(first.date()))
     if end is not None:
-        condition = condition & (F.col("time") < literal(_period(end)[1]))
+        after = _period(end)[1]
+        condition = condition & (F.col("time") < F.lit(after.isoformat(sep=" ")).cast(kind))
+        if by_date:
+            condition = condition & (F.col("date") <= F.lit(after.date()))
     return df.where(condition)
