@@ -146,7 +146,7 @@ class Box:
         table = {"level": self.levels, "lat": self.lats, "lon": self.lons}[axis]
         key = f"{axis}_key"
         small = F.broadcast(table.select(key, *columns))
-        return df.withColumn(key, grid_key(axis)).join(small, key).drop(key)
+        return df.join(small, grid_key(axis) == F.col(key)).drop(key)
 
     def crop(self, state: GridState) -> GridState:
         return state.restrict(self.halo_filter())

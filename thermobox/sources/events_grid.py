@@ -6,44 +6,37 @@ latitudes x 5 longitudes; the fields are integer rules of the id plus `value`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from thermobox.sources.state import SURFACE_KEYS, UPPER_FIELDS, UPPER_KEYS, GridState
 
-
-def _residue(event: Column, factor: int, modulus: int) -> Column:
-    return (event * F.lit(factor)) % F.lit(modulus)
+# The rule of each column.
+_POINT = (
+    "event_id",
+    "value",
+    "CAST((event_id DIV 25) % 4 AS int) AS layer",
+    "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, CAST(event_id DIV 100 AS int), 0, 0) AS time",
+    "CAST(100000 - 10000 * ((event_id DIV 25) % 4) AS double) AS level",
+    "CAST(40 + 5 * ((event_id DIV 5) % 5) AS double) AS lat",
+    "CAST(-130 + 5 * (event_id % 5) AS double) AS lon",
+    "CAST(300 - 8 * ((event_id DIV 25) % 4) AS double) + value / 64D AS T",
+    "((event_id * 7919) % 1009) / 100D - 5D AS u",
+    "((event_id * 104729) % 997) / 100D - 5D AS v",
+    "((event_id * 1299709) % 883) / 4000D - 0.1D AS w",
+    "CAST(84000 + 100 * ((event_id * 37) % 231) AS double) AS sp",
+    "285D + value / 32D AS T2m",
+    "(((event_id * 7919) % 1009) / 100D - 5D) / 2D AS u10",
+    "(((event_id * 104729) % 997) / 100D - 5D) / 2D AS v10",
+)
 
 
 def gridded_events(events: DataFrame) -> DataFrame:
-    """Every event as one grid point, with source position `event_id`."""
-    e = F.col("event_id")
-    hour = F.floor(e / 100).cast("int")
-    layer = (F.floor(e / 25) % 4).cast("int")
-    row = (F.floor(e / 5) % 5).cast("int")
-    column = (e % 5).cast("int")
-    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-    return (
-        events.select("event_id", "value")
-        .withColumn("layer", layer)
-        .withColumn("time", start + F.make_dt_interval(hours=hour))
-        .withColumn("level", (100000 - 10000 * F.col("layer")).cast("double"))
-        .withColumn("lat", (40 + 5 * row).cast("double"))
-        .withColumn("lon", (-130 + 5 * column).cast("double"))
-        .withColumn("T", 300 - 8 * F.col("layer") + F.col("value") / 64)
-        .withColumn("u", _residue(e, 7919, 1009) / 100 - 5)
-        .withColumn("v", _residue(e, 104729, 997) / 100 - 5)
-        .withColumn("w", _residue(e, 1299709, 883) / 4000 - 0.1)
-        .withColumn("sp", (84000 + 100 * _residue(e, 37, 231)).cast("double"))
-        .withColumn("T2m", 285 + F.col("value") / 32)
-        .withColumn("u10", F.col("u") / 2)
-        .withColumn("v10", F.col("v") / 2)
-    )
+    """Every event as one grid point, with its source position `event_id`."""
+    return events.selectExpr(*_POINT)
 
 
 def events_state(spark: SparkSession, sf_dir: str) -> GridState:
     points = gridded_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
     upper = points.select(*UPPER_KEYS, *UPPER_FIELDS)
-    surface = points.where(F.col("layer") == 0).select(*SURFACE_KEYS, "sp", "T2m", "u10", "v10")
+    surface = points.where("layer = 0").select(*SURFACE_KEYS, "sp", "T2m", "u10", "v10")
     return GridState(upper, surface)
