@@ -147,8 +147,8 @@ def quality(spark, sf_dir):
 def event_hours(spark, sf_dir) -> DataFrame:
     """Mean of `value` per clock hour."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    hour = F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("time")
-    return events.groupBy(hour).agg(F.avg("value").alias("value"))
+    hour = F.expr("CAST(to_date(ts) AS timestamp_ntz) + make_dt_interval(0, hour(ts), 0, 0)")
+    return events.groupBy(hour.alias("time")).agg(F.avg("value").alias("value"))
 
 
 def time_regularity(spark, sf_dir):

@@ -43,15 +43,19 @@ class Series:
         return replace(self, frame=frame)
 
 
-def index_by(df: DataFrame, key: str = "time", min_block: int = MIN_BLOCK) -> Series:
-    """Store `df` in key order and number its rows.
+def index_by(
+    df: DataFrame, key: str = "time", ties: Sequence[str] = (), min_block: int = MIN_BLOCK
+) -> Series:
+    """Store `df` in key order and number its rows; `ties` order rows of equal key.
+
+    Ties also take part in the partitioning, so that one frequent key does not fill a task.
 
     Only the row count of each stored partition comes to the driver: at most
     spark.sql.shuffle.partitions numbers.
     """
     located = materialise(
-        df.repartitionByRange(key)
-        .sortWithinPartitions(key)
+        df.repartitionByRange(key, *ties)
+        .sortWithinPartitions(key, *ties)
         .withColumn("_at", F.monotonically_increasing_id())
     )
     part = F.shiftright("_at", _ROW_BITS)
@@ -160,7 +164,7 @@ def _first_two(series: Series) -> tuple[int, int]:
 
 def daily(df: DataFrame, means: Sequence[str] = (), sums: Mapping[str, Column] | None = None) -> DataFrame:
     """Calendar-day means and sums; a sum over no value is 0."""
-    day = F.date_trunc("day", F.col("time")).cast("timestamp_ntz").alias("day")
+    day = F.to_date("time").cast("timestamp_ntz").alias("day")
     return df.groupBy(day).agg(
         *[F.avg(name).alias(name) for name in means],
         *[F.coalesce(F.sum(expr), F.lit(0.0)).alias(name) for name, expr in (sums or {}).items()],

@@ -74,7 +74,8 @@ def binned_means(frame: DataFrame, by: str, names: Sequence[str], bins: int = QU
 
     A bin is the number of inner edges at or below the value, so equal values share a bin.
     """
-    ordered = index_by(frame.select(by, *[n for n in names if n != by]).where(F.col(by).isNotNull()), by)
+    others = [name for name in names if name != by]
+    ordered = index_by(frame.select(by, *others).where(F.col(by).isNotNull()), by, others)
     edges = quantiles(ordered, [i / bins for i in range(1, bins)])
     bound = edges.select(F.array(*edges.columns).alias("edges"))
     placed = ordered.frame.withColumn("edges", bound.scalar()).withColumn(

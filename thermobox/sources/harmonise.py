@@ -6,6 +6,7 @@ import calendar
 import datetime as dt
 import re
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,25 +79,29 @@ def to_kelvin(df: DataFrame, name: str, strict: bool = False) -> DataFrame:
     return with_unit(df, name, "K")
 
 
-def _largest(df: DataFrame, names: list[str]) -> dict[str, float]:
-    row = df.agg(*[F.max(F.col(name).cast("double")).alias(name) for name in names]).first()
-    return row.asDict()
+def largest_coordinates(tables: Iterable[DataFrame]) -> dict[str, float | None]:
+    """Largest level and longitude over tables with canonical names: one scan of those columns."""
+    parts = [
+        df.select(*[
+            (F.col(n) if n in df.columns else F.lit(None)).cast("double").alias(n) for n in ("level", "lon")
+        ])
+        for df in tables
+    ]
+    return reduce(DataFrame.unionByName, parts).agg(F.max("level").alias("level"), F.max("lon").alias("lon")).first().asDict()
 
 
 def harmonise(df: DataFrame, largest: dict[str, float] | None = None) -> DataFrame:
     """Rename, drop helpers, convert units, wrap longitudes, turn NaN into NULL.
 
-    Whether levels are in hPa and longitudes in 0..360 can depend on the largest value.
-    That is one pass over the key columns, skipped for levels with a hPa unit, and as a
-    whole when `largest` gives the values.
+    Whether levels are in hPa and longitudes in 0..360 depends on the largest value. That is
+    one scan of the two columns, skipped when `largest` gives the values.
     """
     df = drop_auxiliary(rename_coordinates(df))
     require_columns(df, ("time", "lat", "lon"), "coordinates")
     has_level = "level" in df.columns
     unit = (unit_of(df, "level") or "").strip().lower() if has_level else ""
     in_hectopascal = unit in HECTOPASCAL_UNITS
-    unknown = ["lon"] + (["level"] if has_level and not in_hectopascal else [])
-    top = largest if largest is not None else _largest(df, unknown)
+    top = largest if largest is not None else largest_coordinates([df])
     if has_level and not in_hectopascal:
         in_hectopascal = top["level"] is not None and top["level"] < HECTOPASCAL_BELOW
 

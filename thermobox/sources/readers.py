@@ -13,6 +13,7 @@ from thermobox.sources.harmonise import (
     MERGED_NAMES,
     drop_auxiliary,
     harmonise,
+    largest_coordinates,
     rename_coordinates,
     require_columns,
     slice_time,
@@ -46,16 +47,24 @@ def wanted_fields(policy: SurfacePolicy) -> tuple[str, ...]:
     return (*UPPER_FIELDS, *SURFACE_FIELDS, *optional)
 
 
-def load_state(spark: SparkSession, source: SourceSpec, policy: SurfacePolicy = SurfacePolicy()) -> GridState:
-    """Read, harmonise and slice the source."""
+def load_state(
+    spark: SparkSession,
+    source: SourceSpec,
+    policy: SurfacePolicy = SurfacePolicy(),
+    largest: Mapping[str, float] | None = None,
+) -> GridState:
+    """Read, harmonise and slice the source.
+
+    `largest` gives the largest raw `level` and `lon` where known, and saves a scan of them.
+    """
     if source.kind == "merged":
-        return _load_merged(spark, source, policy)
+        return _load_merged(spark, source, policy, largest)
     if source.kind == "per_variable":
-        return _load_per_variable(spark, source, policy)
+        return _load_per_variable(spark, source, policy, largest)
     raise ValueError(f"unsupported source kind: {source.kind}")
 
 
-def _load_merged(spark: SparkSession, source: SourceSpec, policy: SurfacePolicy) -> GridState:
+def _load_merged(spark, source: SourceSpec, policy: SurfacePolicy, largest) -> GridState:
     """One table whose 4-D rows carry the surface fields too."""
     raw = spark.read.parquet(source.path)
     fields = wanted_fields(policy)
@@ -64,7 +73,7 @@ def _load_merged(spark: SparkSession, source: SourceSpec, policy: SurfacePolicy)
     require_columns(raw, picked.values(), "variables")
     keys = [c for c in raw.columns if COORDINATE_NAMES.get(c, c) in UPPER_KEYS]
     table = rename_coordinates(raw.select(*keys, *[F.col(old).alias(new) for new, old in picked.items()]))
-    table = harmonise(slice_time(table, source.time_start, source.time_end))
+    table = harmonise(slice_time(table, source.time_start, source.time_end), largest)
     require_columns(table, UPPER_KEYS, "coordinates")
     return GridState(table.select(*UPPER_KEYS, *fields))
 
@@ -77,14 +86,16 @@ def read_variable(spark: SparkSession, path: str, name: str) -> DataFrame:
     return to_kelvin(df, name, strict=True) if name in ("T", "T2m") else df
 
 
-def _load_per_variable(spark: SparkSession, source: SourceSpec, policy: SurfacePolicy) -> GridState:
+def _load_per_variable(spark, source: SourceSpec, policy: SurfacePolicy, largest) -> GridState:
     tables = {
         name: slice_time(read_variable(spark, source.path, name), source.time_start, source.time_end)
         for name in wanted_fields(policy)
     }
     upper = merge_tables({n: t for n, t in tables.items() if n in UPPER_FIELDS}, UPPER_KEYS)
     surface = merge_tables({n: t for n, t in tables.items() if n not in UPPER_FIELDS}, SURFACE_KEYS)
-    return GridState(harmonise(upper), harmonise(surface))
+    # Taken before the merge, so that finding it shuffles nothing.
+    largest = largest_coordinates(tables.values()) if largest is None else largest
+    return GridState(harmonise(upper, largest), harmonise(surface, largest))
 
 
 def merge_tables(tables: Mapping[str, DataFrame], keys: tuple[str, ...]) -> DataFrame:
@@ -102,9 +113,11 @@ def merge_tables(tables: Mapping[str, DataFrame], keys: tuple[str, ...]) -> Data
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
+    first = next(iter(tables.values()))
     units = {name: df.schema[name].metadata for name, df in tables.items()}
+    units |= {key: first.schema[key].metadata for key in keys}
     merged = union.groupBy(*keys).agg(*[_only_value(n).alias(n) for n in names])
-    return merged.select(*keys, *[F.col(n).alias(n, metadata=units[n]) for n in names])
+    return merged.select(*[F.col(n).alias(n, metadata=units[n]) for n in (*keys, *names)])
 
 
 def _only_value(name: str) -> Column:
