@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from thermobox.functions.columns import open_face
 from thermobox.operators.domain import (
     Box,
     cell_volumes,
@@ -23,7 +24,7 @@ from thermobox.operators.domain import (
     wall_areas,
 )
 from thermobox.operators.series import centered_difference, daily, index_by, is_regular, rolling_mean, running_sum
-from thermobox.operators.volume import domain_cells, domain_volume, heating_rate, volume_integral
+from thermobox.operators.volume import area_integral, domain_cells, domain_volume, heating_rate, volume_integral
 from thermobox.operators.walls import blended_state, surface_cases, surface_shares, wall_faces
 from thermobox.operators.weights import horizontal_weights, volume_weights, wall_weights
 from thermobox.plans import diagnostics
@@ -261,6 +262,14 @@ def top_face(spark, sf_dir):
     return rounded(ids.select("time", "lat_id", "lon_id", "w", "T"), 10)
 
 
+def top_flux(spark, sf_dir):
+    state, box = _boxed(spark, sf_dir)
+    top = box.spec.top_pressure
+    pieces = domain_cells(state, box, OVERFLOW).where(F.col("level") == top).withColumn("weight", open_face(F.col("sp"), top))
+    sums = area_integral(pieces, mass=F.col("w"), heat=F.col("w") * F.col("T"))
+    return rounded(sums.select("time", (F.col("mass") / 1e9).alias("mass"), (F.col("heat") / 1e12).alias("heat")))
+
+
 def wall_flux(spark, sf_dir):
     run = _run(spark, sf_dir)
     names = {"flux_contribution": "heat", "mass_flux_contribution": "mass"}
@@ -353,6 +362,7 @@ QUERIES: dict[str, Query] = {
     "surface_share": surface_share,
     "wall_faces": faces,
     "top_face": top_face,
+    "top_flux": top_flux,
     "wall_flux": wall_flux,
     "net_heat": _budget_rate("net_heat_advection"),
     "net_mass": _budget_rate("net_mass_advection"),

@@ -452,6 +452,10 @@ SELECT {rnd("avg((n > 0)::INTEGER) * 100", "pct_columns")},
 SELECT time, wall, level_id, along_id, {rnd("flow", "flow", 10)}, {rnd("temp", "T", 10)} FROM faces""",
         "top_face": BASE + "," + cells(SURFACE) + f"""
 SELECT time, lat_id, lon_id, {rnd("w", "w", 10)}, {rnd("temp", "T", 10)} FROM dom WHERE level = 70000""",
+        "top_flux": BASE + "," + cells(SURFACE) + f"""
+SELECT time, {rnd("sum(CASE WHEN sp > 70000 THEN w * area ELSE 0 END) / 1e9", "mass")},
+       {rnd("sum(CASE WHEN sp > 70000 THEN w * temp * area ELSE 0 END) / 1e12", "heat")}
+FROM dom WHERE level = 70000 GROUP BY time""",
         "wall_flux": bud + f" SELECT time, {wall_cols('heat', 'volume')}, {wall_cols('mass', 'volume')} FROM bud",
         "net_heat": bud + f" SELECT time, {kh('net_heat', 'net_heat_advection')} FROM bud",
         "net_mass": bud + f" SELECT time, {kh('net_mass', 'net_mass_advection')} FROM bud",
