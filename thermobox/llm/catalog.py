@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thermobox.llm import quality_rules
+from thermobox.llm import license_scan, quality_rules
 from thermobox.llm.common import table
 
 
@@ -14,10 +14,16 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op1(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.SQL,
+    "op10_license_scan": license_scan.oracle(),
 }
