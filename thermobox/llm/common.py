@@ -42,6 +42,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the installed package of public vocabularies keeps `name`; the same on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def ascii_lower(column: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
