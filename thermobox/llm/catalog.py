@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thermobox.llm import license_scan, quality_rules, token_packing
+from thermobox.llm import license_scan, quality_rules, source_mix, token_packing
 from thermobox.llm.common import table, tokenizer_file
 
 
@@ -14,6 +14,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op1(table(spark, sf_dir, "documents"))
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.op2(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_packing.op6(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -24,11 +28,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_source_mix": op2_source_mix,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op10_license_scan": op10_license_scan,
 }
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.SQL,
+    "op2_source_mix": source_mix.SQL,
     "op10_license_scan": license_scan.oracle(),
 }
