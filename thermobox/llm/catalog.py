@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thermobox.llm import license_scan, quality_rules, source_mix, token_packing
+from thermobox.llm import license_scan, quality_rules, source_mix, token_packing, warc_bundles
 from thermobox.llm.common import table, tokenizer_file
 
 
@@ -18,6 +18,10 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.op2(table(spark, sf_dir, "documents"))
 
 
+def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_bundles.op3(table(spark, sf_dir, "pages"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_packing.op6(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -29,6 +33,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mix": op2_source_mix,
+    "op3_warc_bundles": op3_warc_bundles,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op10_license_scan": op10_license_scan,
 }
