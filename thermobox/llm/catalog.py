@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thermobox.llm import license_scan, quality_rules, source_mix, token_packing, warc_bundles
+from thermobox.llm import license_scan, quality_rules, source_mix, token_packing, vector_search, warc_bundles
 from thermobox.llm.common import table, tokenizer_file
 
 
@@ -22,6 +22,10 @@ def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_bundles.op3(table(spark, sf_dir, "pages"))
 
 
+def op4_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.op4(table(spark, sf_dir, "embeddings"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_packing.op6(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -34,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mix": op2_source_mix,
     "op3_warc_bundles": op3_warc_bundles,
+    "op4_vector_search": op4_vector_search,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op10_license_scan": op10_license_scan,
 }
