@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thermobox.llm import license_scan, quality_rules, source_mix, token_packing, vector_search, warc_bundles
+from thermobox.llm import license_scan, near_dedup, quality_rules, source_mix, token_packing, vector_search, warc_bundles
 from thermobox.llm.common import table, tokenizer_file
 
 
@@ -26,6 +26,10 @@ def op4_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.op4(table(spark, sf_dir, "embeddings"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.op5(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_packing.op6(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": op2_source_mix,
     "op3_warc_bundles": op3_warc_bundles,
     "op4_vector_search": op4_vector_search,
+    "op5_near_dedup": op5_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op10_license_scan": op10_license_scan,
 }

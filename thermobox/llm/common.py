@@ -81,15 +81,15 @@ def word_count(column: Column) -> Column:
 
 
 #: Ways in which the rows of one key are dealt in `join_repeated`; AQE splits what is still too large.
-SALTS = 32
+SALTS = 8
 
 
-def join_repeated(df: DataFrame, found: DataFrame, key: str, salt_by: list[str]) -> DataFrame:
-    """Left join of `found` (one row per key, only keys with something to add) on `key`.
+def join_repeated(df: DataFrame, found: DataFrame, key: str, salt_by: list[str], how: str = "left") -> DataFrame:
+    """Join of `found` (one row per key, only keys with something to add) on `key`.
 
     A third of all rows may share a key, so the rows of a key are dealt over SALTS tasks and
     each row of `found` is repeated for each. Rows with a null key keep nulls.
     """
     salt = F.pmod(F.xxhash64(*salt_by), F.lit(SALTS)).cast("int")
     copies = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return df.withColumn("_salt", salt).join(copies, [key, "_salt"], "left").drop("_salt")
+    return df.withColumn("_salt", salt).join(copies, [key, "_salt"], how).drop("_salt")
