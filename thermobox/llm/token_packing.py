@@ -16,7 +16,6 @@ Other columns of `docs`, whatever their names, are not read.
 from __future__ import annotations
 
 import functools
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,18 +29,19 @@ from pyspark.sql import types as T
 from thermobox.llm.common import pieces, stored
 
 CAPACITY, END_ID = 2048, 0
-#: Words whose ids a worker keeps; beyond it the memory is emptied and refilled.
-CACHED_WORDS = 400_000
-_PLAIN = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+#: Units whose ids a worker keeps; beyond it the memory is emptied and refilled.
+CACHED_UNITS = 600_000
+_PLAIN = r"^(?P<letters>\p{L}+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 
 
 class WordTokenizer:
-    """Ids of whole texts, looked up by word.
+    """Ids of whole texts, looked up by unit.
 
     The tokenizer's pre-tokenizer never joins characters across white space, so a text's ids are
     those of its words in order. A word of letters followed by ASCII punctuation (no apostrophe) is
-    two units, letters and punctuation, each cut alone by the pre-tokenizer. New letter units are
-    encoded many at a time, joined by blanks, and told apart by the end-of-word mark of their last id.
+    two units, letters and punctuation, each cut alone by the pre-tokenizer; any other word is one
+    unit. New letter units are encoded many at a time, joined by blanks, and told apart by the
+    end-of-word mark of their last id.
     """
 
     def __init__(self, path: str):
@@ -52,60 +52,62 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for unit, number in vocabulary.items():
             self.ends[number] = unit.endswith("</w>")
-        self.known: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {"": b""}
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _learn_units(self, new: list[str]) -> None:
+    def _learn_letters(self, new: list[str]) -> None:
         for start in range(0, len(new), 2000):
             some = new[start:start + 2000]
             ids = self._encode(" ".join(some))
-            stops = np.flatnonzero(self.ends[ids]) + 1
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(stops) == len(some):
-                for unit, a, b in zip(some, [0, *stops[:-1]], stops):
-                    self.units[unit] = ids[a:b].tobytes()
+                self.units.update((unit, ids[a:b].tobytes()) for unit, a, b in zip(some, [0, *stops], stops))
             else:  # a character that this tokenizer does not take for a letter
-                for unit in some:
-                    self.units[unit] = self._encode(unit).tobytes()
-
-    def words(self, words: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each word."""
-        if len(self.known) + len(self.units) > CACHED_WORDS:
-            self.known, self.units = {}, {"": b""}
-        known = self.known
-        new = [w for w in words if w not in known]
-        split = [(w, m) for w in new if (m := _PLAIN.fullmatch(w))]
-        cased = {w: m[1].lower() if m[1].isascii() else m[1] for w, m in split}  # the tokenizer lowers by character
-        units = dict.fromkeys(u for w, m in split for u in (cased[w], m[2]))
-        self._learn_units([u for u in units if u not in self.units and u.isalpha()])
-        for u in units:
-            if u not in self.units:
-                self.units[u] = self._encode(u).tobytes()
-        out = {w: self.units[cased[w]] + self.units[m[2]] for w, m in split}
-        for w in new:
-            if w not in out:
-                out[w] = self._encode(w).tobytes()
-        result = [known.get(w) if w in known else out[w] for w in words]
-        known.update(out)
-        return result
+                self.units.update((unit, self._encode(unit).tobytes()) for unit in some)
+
+    def _ids(self, units: list[str], letters: bool) -> list[bytes]:
+        """Little-endian 32-bit ids of each unit."""
+        if len(self.units) > CACHED_UNITS:
+            self.units = {"": b""}
+        new = [u for u in units if u not in self.units]
+        if letters:
+            self._learn_letters(new)
+        else:
+            self.units.update((u, self._encode(u).tobytes()) for u in new)
+        return [self.units[u] for u in units]
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and where each text's ids start (one more entry)."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         coded = split.flatten().dictionary_encode()
-        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-        ids = self.words(coded.dictionary.to_pylist())
-        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), dtype="<u4")
-        at = coded.indices.to_numpy()
-        n = lengths[at]
-        ends = np.cumsum(n)
-        first = (np.cumsum(lengths) - lengths)[at] - (ends - n)
-        out = flat[np.repeat(first, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        words = coded.dictionary
+        parts = pc.extract_regex(words.cast(pa.string()), _PLAIN)
+        plain = parts.is_valid()
+        # the tokenizer lowers character by character, so lowering ASCII beforehand changes nothing
+        letters = pc.if_else(plain, pc.ascii_lower(parts.field("letters")), "").dictionary_encode()
+        marks = pc.if_else(plain, parts.field("marks"), "").dictionary_encode()
+        others = pc.if_else(plain, "", words.cast(pa.string())).dictionary_encode()
+        ids = [self._ids(x.dictionary.to_pylist(), i == 0) for i, x in enumerate((letters, marks, others))]
+        first = np.cumsum([0] + [len(x) for x in ids])
+        # at most two of a word's three units hold anything: letters and marks, or the whole word
+        units = np.column_stack([x.indices.to_numpy() + first[i] for i, x in enumerate((letters, marks, others))])
+        joined = [u for x in ids for u in x]
+        lengths = np.fromiter(map(len, joined), dtype=np.int64, count=len(joined)) // 4
+        flat = np.frombuffer(b"".join(joined), dtype="<u4")
+
+        def gather(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            n = lengths[rows]
+            ends = np.cumsum(n)
+            source = (np.cumsum(lengths) - lengths)[rows] - (ends - n)
+            return np.repeat(source, n) + np.arange(int(ends[-1]) if len(ends) else 0), n
+
+        at, n = gather(units.ravel())
+        flat, lengths = flat[at], n.reshape(-1, 3).sum(axis=1)  # now by word
+        at, n = gather(coded.indices.to_numpy())
         words_before = split.offsets.to_numpy() - split.offsets[0].as_py()
-        return out, np.concatenate([[0], ends])[words_before]
+        return flat[at], np.r_[0, np.cumsum(n)][words_before]
 
 
 @functools.cache
@@ -123,7 +125,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, e
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path)
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", 16 << 20):
             ids, starts = tokenizer.texts(batch.column("text"))
             row, piece, start, length, crc, kept = [], [], [], [], [], []
             for i in range(batch.num_rows):
