@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thermobox.llm import license_scan, near_dedup, pii, quality_rules, source_mix, token_packing, vector_search, warc_bundles
+from thermobox.llm import license_scan, line_quality, near_dedup, pii, quality_rules, source_mix, token_packing, vector_search, warc_bundles
 from thermobox.llm.common import table, tokenizer_file
 
 
@@ -34,6 +34,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_packing.op6(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_vector_search": op4_vector_search,
     "op5_near_dedup": op5_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_line_quality": op7_line_quality,
     "op9_pii": op9_pii,
     "op10_license_scan": op10_license_scan,
 }

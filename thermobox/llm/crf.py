@@ -59,8 +59,9 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, move: np.ndarray,
         inside = lengths > t
         both = ahead[inside, t - 1, :, None] + move + (scores[inside, t] + behind[inside, t])[:, None, :]
         steps += np.exp(both - total[inside, None, None]).sum(axis=0)
-    marginals = np.exp(ahead + behind - total[:, None, None])
-    marginals[np.arange(longest)[None, :] >= lengths[:, None]] = 0
+    inside = np.arange(longest)[None, :] < lengths[:, None]
+    marginals = np.zeros_like(scores)
+    marginals[inside] = np.exp((ahead + behind - total[:, None, None])[inside])
     return marginals, steps
 
 
@@ -71,21 +72,25 @@ def train(data: list[tuple[np.ndarray, np.ndarray]], features: int, labels: int,
     data = [(rows, gold) for rows, gold in data if len(gold)]
     if not data:
         return crf
-    rows, lengths = padded([r for r, _ in data], features)
-    gold, _ = padded([np.eye(labels)[g] for _, g in data], labels)
+    gold, lengths = padded([np.eye(labels)[g] for _, g in data], labels)
+    inside = np.arange(gold.shape[1])[None, :] < lengths[:, None]
+    rows = np.concatenate([r for r, _ in data])  # of all chains, one after the other
+    starts = np.cumsum(lengths) - lengths
     before, after = np.zeros_like(rows), np.zeros_like(rows)
-    before[:, 1:], after[:, :-1] = rows[:, :-1], rows[:, 1:]
-    flat = [x.reshape(-1, features) for x in (before, rows, after)]
+    before[1:], after[:-1] = rows[:-1], rows[1:]
+    before[starts], after[starts + lengths - 1] = 0, 0
+    flat = (before, rows, after)
     seen_steps = np.einsum("ctl,ctm->lm", gold[:, :-1], gold[:, 1:])
     row = np.arange(len(data))
+    scores = np.zeros_like(gold)
     first = [np.zeros_like(p) for p in crf.parameters()]
     second = [np.zeros_like(p) for p in crf.parameters()]
     for step in range(1, rounds + 1):
-        scores = sum(x @ w for x, w in zip(flat, crf.own)).reshape(gold.shape)
+        scores[inside] = sum(x @ w for x, w in zip(flat, crf.own))
         marginals, steps = forward_backward(scores, lengths, crf.move, crf.ends)
         error = marginals - gold
         slopes = [decay * p for p in crf.parameters()]
-        slopes[0] += np.stack([x.T @ error.reshape(-1, labels) for x in flat])
+        slopes[0] += np.stack([x.T @ error[inside] for x in flat])
         slopes[1] += steps - seen_steps
         slopes[2] += np.stack([error[:, 0].sum(axis=0), error[row, lengths - 1].sum(axis=0)])
         for p, g, m, v in zip(crf.parameters(), slopes, first, second):
