@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thermobox.llm import license_scan, line_quality, near_dedup, pii, quality_rules, source_mix, token_packing, vector_search, warc_bundles
+from thermobox.llm import language_id, license_scan, line_quality, near_dedup, pii, quality_rules, source_mix, token_packing, vector_search, warc_bundles
 from thermobox.llm.common import table, tokenizer_file
 
 
@@ -38,6 +38,15 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.op8(table(spark, sf_dir, "documents"))
+
+
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of op8 on pages, which have markup and addresses."""
+    return language_id.identify_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -54,6 +63,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_dedup": op5_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_line_quality": op7_line_quality,
+    "op8_language_id": op8_language_id,
+    "page_languages": page_languages,
     "op9_pii": op9_pii,
     "op10_license_scan": op10_license_scan,
 }
