@@ -47,7 +47,7 @@ def wide_of(state: GridState) -> GridState:
 
 
 def pressure_box(bbox, margin=1, top=500 * HPA, bottom=1000 * HPA):
-    return BoxRequest(bbox=bbox, margin=margin, top_pressure=top, bottom_mode="pressure_level", bottom_pressure=bottom)
+    return BoxRequest(bbox=bbox, margin=margin, top_pressure=top, bottom_pressure=bottom)
 
 
 def ground_box(bbox, margin=1, top=500 * HPA):

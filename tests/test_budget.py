@@ -16,6 +16,7 @@ from thermobox.operators.walls import (
     wall_sums,
 )
 from thermobox.operators.weights import horizontal_weights, wall_weights
+from thermobox.plans import diagnostics
 from thermobox.plans.budget import BUDGET_FIELDS, BudgetRun, hourly_moments, run_budget
 from thermobox.sources.state import GridState
 from thermobox.specs import ANCHOR_K, BoxRequest, SurfacePolicy
@@ -91,7 +92,7 @@ def wavy(spark, n=6, hole=False):
 
 
 BOX = BoxRequest(bbox=(40, 65, -130, -105))
-LEVEL_BOX = BoxRequest(bbox=(40, 65, -130, -105), bottom_mode="pressure_level", bottom_pressure=90000.0)
+LEVEL_BOX = BoxRequest(bbox=(40, 65, -130, -105), bottom_pressure=90000.0)
 VARIANTS = [(BOX, OVERFLOW), (BOX, CLIPPED), (LEVEL_BOX, OVERFLOW), (BOX, BLENDED), (LEVEL_BOX, BLENDED)]
 
 
@@ -206,3 +207,13 @@ def test_blend_cases(spark, sp, overflow):
     assert share.max_layers == (1 if touched else 0)
     assert share.pct_columns == (100.0 if touched else 0.0)
     assert share.pct_active == (None if sp <= 70000 else share.pct_columns)
+
+
+@pytest.mark.parametrize("n", [3, 4, 5])
+def test_running_integrals_of_short_runs(spark, n):
+    """The time step is that of the whole run, so the integral of one interior hour is rate times step."""
+    state = make_state(spark, **{**GRID, "times": hours(n)}, u=lambda t, k, i, j: 1.0 + t * t, sp=lambda t, i, j: 100000.0 + 90.0 * t * t)
+    run = run_budget(state, GROUND, OVERFLOW)
+    rates = [r.delta_mass for r in diagnostics.mass_series(run).orderBy("time").collect()]
+    sums = [r.cumulative_delta_mass for r in diagnostics.mass_cumulative(run).orderBy("time").collect()]
+    assert len(sums) == n - 2 and all(rates) and sums == pytest.approx(np.cumsum(rates))

@@ -7,11 +7,13 @@ from tests.grids import cells, ground_box, make_state, pressure_box
 from thermobox.operators.domain import (
     cell_volumes,
     halo_cells,
+    halo_points,
     horizontal_areas,
     measure_axes,
     resolve_box,
     wall_areas,
 )
+from thermobox.sources.state import GridState
 from thermobox.specs import EARTH_RADIUS, BoxRequest, BoxSpec, SurfacePolicy
 
 LEVELS = [100000.0, 90000.0, 80000.0, 70000.0, 60000.0, 50000.0]
@@ -37,7 +39,7 @@ def test_crop_to_cells(fine):
     assert [r.lon_id for r in inner_lons] == [1, 2, 3]
     assert [r.lat_mid for r in inner_lats] == [1.5, 2.5, 3.5, 4.5]
     assert [(r.lon_start, r.lon_end) for r in inner_lons] == [(11, 12), (12, 13), (13, 14)]
-    assert box.spec == BoxSpec(1.0, 5.0, 11.0, 14.0, 50000.0, "pressure_level", 100000.0)
+    assert box.spec == BoxSpec((1.0, 5.0), (11.0, 14.0), 50000.0, 100000.0)
     assert (box.lats.count(), box.lons.count()) == (6, 5)
 
 
@@ -63,19 +65,24 @@ def test_bad_pressures(fine, top, bottom):
 def test_bad_requests():
     with pytest.raises(ValueError, match="margin"):
         BoxRequest(margin=0)
-    with pytest.raises(ValueError, match="bottom mode"):
-        BoxRequest(bottom_mode="sea_level")
-    with pytest.raises(ValueError, match="bottom_pressure"):
-        BoxSpec(0, 1, 0, 1, 5e4, "pressure_level", None)
-    with pytest.raises(ValueError, match="lat_min"):
-        BoxSpec(2, 1, 0, 1, 5e4, "surface_pressure", None)
     with pytest.raises(ValueError, match="surface_mode"):
         SurfacePolicy(use_surface_fields=True)
 
 
-def test_bottom_pressure_is_dropped_in_surface_mode(fine):
-    request = BoxRequest(bbox=(0, 6, 10, 15), top_pressure=5e4, bottom_pressure=6e4)
-    assert resolve_box(fine, request).spec.bottom_pressure is None
+def test_box_to_the_ground_has_no_bottom_face(fine):
+    spec = resolve_box(fine, BoxRequest(bbox=(0, 6, 10, 15), top_pressure=5e4)).spec
+    assert spec.bottom_pressure is None and not spec.closed_below and "bottom" not in spec.walls
+
+
+def test_long_axis(spark):
+    """Only the halo of a long axis comes to the driver."""
+    lats = spark.range(250_000).selectExpr("'lat' AS axis", "id * 0.0005D AS value")
+    rest = spark.createDataFrame([("lon", float(x)) for x in range(6)] + [("level", 1e5), ("level", 9e4)], "axis string, value double")
+    axes = lats.unionByName(rest)
+    points = halo_points(axes, BoxRequest(bbox=(60.0, 60.005, 0.0, 5.0), margin=1))
+    assert points["lat"][0].n == 250_000 and len(points["lat"]) == 1 + 10
+    box = resolve_box(GridState(spark.range(0)), BoxRequest(bbox=(60.0, 60.005, 0.0, 5.0), margin=1, top_pressure=9e4), axes)
+    assert box.lats.count() == 10 and box.spec.lat == pytest.approx((60.0005, 60.0045))
 
 
 def test_box_edge_rules_match_index_search(fine, spark):

@@ -1,4 +1,4 @@
-"""Every registered query against its SQL on the smallest tables."""
+"""Every registered query against its SQL, on tables long enough for day slices and 24-hour windows."""
 
 import pytest
 
@@ -7,7 +7,7 @@ from thermobox.catalog import QUERIES
 from thermobox.oracles import sql
 from tests.compare import connect, differences
 
-SF_DIR = "/root/testdata/sf0.001"
+SF_DIR = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")

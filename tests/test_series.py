@@ -34,7 +34,7 @@ def values(df, name):
 
 @pytest.mark.parametrize("n, block", SIZES)
 def test_positions(spark, n, block):
-    series = index_by(make(spark, n)[0], min_block=block)
+    series = index_by(make(spark, n)[0], block_rows=block)
     assert series.length == n
     assert [r.step for r in series.frame.orderBy("time").collect()] == list(range(n))
 
@@ -42,7 +42,7 @@ def test_positions(spark, n, block):
 @pytest.mark.parametrize("n, block", SIZES)
 def test_centered_difference(spark, n, block):
     df, want = make(spark, n, missing={7})
-    got = values(centered_difference(index_by(df, min_block=block), {"rate": "x"}).frame, "rate")
+    got = values(centered_difference(index_by(df, block_rows=block), {"rate": "x"}).frame, "rate")
     x = want.x.astype(float).to_numpy()
     expected = (x[2:] - x[:-2]) / 7200.0
     np.testing.assert_allclose(got, expected, rtol=1e-12)
@@ -52,7 +52,7 @@ def test_centered_difference(spark, n, block):
 @pytest.mark.parametrize("n, block", SIZES)
 def test_rolling_mean(spark, n, block, window):
     df, want = make(spark, n, missing={30})
-    got = values(rolling_mean(index_by(df, min_block=block), ["x"], window).frame, "x")
+    got = values(rolling_mean(index_by(df, block_rows=block), ["x"], window).frame, "x")
     x = want.x.astype(float).to_numpy()
     expected = np.full(n, np.nan)
     for i in range(n):
@@ -65,14 +65,14 @@ def test_rolling_mean(spark, n, block, window):
 @pytest.mark.parametrize("n, block", SIZES)
 def test_running_sum(spark, n, block):
     df, want = make(spark, n, missing={7})
-    got = values(running_sum(index_by(df, min_block=block), {"total": F.col("x") * 2}).frame, "total")
+    got = values(running_sum(index_by(df, block_rows=block), {"total": F.col("x") * 2}).frame, "total")
     np.testing.assert_allclose(got, (want.x.astype(float).fillna(0) * 2).cumsum(), rtol=1e-12, atol=1e-12)
 
 
 def test_running_sum_after_ends_drop(spark):
     """Positions stay those of the full series after a centred difference."""
     df, want = make(spark, 40)
-    inner = centered_difference(index_by(df, min_block=6), {"rate": "x"})
+    inner = centered_difference(index_by(df, block_rows=6), {"rate": "x"})
     got = values(running_sum(inner, {"total": F.col("rate")}).frame, "total")
     x = want.x.to_numpy()
     np.testing.assert_allclose(got, np.cumsum((x[2:] - x[:-2]) / 7200), rtol=1e-9, atol=1e-12)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tests.grids import frame, hours, make_state, wide_of
 from thermobox.plans.budget import BUDGET_FIELDS, run_budget
 from thermobox.sources.harmonise import harmonise, slice_time, to_kelvin, unit_of, with_unit
+from thermobox.operators.domain import coordinate_axes
+from thermobox.plans.run import checked_run
 from thermobox.sources.layout import read_state, write_budget, write_state
 from thermobox.sources.quality import quality_report, validate
 from thermobox.sources.readers import (
@@ -95,6 +97,46 @@ def test_written_state_reads_narrow(spark, state, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/b").count() == 3
 
 
+def test_appended_periods_equal_one_write(spark, state, tmp_path):
+    longer = GridState(
+        state.upper.unionByName(state.upper.withColumn("time", F.expr("time + interval 1 day"))),
+        state.surface.unionByName(state.surface.withColumn("time", F.expr("time + interval 1 day"))),
+    )
+    write_state(longer, f"{tmp_path}/one")
+    first = F.to_date("time") == F.lit("2000-01-01").cast("date")
+    write_state(longer.restrict(first), f"{tmp_path}/two")
+    write_state(longer.restrict(~first), f"{tmp_path}/two", append=True, band_rows=100)
+    write_state(longer.restrict(~first), f"{tmp_path}/two", append=True)  # a day written again is replaced
+    one, two = (read_state(spark, f"{tmp_path}/{name}") for name in ("one", "two"))
+    assert one.upper.exceptAll(two.upper).isEmpty() and one.upper.count() == two.upper.count()
+    assert sorted(map(tuple, one.axes.collect())) == sorted(map(tuple, two.axes.collect()))
+
+
+def test_write_reads_its_input_once(spark, state, tmp_path):
+    rows = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    wide = state.rows(("T", "u", "v", "w"), ("sp",))
+    counted = GridState(wide.mapInArrow(seen, wide.schema), axes=coordinate_axes(wide))
+    write_state(counted, f"{tmp_path}/s")
+    assert rows.value == wide.count()
+
+
+def test_merged_source_cuts_folders_and_compares_twins(spark, state, tmp_path):
+    raw = state.rows(("T", "u", "v", "w"), ("sp",)).withColumn("date", F.to_date("time"))
+    raw.withColumn("temperature", F.col("T")).write.partitionBy("date").parquet(f"{tmp_path}/m")
+    loaded = load_state(spark, SourceSpec("merged", f"{tmp_path}/m", "2000-01-01T01", "2000-01-01T03"), largest={"level": 1e5, "lon": 0.0})
+    filters = plan_of(loaded.upper).split("PartitionFilters: ")[1].split("]")[0]
+    assert "date" in filters
+    raw.withColumn("temperature", F.col("T") + 1).write.partitionBy("date").parquet(f"{tmp_path}/n")
+    with pytest.raises(ValueError, match="disagree on T"):
+        load_state(spark, SourceSpec("merged", f"{tmp_path}/n"))
+
+
 def plan_of(df):
     """Physical plan with whole filter lists."""
     df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "10000")
@@ -220,6 +262,11 @@ def test_broken_states(good, spark):
         "dimensions_present": 0, "variables_present": 1}
     twice = GridState(good.upper, good.surface.unionByName(good.surface.where("lat = 45")))
     assert report(twice)["keys_unique"] == 25
+    sunk = GridState(good.upper, good.surface.where("NOT (lat = 45 AND lon = -120)"))
+    found = report(sunk)
+    assert found["ground_dense"] == good.surface.select("time").distinct().count() and found["grid_dense"] == 0
+    with pytest.raises(ValueError, match="ground_dense"):
+        checked_run(sunk, BoxRequest(), BLENDED)
     celsius = GridState(with_unit(good.upper, "T", "C"), good.surface)
     assert report(celsius)["temperature_in_kelvin"] == 1
     with pytest.raises(ValueError, match="grid_dense"):

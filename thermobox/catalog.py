@@ -29,17 +29,20 @@ from thermobox.operators.walls import blended_state, surface_cases, surface_shar
 from thermobox.operators.weights import horizontal_weights, volume_weights, wall_weights
 from thermobox.plans import diagnostics
 from thermobox.plans.budget import BudgetRun, run_budget, temperature_spread
+from thermobox.plans.run import run_source
+from thermobox.session import fresh_folder
 from thermobox.sources.events_grid import events_state, gridded_events
-from thermobox.sources.harmonise import harmonise, slice_time, with_unit
+from thermobox.sources.harmonise import MERGED_NAMES, harmonise, slice_time, with_unit
+from thermobox.sources.layout import read_state, write_budget, write_state
 from thermobox.sources.quality import quality_report
-from thermobox.sources.readers import merge_tables
-from thermobox.sources.state import UPPER_FIELDS, UPPER_KEYS, GridState
-from thermobox.specs import BoxRequest, SurfacePolicy
+from thermobox.sources.readers import VARIABLE_FILES, load_state, merge_tables
+from thermobox.sources.state import NEAR_SURFACE_FIELDS, SURFACE_FIELDS, SURFACE_KEYS, UPPER_FIELDS, UPPER_KEYS, GridState
+from thermobox.specs import BoxRequest, SourceSpec, SurfacePolicy
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 GROUND = BoxRequest()
-LEVEL = BoxRequest(bottom_mode="pressure_level", bottom_pressure=90000.0)
+LEVEL = BoxRequest(bottom_pressure=90000.0)
 OVERFLOW = SurfacePolicy()
 CLIPPED = SurfacePolicy(allow_overflow=False)
 BLENDED = SurfacePolicy(use_surface_fields=True, surface_mode="combined")
@@ -127,11 +130,10 @@ def harmonised(spark, sf_dir):
 
 
 def merge_sources(spark, sf_dir):
+    """All variables side by side; each table lacks other points, and a point in any table is kept."""
     upper = _state(spark, sf_dir).upper
-    tables = {
-        "T": upper.where("level >= 80000").select(*UPPER_KEYS, "T"),
-        "u": upper.where("level <= 90000").select(*UPPER_KEYS, "u"),
-    }
+    lacking = {"T": "level >= 80000", "u": "level <= 90000", "v": "lat > 45", "w": "lon < -112"}
+    tables = {name: upper.where(rule).select(*UPPER_KEYS, name) for name, rule in lacking.items()}
     return rounded(merge_tables(tables, UPPER_KEYS), 10)
 
 
@@ -296,12 +298,16 @@ def t_scale(spark, sf_dir):
 RATES = ("d_dt_T", "dT_dt", "dT_dt_2", "dV_dt", "advection_term", "advection_error", "adiabatic_term", "diabatic_term")
 
 
-def scaled_budget(run: BudgetRun) -> DataFrame:
-    return rounded(run.table().select(
+def scaled(table: DataFrame) -> DataFrame:
+    return rounded(table.select(
         "time", *[_hourly_rate(name) for name in RATES], "T_domain_avg",
         (F.col("domain_volume") / 1e15).alias("domain_volume"), "T_scale"))
 
 
+def scaled_budget(run: BudgetRun) -> DataFrame:
+    return scaled(run.table())
+
+
 def _budget(request: BoxRequest, policy: SurfacePolicy) -> Query:
     return lambda spark, sf_dir: scaled_budget(_run(spark, sf_dir, request, policy))
 
@@ -322,12 +328,102 @@ def _summary(table: Callable[[BudgetRun], DataFrame], scale: Sequence[str] = (),
 
 
 def quantile_residual(spark, sf_dir):
-    """Binned on rounded dV/dt: many hours share a value up to the last bits, which decide bins."""
-    frame = _run(spark, sf_dir).series.frame.select(
-        (F.col("dV_dt") / 1e9).alias("dV_dt"),
-        ((F.col("dV_dt") + F.col("net_mass_advection")) / 1e9).alias("residual"),
-    ).withColumn("shared", F.round("dV_dt", 6))
-    return rounded(diagnostics.binned_means(frame, "shared", ("dV_dt", "residual")))
+    binned = diagnostics.binned_residual(_run(spark, sf_dir), key=F.round(F.col("dV_dt") / 1e9, 6))
+    return rounded(binned.withColumns({n: F.col(n) / 1e9 for n in ("mean_dV_dt", "mean_residual")}))
+
+
+# Stored state, written results and raw layouts, below the shared folder
+
+
+def _stored_run(spark, sf_dir, policy: SurfacePolicy, fields: tuple[str, ...]) -> BudgetRun:
+    folder = fresh_folder(spark, "state")
+    write_state(_state(spark, sf_dir), folder, fields)
+    return run_budget(read_state(spark, folder), GROUND, policy)
+
+
+def budget_stored(spark, sf_dir):
+    return scaled_budget(_stored_run(spark, sf_dir, OVERFLOW, SURFACE_FIELDS))
+
+
+def budget_stored_blended(spark, sf_dir):
+    return scaled_budget(_stored_run(spark, sf_dir, BLENDED, (*SURFACE_FIELDS, *NEAR_SURFACE_FIELDS)))
+
+
+def budget_appended(spark, sf_dir):
+    """The later days are written first, the earlier ones appended."""
+    folder, state = fresh_folder(spark, "state"), _state(spark, sf_dir)
+    split = F.lit("2024-01-03 00:00:00").cast("timestamp_ntz")
+    write_state(state.restrict(F.col("time") >= split), folder)
+    write_state(state.restrict(F.col("time") < split), folder, append=True)
+    return scaled_budget(run_budget(read_state(spark, folder), GROUND))
+
+
+def budget_written(spark, sf_dir):
+    folder = fresh_folder(spark, "budget")
+    run = _run(spark, sf_dir)
+    write_budget(run.table(), folder)
+    return scaled(spark.read.parquet(folder))
+
+
+def budget_checked(spark, sf_dir):
+    """From raw tables to the budget in one call: load, store, validate, run."""
+    folder = fresh_folder(spark, "raw")
+    write_per_variable(spark, sf_dir, folder)
+    source = SourceSpec("per_variable", folder, units={"T": "C", "T2m": "K"})
+    run, _ = run_source(spark, source, GROUND, OVERFLOW, fresh_folder(spark, "state"))
+    return scaled_budget(run)
+
+
+def write_per_variable(spark, sf_dir, folder: str) -> None:
+    """One table per variable under the names of that layout, without units."""
+    points = gridded_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    keys = [F.col("time").alias("valid_time"), (F.col("lon") + 360).alias("longitude"), F.col("lat").alias("latitude")]
+    for name, (stem, raw) in VARIABLE_FILES.items():
+        upper = name in UPPER_FIELDS
+        value = F.col(name) - F.lit(273.15) if name == "T" else F.col(name)
+        rows = points if upper else points.where("layer = 0")
+        levels = [(F.col("level") / 100).alias("pressure_level")] if upper else []
+        rows.select(*keys, *levels, F.lit(1).alias("number"), value.alias(raw)).write.parquet(f"{folder}/{stem}.parquet")
+
+
+def load_merged(spark, sf_dir):
+    """The merged layout by date under long names, loaded for a part of the time with the near-surface fields."""
+    points = gridded_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    names = {new: old for old, new in MERGED_NAMES.items()}
+    fields = (*UPPER_FIELDS, *SURFACE_FIELDS, *NEAR_SURFACE_FIELDS)
+    ground = points.where("layer = 0").select(*SURFACE_KEYS, *SURFACE_FIELDS, *NEAR_SURFACE_FIELDS)
+    raw = points.select(*UPPER_KEYS, *UPPER_FIELDS).join(ground, list(SURFACE_KEYS)).withColumn("date", F.to_date("time"))
+    raw = raw.withColumnsRenamed({**{n: names[n] for n in fields}, "time": "valid_time", "level": "isobaricInhPa"})
+    raw = raw.withColumns({"isobaricInhPa": F.col("isobaricInhPa") / 100, "lon": F.col("lon") + 360})
+    folder = fresh_folder(spark, "merged")
+    raw.write.partitionBy("date").parquet(folder)
+    state = load_state(spark, SourceSpec("merged", folder, "2024-01-01T02", "2024-01-02T05"), BLENDED)
+    return rounded(state.upper.select(*UPPER_KEYS, *fields), 9)
+
+
+def load_per_variable(spark, sf_dir):
+    """The per-variable layout, ground and upper air side by side."""
+    folder = fresh_folder(spark, "variables")
+    write_per_variable(spark, sf_dir, folder)
+    state = load_state(spark, SourceSpec("per_variable", folder, units={"T": "C", "T2m": "K"}), BLENDED)
+    fields = (*SURFACE_FIELDS, *NEAR_SURFACE_FIELDS)
+    return rounded(state.rows(UPPER_FIELDS, fields).select(*UPPER_KEYS, *UPPER_FIELDS, *fields), 9)
+
+
+def quality_report_broken(spark, sf_dir):
+    """A state with every fault: repeated keys, holes in both tables, a missing hour, axes read backwards, Celsius."""
+    points = gridded_events(spark.read.parquet(f"{sf_dir}/events.parquet")).where("event_id DIV 100 <> 3")
+    upper = points.where("event_id % 1000 <> 77").unionByName(points.where("event_id % 500 = 13"))
+    upper = with_unit(upper.withColumn("place", -F.col("event_id")), "T", "C")
+    surface = points.where("layer = 0 AND event_id % 700 <> 5").select(*SURFACE_KEYS, "sp")
+    surface = surface.unionByName(points.where("event_id % 400 = 2").select(*SURFACE_KEYS, "sp"))
+    return quality_report(GridState(upper, surface), order="place")
+
+
+def resolved_box(spark, sf_dir):
+    """One row: the bounds of the domain after snapping and margin."""
+    spec = _boxed(spark, sf_dir, BoxRequest(bbox=(41.0, 59.0, -129.0, -111.0)))[1].spec
+    return spark.createDataFrame([(*spec.lat, *spec.lon, spec.top_pressure)], "lat_low double, lat_high double, lon_low double, lon_high double, top double")
 
 
 QUERIES: dict[str, Query] = {
@@ -376,6 +472,15 @@ QUERIES: dict[str, Query] = {
     "budget_level": _budget(LEVEL, OVERFLOW),
     "budget_blended": _budget(GROUND, BLENDED),
     "budget_level_blended": _budget(LEVEL, BLENDED),
+    "budget_stored": budget_stored,
+    "budget_stored_blended": budget_stored_blended,
+    "budget_appended": budget_appended,
+    "budget_written": budget_written,
+    "budget_checked": budget_checked,
+    "load_merged": load_merged,
+    "load_per_variable": load_per_variable,
+    "quality_report_broken": quality_report_broken,
+    "resolved_box": resolved_box,
     "constant_t": _summary(diagnostics.constant_temperature_check),
     "constant_t_budget": constant_t_budget,
     "mass_continuity": _summary(diagnostics.mass_continuity, ("dV_dt", "net_mass_advection", "plot_limit"), 1e9),

@@ -1,8 +1,8 @@
 """Axes, cell geometry and the resolution of a request to whole cells.
 
-Coordinate axes are the one thing read eagerly: a few thousand numbers that give
-the literal bounds for the scan and the broadcast dimension tables. Their size is
-limited by AXIS_LIMIT; a source with more distinct coordinates is refused.
+The coordinates of the halo, and all levels, are the one thing read eagerly: they give
+the literal bounds for the scan and the dimension tables. Snapping happens in Spark, so a
+small box on a large grid brings only its own coordinates to the driver.
 """
 
 from __future__ import annotations
@@ -18,9 +18,6 @@ from thermobox.functions.columns import cell_area
 from thermobox.sources.state import GridState, grid_key
 from thermobox.specs import EARTH_RADIUS, BoxRequest, BoxSpec
 
-AXIS_LIMIT = 200_000
-
-
 def coordinate_axes(upper: DataFrame) -> DataFrame:
     """Distinct coordinates as (axis, value). Each branch scans one key column."""
     branches = [
@@ -50,8 +47,7 @@ def measure_axes(axes: DataFrame, request: BoxRequest | None = None) -> DataFram
         )
     along = Window.partitionBy("axis").orderBy(F.expr("if(axis = 'level', -value, value)"))
     return (
-        axes.limit(AXIS_LIMIT + 1)
-        .select(
+        axes.select(
             "axis",
             "value",
             (F.row_number().over(along) - 1).alias("id"),
@@ -156,17 +152,37 @@ def _table(spark: SparkSession, rows: list[dict], schema: pa.Schema) -> DataFram
     return spark.createDataFrame(pa.Table.from_pylist(rows, schema=schema))
 
 
-def _inside(name: str, starts: list[float], low: float, high: float) -> None:
-    if low < starts[0] or high > starts[-1]:
+def _inside(name: str, axis: Row, low: float, high: float) -> None:
+    if low < axis.low or high > axis.high:
         raise ValueError(f"requested {name} range is outside the grid")
 
 
-def _snap(cells: list[Row], margin: int) -> tuple[int, int]:
-    """First and last cell id of the domain: covered cells less the margin on each side."""
-    touched = [cell.id for cell in cells if cell.covered]
-    if not touched or touched[0] + margin > touched[-1] - margin:
+def _halo(points: list[Row]) -> list[Row]:
+    """The cells of the domain and one on either side."""
+    first, last = points[0].first_in, points[0].last_in
+    if first is None or first > last:
         raise ValueError("domain too small after snapping to cells and applying the margin")
-    return touched[0] + margin, touched[-1] - margin
+    return [r for r in points if first - 1 <= r.id <= last + 1 and r.upper_edge is not None]
+
+
+def halo_points(axes: DataFrame, request: BoxRequest) -> dict[str, list[Row]]:
+    """Per axis the first point, and of lat and lon the halo, of level all points, by id.
+
+    Each row carries its axis' size `n`, range `low`..`high`, number of distinct keys `n_keys` and the
+    first and last cell of the domain (NULL where no cell is touched).
+    """
+    whole = Window.partitionBy("axis")
+    touched = F.when(F.col("covered") & F.col("upper_edge").isNotNull(), F.col("id"))
+    keys_before = F.lag("key").over(whole.orderBy("id"))
+    measured = measure_axes(axes, request).withColumn("new_key", (~F.col("key").eqNullSafe(keys_before)).cast("long"))
+    measured = measured.withColumns({
+        "n": F.count("*").over(whole), "low": F.min("value").over(whole), "high": F.max("value").over(whole),
+        "n_keys": F.sum("new_key").over(whole),
+        "first_in": F.min(touched).over(whole) + request.margin, "last_in": F.max(touched).over(whole) - request.margin,
+    })
+    near = F.col("id").between(F.col("first_in") - 1, F.col("last_in") + 1) & F.col("upper_edge").isNotNull()
+    rows = measured.where((F.col("axis") == "level") | (F.col("id") == 0) | near).collect()
+    return {name: sorted((r for r in rows if r.axis == name), key=lambda r: r.id) for name in ("level", "lat", "lon")}
 
 
 def resolve_box(state: GridState, request: BoxRequest, axes: DataFrame | None = None) -> Box:
@@ -177,41 +193,28 @@ def resolve_box(state: GridState, request: BoxRequest, axes: DataFrame | None =
     spark = state.upper.sparkSession
     if axes is None:
         axes = coordinate_axes(state.upper) if state.axes is None else state.axes
-    rows = measure_axes(axes, request).collect()
-    if len(rows) > AXIS_LIMIT:
-        raise ValueError(f"more than {AXIS_LIMIT} distinct coordinates: not a regular grid")
-    by_axis = {name: sorted((r for r in rows if r.axis == name), key=lambda r: r.id)
-               for name in ("level", "lat", "lon")}
-    levels, lats, lons = by_axis["level"], by_axis["lat"], by_axis["lon"]
+    by_axis = halo_points(axes, request)
     for name, points in by_axis.items():
-        if len(points) < 2:
+        if not points or points[0].n < 2:
             raise ValueError(f"axis {name} needs at least two points")
-        if len({point.key for point in points}) < len(points):
+        if points[0].n_keys < points[0].n:
             raise ValueError(f"axis {name} has points closer than a millionth")
 
-    m = request.margin
-    lat_cells, lon_cells = lats[:-1], lons[:-1]
-    if len(lat_cells) - 2 * m <= 0 or len(lon_cells) - 2 * m <= 0:
+    levels, lats, lons = by_axis["level"], by_axis["lat"], by_axis["lon"]
+    if any(points[0].n - 1 - 2 * request.margin <= 0 for points in (lats, lons)):
         raise ValueError("margin is too large for this grid")
     lat0, lat1, lon0, lon1 = (float(edge) for edge in request.bbox)
-    _inside("latitude", [r.value for r in lats], lat0, lat1)
-    _inside("longitude", [r.value for r in lons], lon0, lon1)
+    _inside("latitude", lats[0], lat0, lat1)
+    _inside("longitude", lons[0], lon0, lon1)
     level_values = [r.value for r in levels]
     _check_pressures(request, level_values)
-
-    lat_first, lat_last = _snap(lat_cells, m)
-    lon_first, lon_last = _snap(lon_cells, m)
-    halo_lats = [r for r in lat_cells if lat_first - 1 <= r.id <= lat_last + 1]
-    halo_lons = [r for r in lon_cells if lon_first - 1 <= r.id <= lon_last + 1]
+    halo_lats, halo_lons = _halo(lats), _halo(lons)
 
     spec = BoxSpec(
-        lat_min=halo_lats[1].lower_edge,
-        lat_max=halo_lats[-2].upper_edge,
-        lon_min=halo_lons[1].lower_edge,
-        lon_max=halo_lons[-2].upper_edge,
+        lat=(halo_lats[1].lower_edge, halo_lats[-2].upper_edge),
+        lon=(halo_lons[1].lower_edge, halo_lons[-2].upper_edge),
         top_pressure=float(request.top_pressure),
-        bottom_mode=request.bottom_mode,
-        bottom_pressure=float(request.bottom_pressure) if request.bottom_mode == "pressure_level" else None,
+        bottom_pressure=None if request.bottom_pressure is None else float(request.bottom_pressure),
     )
     level_table = [
         dict(level=r.value, level_key=r.key, level_id=r.id, p_start=r.lower_edge, p_end=r.upper_edge, p_mid=r.middle, dp=r.width,
@@ -221,12 +224,12 @@ def resolve_box(state: GridState, request: BoxRequest, axes: DataFrame | None =
     ]
     lat_table = [
         dict(lat=r.value, lat_key=r.key, lat_id=r.id, lat_start=r.lower_edge, lat_end=r.upper_edge, lat_mid=r.middle,
-             d_phi=r.radians, d_sin=r.d_sin, lat_in=lat_first <= r.id <= lat_last)
+             d_phi=r.radians, d_sin=r.d_sin, lat_in=r.first_in <= r.id <= r.last_in)
         for r in halo_lats
     ]
     lon_table = [
         dict(lon=r.value, lon_key=r.key, lon_id=r.id, lon_start=r.lower_edge, lon_end=r.upper_edge, lon_mid=r.middle,
-             d_lon=r.radians, lon_in=lon_first <= r.id <= lon_last)
+             d_lon=r.radians, lon_in=r.first_in <= r.id <= r.last_in)
         for r in halo_lons
     ]
     return Box(
@@ -242,10 +245,8 @@ def resolve_box(state: GridState, request: BoxRequest, axes: DataFrame | None =
 
 
 def _check_pressures(request: BoxRequest, level_values: list[float]) -> None:
-    if request.bottom_mode != "pressure_level":
-        return
     if request.bottom_pressure is None:
-        raise ValueError("bottom_pressure is needed with bottom_mode='pressure_level'")
+        return
     lowest, highest = min(level_values), max(level_values)
     for name, pressure in (("bottom", request.bottom_pressure), ("top", request.top_pressure)):
         if not lowest <= pressure <= highest:

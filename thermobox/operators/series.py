@@ -21,8 +21,7 @@ from thermobox.session import materialise
 
 # monotonically_increasing_id: partition number above bit 33, row number below.
 _ROW_BITS = 33
-MIN_BLOCK = 8192
-MAX_BLOCKS = 1024
+BLOCK_ROWS = 8192
 
 
 @dataclass(frozen=True)
@@ -44,7 +43,7 @@ class Series:
 
 
 def index_by(
-    df: DataFrame, key: str = "time", ties: Sequence[str] = (), min_block: int = MIN_BLOCK
+    df: DataFrame, key: str = "time", ties: Sequence[str] = (), block_rows: int = BLOCK_ROWS
 ) -> Series:
     """Store `df` in key order and number its rows; `ties` order rows of equal key.
 
@@ -69,15 +68,12 @@ def index_by(
     if length and set(starts) != {0}:
         pairs = [F.lit(v).cast("long") for pair in starts.items() for v in pair]
         step = row + F.element_at(F.create_map(*pairs), part)
-    block = max(min_block, math.ceil(length / MAX_BLOCKS))
-    return Series(located.withColumn("step", step).drop("_at"), length, block, key)
+    return Series(located.withColumn("step", step).drop("_at"), length, block_rows, key)
 
 
 def _framed(series: Series, before: int, after: int) -> tuple[DataFrame, Column]:
     """Rows with `_block`, border rows copied so that frames [-before, after] are complete."""
     step, size = F.col("step"), F.lit(series.block)
-    if series.blocks == 1:
-        return series.frame.withColumn("_block", F.lit(0)), F.lit(True)
     own = F.floor(step / size)
     first = F.greatest(F.floor((step - F.lit(after)) / size), F.lit(0))
     last = F.least(F.floor((step + F.lit(before)) / size), F.lit(series.blocks - 1))
@@ -122,44 +118,44 @@ def rolling_mean(series: Series, names: Sequence[str], window: int) -> Series:
     return series.map(frame.withColumns(means).where(own).drop("_block"))
 
 
+def _before(sums: DataFrame, names: Sequence[str], part: str, order: str) -> DataFrame:
+    """`sums` with _name, the sum of each name over the earlier rows of the same `part`."""
+    earlier = Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return sums.withColumns({f"_{name}": F.coalesce(F.sum(name).over(earlier), F.lit(0.0)) for name in names})
+
+
 def running_sum(series: Series, totals: Mapping[str, Column]) -> Series:
-    """Sum of each {output: expression} up to and including the row; missing values count as 0."""
+    """Sum of each {output: expression} up to and including the row; missing values count as 0.
+
+    Totals go up two levels: rows to blocks, blocks to groups of as many blocks. A window sees one block,
+    one group, or all groups, of which a series of 8192^3 rows has 8192.
+    """
     step, size = F.col("step"), F.lit(series.block)
-    block = F.lit(0) if series.blocks == 1 else F.floor(step / size)
-    frame = series.frame.withColumns(dict(totals)).withColumn("_block", block)
+    names = list(totals)
+    frame = series.frame.withColumns(dict(totals)).withColumn("_block", F.floor(step / size))
     upto = (
         Window.partitionBy("_block").orderBy("step")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    within = frame.withColumns({name: F.coalesce(F.sum(name).over(upto), F.lit(0.0)) for name in totals})
-    if series.blocks == 1:
-        return series.map(within.drop("_block"))
-    # At most MAX_BLOCKS rows.
-    sums = frame.groupBy("_block").agg(*[F.sum(name).alias(name) for name in totals])
-    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.select(
-        "_block", *[F.coalesce(F.sum(name).over(earlier), F.lit(0.0)).alias(f"_{name}") for name in totals]
-    )
-    joined = within.join(F.broadcast(carried), "_block")
+    within = frame.withColumns({name: F.coalesce(F.sum(name).over(upto), F.lit(0.0)) for name in names})
+    blocks = frame.groupBy("_block").agg(*[F.sum(name).alias(name) for name in names])
+    blocks = blocks.withColumn("_group", F.floor(F.col("_block") / size))
+    groups = blocks.groupBy("_group").agg(*[F.sum(name).alias(name) for name in names]).withColumn("_all", F.lit(0))
+    of_groups = _before(groups, names, "_all", "_group").select("_group", *[F.col(f"_{n}").alias(f"_group_{n}") for n in names])
+    of_blocks = _before(blocks, names, "_group", "_block").join(of_groups, "_group")
+    carried = of_blocks.select("_block", *[(F.col(f"_{n}") + F.col(f"_group_{n}")).alias(f"_{n}") for n in names])
+    joined = within.join(carried, "_block")
     return series.map(
-        joined.withColumns({name: F.col(name) + F.col(f"_{name}") for name in totals})
-        .drop("_block", *[f"_{name}" for name in totals])
+        joined.withColumns({name: F.col(name) + F.col(f"_{name}") for name in names})
+        .drop("_block", *[f"_{name}" for name in names])
     )
 
 
 def step_seconds(series: Series) -> DataFrame:
-    """Seconds between the first two rows, as one row `dt`."""
-    lead = series.frame.where(F.col("step").isin(*_first_two(series)))
-    key = series.key
-    return lead.agg(
-        seconds_between(F.min(key), F.max(key), _is_numeric(series.frame, key)).cast("double").alias("dt")
-    )
-
-
-def _first_two(series: Series) -> tuple[int, int]:
-    # Interior series start at 1; the step between positions 1 and 2 exists for every
-    # series long enough to have a rate, and time steps are regular by validation.
-    return (1, 2) if series.length > 3 else (0, 1)
+    """Seconds between the first two rows of a whole series, as one row `dt`; NULL with fewer than two."""
+    first = series.frame.where(F.col("step") < 2)
+    elapsed = seconds_between(F.min(series.key), F.max(series.key), _is_numeric(series.frame, series.key))
+    return first.agg(F.when(F.count(series.key) == 2, elapsed.cast("double")).alias("dt"))
 
 
 def daily(df: DataFrame, means: Sequence[str] = (), sums: Mapping[str, Column] | None = None) -> DataFrame:

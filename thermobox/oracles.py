@@ -234,10 +234,6 @@ def _budget(v: Variant) -> str:
     ]) + " FROM bud"
 
 
-def _signed(prefix: str = "") -> list[tuple[str, str]]:
-    return [("advection_term", "-net_heat"), ("adiabatic_term", "adiabatic"), ("diabatic_term", "diab")]
-
-
 def _hourly(n: int) -> str:
     before, after = n // 2, n - 1 - n // 2
     raw = {"domain_volume": "volume / 1e15", "T_domain_avg": "mean_t", "dT_dt": "st * 3600 / volume",
@@ -360,6 +356,8 @@ def sql() -> dict[str, str]:
     bud = whole(SURFACE)
     wall_cols = lambda prefix, volume: ", ".join(kh(f"{prefix}_{w}", f"{prefix}_{w}", volume) for w in SURFACE.walls)
     fields9 = ", ".join(rnd(n, a, 10) for n, a in (("temp", "T"), ("u", "u"), ("v", "v"), ("w", "w")))
+    loaded = ", ".join(rnd(n, a, 9) for n, a in (
+        ("temp", "T"), ("u", "u"), ("v", "v"), ("w", "w"), ("sp", "sp"), ("t2m", "T2m"), ("u10", "u10"), ("v10", "v10")))
     out = {
         "cell_edges": "WITH" + GRID + "," + LEVELS + " SELECT level, level_id, p_start, p_end FROM lev",
         "bbox_cells": "WITH" + GRID + "," + _axis("lat", 43, 57) + "," + _axis("lon", -124, -112) + """
@@ -379,11 +377,47 @@ FROM lev, lon_d, (SELECT unnest(['south', 'north']) AS wall)""",
                               " FROM lev, lat_d, lon_d WHERE lat_in AND lon_in",
         "harmonise": "WITH" + GRID + f" SELECT time, level, lat, lon, {fields9} FROM grid",
         "merge_sources": "WITH" + GRID + f"""
-SELECT coalesce(a.time, b.time) AS time, coalesce(a.level, b.level) AS level, coalesce(a.lat, b.lat) AS lat,
-       coalesce(a.lon, b.lon) AS lon, {rnd("temp", "T", 10)}, {rnd("u", "u", 10)}
-FROM (SELECT time, level, lat, lon, temp FROM grid WHERE level >= 80000) a
-FULL JOIN (SELECT time, level, lat, lon, u FROM grid WHERE level <= 90000) b
-ON a.time = b.time AND a.level = b.level AND a.lat = b.lat AND a.lon = b.lon""",
+SELECT time, level, lat, lon, {rnd("CASE WHEN level >= 80000 THEN temp END", "T", 10)}, {rnd("CASE WHEN level <= 90000 THEN u END", "u", 10)},
+       {rnd("CASE WHEN lat > 45 THEN v END", "v", 10)}, {rnd("CASE WHEN lon < -112 THEN w END", "w", 10)}
+FROM grid WHERE level >= 80000 OR level <= 90000 OR lat > 45 OR lon < -112""",
+        "load_merged": "WITH" + GRID + f"""
+SELECT grid.time, level, grid.lat, grid.lon, {loaded} FROM grid JOIN ground USING (time, lat, lon)
+WHERE grid.time >= TIMESTAMP '2024-01-01 02:00:00' AND grid.time < TIMESTAMP '2024-01-02 06:00:00'""",
+        "load_per_variable": "WITH" + GRID + f"""
+SELECT grid.time, level, grid.lat, grid.lon, {loaded} FROM grid JOIN ground USING (time, lat, lon)""",
+        "quality_report_broken": "WITH" + GRID + """,
+kept AS (SELECT * FROM grid WHERE h <> 3),
+upper_air AS (SELECT * FROM kept WHERE e % 1000 <> 77 UNION ALL SELECT * FROM kept WHERE e % 500 = 13),
+floor AS (SELECT time, lat, lon FROM kept WHERE k = 0 AND e % 700 <> 5
+          UNION ALL SELECT time, lat, lon FROM kept WHERE e % 400 = 2),
+t AS (SELECT DISTINCT time FROM upper_air),
+span AS (SELECT epoch_us(min(time)) AS first, epoch_us(max(time)) - epoch_us(min(time)) AS width, count(*) AS n FROM t),
+seen AS (SELECT 'level' AS axis, -level AS value, min(-e) AS place FROM upper_air GROUP BY level
+         UNION ALL SELECT 'lat', lat, min(-e) FROM upper_air GROUP BY lat
+         UNION ALL SELECT 'lon', lon, min(-e) FROM upper_air GROUP BY lon),
+breaks AS (SELECT axis, value <= lag(value) OVER (PARTITION BY axis ORDER BY place) AS wrong FROM seen),
+rules AS (
+  SELECT 'dimensions_present' AS rule, 0::BIGINT AS n_bad
+  UNION ALL SELECT 'variables_present', 0
+  UNION ALL SELECT 'keys_unique', (SELECT count(*) - count(DISTINCT (time, level, lat, lon)) FROM upper_air)
+            + (SELECT count(*) - count(DISTINCT (time, lat, lon)) FROM floor)
+  UNION ALL SELECT 'grid_dense', (SELECT count(*) FROM t) * (SELECT count(DISTINCT level) FROM upper_air)
+            * (SELECT count(DISTINCT lat) FROM upper_air) * (SELECT count(DISTINCT lon) FROM upper_air)
+            - (SELECT count(DISTINCT (time, level, lat, lon)) FROM upper_air)
+  UNION ALL SELECT 'ground_dense', (SELECT count(*) FROM t) * (SELECT count(DISTINCT lat) FROM upper_air)
+            * (SELECT count(DISTINCT lon) FROM upper_air)
+            - (SELECT count(DISTINCT (time, lat, lon)) FROM floor WHERE time IN (SELECT time FROM t))
+  UNION ALL SELECT 'levels_descending', count(*) FILTER (wrong) FROM breaks WHERE axis = 'level'
+  UNION ALL SELECT 'latitudes_ascending', count(*) FILTER (wrong) FROM breaks WHERE axis = 'lat'
+  UNION ALL SELECT 'longitudes_ascending', count(*) FILTER (wrong) FROM breaks WHERE axis = 'lon'
+  UNION ALL SELECT 'temperature_in_kelvin', 1
+  UNION ALL SELECT 'time_regular', count(*) FILTER (width % (n - 1) <> 0 OR (epoch_us(time) - first) % (width // (n - 1)) <> 0)
+            FROM t, span)
+SELECT rule, n_bad = 0 AS ok, n_bad FROM rules""",
+        "resolved_box": "WITH" + GRID + "," + _axis("lat", 41, 59) + "," + _axis("lon", -129, -111) + """
+SELECT (SELECT min(lat_a) FROM lat_d WHERE lat_in) AS lat_low, (SELECT max(lat_b) FROM lat_d WHERE lat_in) AS lat_high,
+       (SELECT min(lon_a) FROM lon_d WHERE lon_in) AS lon_low, (SELECT max(lon_b) FROM lon_d WHERE lon_in) AS lon_high,
+       70000::DOUBLE AS top""",
         "time_slice": "WITH" + GRID + f""" SELECT time, level, lat, lon, {rnd("temp", "T", 10)} FROM grid
 WHERE time >= TIMESTAMP '2024-01-02 00:00:00' AND time < TIMESTAMP '2024-01-04 00:00:00'""",
         "quality_report": "WITH" + GRID + """,
@@ -400,6 +434,8 @@ rules AS (
   UNION ALL SELECT 'grid_dense', (SELECT count(*) FROM t) * (SELECT count(DISTINCT level) FROM grid)
             * (SELECT count(DISTINCT lat) FROM grid) * (SELECT count(DISTINCT lon) FROM grid)
             - (SELECT count(DISTINCT (time, level, lat, lon)) FROM grid)
+  UNION ALL SELECT 'ground_dense', (SELECT count(*) FROM t) * (SELECT count(DISTINCT lat) FROM grid)
+            * (SELECT count(DISTINCT lon) FROM grid) - (SELECT count(DISTINCT (time, lat, lon)) FROM ground)
   UNION ALL SELECT 'levels_descending', count(*) FILTER (wrong) FROM breaks WHERE axis = 'level'
   UNION ALL SELECT 'latitudes_ascending', count(*) FILTER (wrong) FROM breaks WHERE axis = 'lat'
   UNION ALL SELECT 'longitudes_ascending', count(*) FILTER (wrong) FROM breaks WHERE axis = 'lon'
@@ -491,4 +527,7 @@ FROM dom WHERE level = 70000 GROUP BY time""",
         "closure": bud + f""" SELECT time, {kh("st", "dT_dt")}, {kh("-net_heat + adiabatic + diab", "dT_dt_from_terms")},
 {rnd("(-net_heat + adiabatic + diab) * 3600 / volume - st * 3600 / volume", "gap")} FROM bud""",
     }
+    for same, of in (("budget_stored", "budget"), ("budget_stored_blended", "budget_blended"), ("budget_appended", "budget"),
+                     ("budget_written", "budget"), ("budget_checked", "budget")):
+        out[same] = out[of]
     return out

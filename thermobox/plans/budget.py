@@ -15,6 +15,7 @@ from thermobox.operators.walls import advection_columns, wall_faces, wall_sums
 from thermobox.sources.state import GridState
 from thermobox.specs import ANCHOR_K, BoxRequest, SurfacePolicy
 
+# Names of the result fields.
 BUDGET_FIELDS = (
     "d_dt_T", "dT_dt", "dT_dt_2", "dV_dt", "advection_term", "advection_error",
     "adiabatic_term", "diabatic_term", "T_domain_avg", "domain_volume", "T_scale",

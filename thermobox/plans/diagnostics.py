@@ -53,7 +53,7 @@ def _with_mass(run: BudgetRun) -> Series:
     frame = series.frame.withColumns({
         "delta_mass": F.col("dV_dt") + F.col("net_mass_advection"),
         "mean_volume": _mean_volume(run).scalar(),
-        "dt": step_seconds(series).scalar(),
+        "dt": step_seconds(run.moments).scalar(),
     })
     return series.map(frame)
 
@@ -86,10 +86,14 @@ def binned_means(frame: DataFrame, by: str, names: Sequence[str], bins: int = QU
     return all_bins.join(means, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
-def binned_residual(run: BudgetRun, bins: int = QUANTILE_BINS) -> DataFrame:
-    """Mean dV/dt and mean mass residual in quantile bins of dV/dt."""
+def binned_residual(run: BudgetRun, bins: int = QUANTILE_BINS, key: Column | None = None) -> DataFrame:
+    """Mean dV/dt and mean mass residual in quantile bins of dV/dt, or of `key`, a coarser form of it.
+
+    Hours can share a value up to the last bits, which then decide their bins; a rounded key keeps them together.
+    """
     frame = run.series.frame.withColumn("residual", F.col("net_mass_advection") + F.col("dV_dt"))
-    return binned_means(frame, "dV_dt", ("dV_dt", "residual"), bins)
+    frame = frame.withColumn("key", F.col("dV_dt") if key is None else key)
+    return binned_means(frame, "key", ("dV_dt", "residual"), bins)
 
 
 def mass_series(run: BudgetRun) -> DataFrame:
@@ -236,7 +240,7 @@ def constant_temperature_check(run: BudgetRun) -> DataFrame:
     """
     test = run.constant_temperature().series.frame.select("time", F.col("advection_term").alias("test_advection"))
     series = run.series
-    frame = series.frame.join(test, "time").withColumn("dt", step_seconds(series).scalar())
+    frame = series.frame.join(test, "time").withColumn("dt", step_seconds(run.moments).scalar())
     volume = F.col("domain_volume")
     rates = {"advection_error": F.col("advection_error"), "test_advection": F.col("test_advection")}
     summed = running_sum(

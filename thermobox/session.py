@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +16,8 @@ RECOMMENDED_CONF = {
     # surface side of a partition is small, which it is: one row per column.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.sql.parquet.filterPushdown": "true",
+    # Per-hour tables that no plan refers to any more are removed.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Python call sites on every column expression; costs more than building the plan.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -48,6 +51,12 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share, next to the checkpoints."""
+    _ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder and return the stored rows.
 

@@ -2,41 +2,54 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermobox.operators.domain import coordinate_axes
-from thermobox.sources.state import NEAR_SURFACE_FIELDS, UPPER_FIELDS, GridState
+from thermobox.session import materialise
+from thermobox.sources.state import UPPER_FIELDS, GridState
+
 
+#: Rows that one task writes for one day; a day is cut into latitude bands of about so many.
+BAND_ROWS = 10_000_000
 
-def write_state(state: GridState, path: str, surface_fields: tuple[str, ...] = ("sp",)) -> None:
+
+def write_state(
+    state: GridState, path: str, surface_fields: tuple[str, ...] = ("sp",), append: bool = False, band_rows: int = BAND_ROWS
+) -> None:
     """One wide table by date, rows sorted by place, then time, then level.
 
     The one join of ground and upper air happens here; budgets on the result need none.
     Sorted latitudes and longitudes give row groups narrow ranges, so a box or a wall
     skips most of them, and a ground value repeated over the levels packs into runs.
-    Range partitioning by date and latitude spreads a day over many tasks.
+
+    Rows are dealt by date and latitude band, which are known from the axes, so nothing is read to
+    sample them. `append` adds days, or replaces those that `state` holds, and leaves the others as they are.
     """
-    rows = state.rows(UPPER_FIELDS, surface_fields).withColumn("date", F.to_date("time"))
+    axes = coordinate_axes(state.upper) if state.axes is None else state.axes
+    axes = materialise(axes)
+    spans = axes.groupBy("axis").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).collect()
+    sizes = {r["axis"]: r for r in spans}
+    points = math.prod(r["n"] for r in spans) if len(spans) == 3 else 0
+    bands = 1 + 24 * points // band_rows
+    low, high = (sizes["lat"]["low"], sizes["lat"]["high"]) if "lat" in sizes else (0.0, 0.0)
+    band = F.floor((F.col("lat") - low) / max(high - low, 1e-9) * bands) if bands > 1 else F.lit(0)
+    rows = state.rows(UPPER_FIELDS, surface_fields).withColumns({"date": F.to_date("time"), "_band": band})
     (
-        rows.repartitionByRange("date", "lat", "lon", "time")
+        rows.repartition("date", "_band").drop("_band")
         .sortWithinPartitions("date", "lat", "lon", "time", "level")
-        .write.mode("overwrite")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if append else "static")
         .partitionBy("date")
         .parquet(f"{path}/cells")
     )
-    stored = rows.sparkSession.read.parquet(f"{path}/cells")
-    coordinate_axes(stored).coalesce(1).write.mode("overwrite").parquet(f"{path}/axes")
+    axes.coalesce(1).write.mode("append" if append else "overwrite").parquet(f"{path}/axes")
 
 
 def read_state(spark: SparkSession, path: str) -> GridState:
     """A table made by write_state, with its coordinates. Filters on `date` prune folders."""
-    return GridState(spark.read.parquet(f"{path}/cells"), axes=spark.read.parquet(f"{path}/axes"))
-
-
-def has_near_surface(state: GridState) -> bool:
-    source = state.upper if state.wide else state.surface
-    return all(name in source.columns for name in NEAR_SURFACE_FIELDS)
+    return GridState(spark.read.parquet(f"{path}/cells"), axes=spark.read.parquet(f"{path}/axes").distinct())
 
 
 def write_budget(table: DataFrame, path: str) -> None:

@@ -4,37 +4,43 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thermobox.operators.domain import AXIS_LIMIT, coordinate_axes, measure_axes
+from thermobox.operators.domain import coordinate_axes, measure_axes
 from thermobox.operators.series import is_regular
 from thermobox.session import materialise
 from thermobox.sources.harmonise import unit_of
 from thermobox.sources.state import SURFACE_FIELDS, SURFACE_KEYS, UPPER_FIELDS, UPPER_KEYS, GridState, grid_key
 
 
+#: Coordinates of all axes together up to which their tables are broadcast; beyond it they are joined by shuffle.
+BROADCAST_POINTS = 1_000_000
+
+
 @dataclass(frozen=True)
 class Axes:
-    """Coordinate -> position tables, bounded by AXIS_LIMIT."""
+    """Coordinate -> position tables and their sizes."""
 
     tables: dict[str, DataFrame]
     sizes: dict[str, int]
 
+    def table(self, axis: str) -> DataFrame:
+        small = sum(self.sizes.values()) <= BROADCAST_POINTS
+        return F.broadcast(self.tables[axis]) if small else self.tables[axis]
 
-def read_axes(upper: DataFrame) -> Axes:
-    rows = measure_axes(coordinate_axes(upper)).select("axis", "key", "id").collect()
-    if len(rows) > AXIS_LIMIT:
-        raise ValueError(f"more than {AXIS_LIMIT} distinct coordinates: not a regular grid")
-    tables, sizes = {}, {}
-    for axis in ("level", "lat", "lon"):
-        points = [r for r in rows if r.axis == axis]
-        table = pa.table({f"{axis}_key": pa.array([r.key for r in points], pa.int64()),
-                          f"{axis}_id": pa.array([r.id for r in points], pa.int64())})
-        tables[axis], sizes[axis] = upper.sparkSession.createDataFrame(table), len(points)
-    return Axes(tables, sizes)
+
+def read_axes(state: GridState) -> Axes:
+    """Positions on the axes, from the state's own coordinates where it has them."""
+    axes = coordinate_axes(state.upper) if state.axes is None else state.axes
+    points = materialise(measure_axes(axes).select("axis", "key", "id"))
+    sizes = {r["axis"]: r["count"] for r in points.groupBy("axis").count().collect()}
+    tables = {
+        axis: points.where(F.col("axis") == axis).select(F.col("key").alias(f"{axis}_key"), F.col("id").alias(f"{axis}_id"))
+        for axis in ("level", "lat", "lon")
+    }
+    return Axes(tables, {axis: sizes.get(axis, 0) for axis in tables})
 
 
 def cells_per_time(df: DataFrame, axes: Axes, axis_names: tuple[str, ...]) -> DataFrame:
@@ -45,7 +51,7 @@ def cells_per_time(df: DataFrame, axes: Axes, axis_names: tuple[str, ...]) -> Da
     """
     cell = F.lit(0).cast("long")
     for axis in axis_names:
-        df = df.withColumn(f"{axis}_key", grid_key(axis)).join(F.broadcast(axes.tables[axis]), f"{axis}_key", "left")
+        df = df.withColumn(f"{axis}_key", grid_key(axis)).join(axes.table(axis), f"{axis}_key", "left")
         cell = cell * F.lit(axes.sizes[axis]) + F.col(f"{axis}_id")
     return (
         df.select("time", cell.alias("cell"))
@@ -72,7 +78,7 @@ def axis_order_breaks(upper: DataFrame, order: str) -> DataFrame:
     )
     first_seen = (
         stacked.where(F.col("value").isNotNull())
-        .groupBy("axis", "value").agg(F.min(order).alias("seen")).limit(AXIS_LIMIT + 1)
+        .groupBy("axis", "value").agg(F.min(order).alias("seen"))
     )
     step = F.col("value") - F.lag("value").over(Window.partitionBy("axis").orderBy("seen"))
     wrong = F.when(F.col("axis") == "level", step >= 0).otherwise(step <= 0)
@@ -106,32 +112,33 @@ def quality_report(state: GridState, order: str | None = None) -> DataFrame:
     if any(bad for _, bad in fixed):
         return spark.createDataFrame([(rule, bad == 0, bad) for rule, bad in fixed], schema)
 
-    axes = read_axes(state.upper)
+    axes = read_axes(state)
     hours = materialise(cells_per_time(state.upper, axes, ("level", "lat", "lon")))
-    whole = hours.agg(
-        F.sum("n_rows").alias("n_rows"), F.sum("n_cells").alias("n_cells"), F.count("time").alias("n_times")
-    )
-    points = 1
-    for size in axes.sizes.values():
-        points *= size
-    ground_repeats = F.lit(0).cast("long")
+    whole = hours.agg(F.sum("n_rows").alias("rows"), F.sum("n_cells").alias("cells"), F.count("time").alias("times")).first()
+    rows, cells, times = (whole[name] or 0 for name in ("rows", "cells", "times"))
+    n_level, n_lat, n_lon = (axes.sizes[axis] for axis in ("level", "lat", "lon"))
+    ground_repeats = ground_missing = 0
     if not state.wide:
         ground = cells_per_time(state.surface, axes, ("lat", "lon"))
-        ground_repeats = ground.agg(F.sum(F.col("n_rows") - F.col("n_cells")).alias("n")).scalar()
-    rules = {rule: F.lit(bad).cast("long") for rule, bad in fixed}
-    rules["keys_unique"] = F.col("n_rows") - F.col("n_cells") + ground_repeats
-    rules["grid_dense"] = F.col("n_times") * F.lit(points) - F.col("n_cells")
-    for axis, rule in (("level", "levels_descending"), ("lat", "latitudes_ascending"), ("lon", "longitudes_ascending")):
-        rules[rule] = F.lit(0).cast("long")
-        if order is not None:
-            breaks = axis_order_breaks(state.upper, order).where(F.col("axis") == axis)
-            rules[rule] = breaks.agg(F.sum("n_bad").alias("n")).scalar()
-    rules["temperature_in_kelvin"] = F.lit(_unit_rule(state)).cast("long")
-    rules["time_regular"] = is_regular(hours).select("off_grid").scalar()
-    entries = whole.select(F.array(*[
-        F.struct(F.lit(rule).alias("rule"), bad.alias("n_bad")) for rule, bad in rules.items()
-    ]).alias("entries"))
-    return entries.select(F.inline("entries")).select("rule", (F.col("n_bad") == 0).alias("ok"), "n_bad")
+        known = ground.join(hours.select("time", F.lit(True).alias("known")), "time", "left")
+        found = known.agg(
+            F.sum(F.col("n_rows") - F.col("n_cells")).alias("repeats"), F.sum(F.when(F.col("known"), F.col("n_cells"))).alias("cells")
+        ).first()
+        ground_repeats = found["repeats"] or 0
+        ground_missing = times * n_lat * n_lon - (found["cells"] or 0)
+    breaks = {} if order is None else {r["axis"]: r["n_bad"] for r in axis_order_breaks(state.upper, order).collect()}
+    rules = [
+        *fixed,
+        ("keys_unique", rows - cells + ground_repeats),
+        ("grid_dense", times * n_level * n_lat * n_lon - cells),
+        ("ground_dense", ground_missing),
+        ("levels_descending", breaks.get("level", 0)),
+        ("latitudes_ascending", breaks.get("lat", 0)),
+        ("longitudes_ascending", breaks.get("lon", 0)),
+        ("temperature_in_kelvin", _unit_rule(state)),
+        ("time_regular", is_regular(hours).first()["off_grid"]),
+    ]
+    return spark.createDataFrame([(rule, bad == 0, bad) for rule, bad in rules], schema)
 
 
 def validate(state: GridState, order: str | None = None) -> GridState:

@@ -18,6 +18,7 @@ from thermobox.sources.harmonise import (
     require_columns,
     slice_time,
     to_kelvin,
+    with_unit,
 )
 from thermobox.sources.state import (
     NEAR_SURFACE_FIELDS,
@@ -66,29 +67,52 @@ def load_state(
 
 def _load_merged(spark, source: SourceSpec, policy: SurfacePolicy, largest) -> GridState:
     """One table whose 4-D rows carry the surface fields too."""
-    raw = spark.read.parquet(source.path)
+    # Sliced before the columns are chosen, so that a `date` folder of the source is cut as well.
+    raw = slice_time(rename_coordinates(spark.read.parquet(source.path)), source.time_start, source.time_end)
     fields = wanted_fields(policy)
     long_names = {new: old for old, new in MERGED_NAMES.items()}
+    require_same(raw, {name: long_names[name] for name in fields if {name, long_names[name]} <= set(raw.columns)})
     picked = {name: long_names[name] if long_names[name] in raw.columns else name for name in fields}
     require_columns(raw, picked.values(), "variables")
     keys = [c for c in raw.columns if COORDINATE_NAMES.get(c, c) in UPPER_KEYS]
-    table = rename_coordinates(raw.select(*keys, *[F.col(old).alias(new) for new, old in picked.items()]))
-    table = harmonise(slice_time(table, source.time_start, source.time_end), largest)
+    table = raw.select(*keys, *[F.col(old).alias(new, metadata=raw.schema[old].metadata) for new, old in picked.items()])
+    table = harmonise(with_units(table, source.units), largest)
     require_columns(table, UPPER_KEYS, "coordinates")
     return GridState(table.select(*UPPER_KEYS, *fields))
 
 
-def read_variable(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """One variable under its canonical name; temperatures must state their unit."""
+def require_same(raw: DataFrame, twice: Mapping[str, str]) -> None:
+    """Variables that a source gives under two names must agree in every row."""
+    if not twice:
+        return
+    differ = [
+        F.count_if(~nan_to_null(F.col(a).cast("double")).eqNullSafe(nan_to_null(F.col(b).cast("double")))).alias(a)
+        for a, b in twice.items()
+    ]
+    wrong = [name for name, n in raw.agg(*differ).first().asDict().items() if n]
+    if wrong:
+        raise ValueError(f"sources disagree on {', '.join(wrong)}")
+
+
+def with_units(df: DataFrame, units: Mapping[str, str]) -> DataFrame:
+    """Units stated by the caller, for the columns that are there."""
+    for name, unit in units.items():
+        if name in df.columns:
+            df = with_unit(df, name, unit)
+    return df
+
+
+def read_variable(spark: SparkSession, path: str, name: str, units: Mapping[str, str] = {}) -> DataFrame:
+    """One variable under its canonical name; temperatures must have a unit, stated by the table or in `units`."""
     stem, raw_name = VARIABLE_FILES[name]
     df = drop_auxiliary(rename_coordinates(spark.read.parquet(f"{path}/{stem}.parquet")))
-    df = df.withColumnRenamed(raw_name, name)
+    df = with_units(df.withColumnRenamed(raw_name, name), units)
     return to_kelvin(df, name, strict=True) if name in ("T", "T2m") else df
 
 
 def _load_per_variable(spark, source: SourceSpec, policy: SurfacePolicy, largest) -> GridState:
     tables = {
-        name: slice_time(read_variable(spark, source.path, name), source.time_start, source.time_end)
+        name: slice_time(read_variable(spark, source.path, name, source.units), source.time_start, source.time_end)
         for name in wanted_fields(policy)
     }
     upper = merge_tables({n: t for n, t in tables.items() if n in UPPER_FIELDS}, UPPER_KEYS)

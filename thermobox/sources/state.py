@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Names of the keys and fields.
 UPPER_KEYS = ("time", "level", "lat", "lon")
 SURFACE_KEYS = ("time", "lat", "lon")
 UPPER_FIELDS = ("T", "u", "v", "w")
@@ -68,14 +68,3 @@ class GridState:
         else:
             source = self.surface
         return source.select(*SURFACE_KEYS, *surface_fields)
-
-    def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> GridState:
-        """Keep a cropped state for several runs over the same box."""
-        return replace(
-            self, upper=self.upper.persist(level), surface=None if self.wide else self.surface.persist(level)
-        )
-
-    def unpersist(self) -> None:
-        self.upper.unpersist()
-        if not self.wide:
-            self.surface.unpersist()
