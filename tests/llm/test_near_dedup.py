@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from thermobox.llm.near_dedup import (
-    minhashes, most_ones, near_components, odd_sketch, op5, shingle_sets,
+    SKETCH_BITS, allowed_ones, near_components, odd_sketch, op5, shingle_sets,
 )
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -62,17 +62,22 @@ def test_sets_of_odd_texts():
     assert one != two and two != swapped and two == again
 
 
-def test_sketch_estimates_similarity():
+@pytest.mark.parametrize("size", [60, 400, 1500, 20_000])
+def test_sketches_pass_at_the_threshold_and_stop_well_below(size):
     rng = np.random.default_rng(0)
-    for share in (0.8, 0.9, 0.97):
-        ones = []
-        for _ in range(30):
-            pool = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
-            n = int(1000 * (1 - share) / 2)
-            a, b = odd_sketch(minhashes(pool[n:])), odd_sketch(minhashes(pool[:1000 - n]))
-            ones.append(int(np.bitwise_count((a ^ b).view(np.uint64)).sum()))
-        assert abs(np.mean(ones) - most_ones(share)) < 0.2 * most_ones(share)
-        assert max(ones) <= most_ones(share - 0.1)
+    for percent in (80, 85):
+        most = allowed_ones(2 * size, percent, np.exp, np.sqrt)
+        assert most < SKETCH_BITS / 2
+
+        def ones(similarity):
+            both = round(2 * size * similarity / (1 + similarity))
+            pool = rng.integers(0, 1 << 63, 2 * size - both, dtype=np.uint64) * np.uint64(2)
+            pool ^= pool >> np.uint64(31)
+            a, b = (odd_sketch(np.unique(x)) for x in (pool[:size], pool[-size:]))
+            return int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
+
+        assert max(ones(percent / 100 + 0.005) for _ in range(200)) <= most
+        assert np.mean([ones(percent / 100 - 0.15) > most for _ in range(50)]) > 0.9
 
 
 @pytest.mark.parametrize("width, percent", [(3, 85), (5, 80)])

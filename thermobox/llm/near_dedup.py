@@ -1,8 +1,10 @@
 """Near-duplicate components by MinHash banding, verified through odd sketches.
 
 One pass over the texts gives each document its set of word shingles as 64-bit hashes, and of that set a
-fingerprint, HASHES MinHash samples as BANDS band keys, and an odd sketch: every (sample number, sample)
-flips one of SKETCH_BITS bits, so the XOR of two sketches has few ones exactly if most samples agree.
+fingerprint, MinHash samples as BANDS band keys, and an odd sketch: of each of SAMPLE_BINS bins that divide
+the hashes the smallest one is a sample (one permutation hashing), and every sample flips one of SKETCH_BITS
+bits. So the ones in the XOR of two sketches count the samples that differ; of sets smaller than the number of bins
+nearly every element is a sample, and the count is nearly exact.
 
 1. Documents with equal sets form classes (one aggregate); below, only class representatives appear.
 2. Representatives that share a band key with others meet. Each is paired with the smallest id of
@@ -10,13 +12,15 @@ flips one of SKETCH_BITS bits, so the XOR of two sketches has few ones exactly i
    full sets.
 3. Components of the confirmed links are contracted. A bucket whose members are in one component is
    done. In the others, members outside the bucket's largest component are compared, by sketch and in
-   blocks, with all members of other components; what passes is confirmed on the full sets as well.
+   blocks, with all members of other components, each pair in the first bucket that it shares. A first
+   pass confirms on the full sets only a member's closest pair per component, which joins most that is to be joined;
+   a second one, after contraction, confirms all that is left.
 
 So no pair of equal texts is ever a row, a large group of near copies costs one row per member and band,
 and every pair of different components that shares a band key has been compared. Two sets of similarity s
 share no key with probability (1 - s^4)^32: 7e-11 at 0.85, 5e-8 at 0.8.
 
-Sketches are compared with a margin of SKETCH_MARGIN, over four standard deviations of the estimate.
+A pair is dropped by its sketches if they differ in MARGIN standard deviations more than expected at the threshold.
 
 Defined results: a null, empty or blank text has the empty set and is linked with nothing; a text with
 fewer words than a shingle is one shingle of its whole sequence; rows with a null id take no part and
@@ -38,14 +42,12 @@ from pyspark.sql import functions as F
 from thermobox.llm.common import LOWER, join_repeated, pieces, stored
 
 BANDS, BAND_ROWS = 32, 4
-HASHES = 256  # the first BANDS * BAND_ROWS of them make the bands, all of them the sketch
-SKETCH_BITS = 1024
-SKETCH_MARGIN = 0.1
+SAMPLE_BINS, SKETCH_BITS = 1024, 2048
+MARGIN = 5.0
 BLOCK_ROWS = 2048
 
 _rng = np.random.default_rng(20110609)
-_FACTORS = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BIT_SEEDS = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+_FACTORS = _rng.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND_FACTORS = _rng.integers(0, 1 << 63, (BANDS, BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE_FACTORS = _rng.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -90,7 +92,7 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
 
 
 def minhashes(shingles: np.ndarray) -> np.ndarray:
-    least = np.full(HASHES, np.iinfo(np.uint64).max, dtype=np.uint64)
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
     for start in range(0, len(shingles), 1024):
         part = shingles[start:start + 1024]
         np.minimum(least, (_FACTORS[:, None] * part[None, :]).min(axis=1), out=least)
@@ -98,21 +100,34 @@ def minhashes(shingles: np.ndarray) -> np.ndarray:
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
-    rows = samples[:BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS)
+    rows = samples.reshape(BANDS, BAND_ROWS)
     keys = _mixed(rows * _BAND_FACTORS).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _MIX
     return _mixed(keys).view(np.int64)
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    bits = _mixed(samples ^ _BIT_SEEDS) % np.uint64(SKETCH_BITS)
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """`shingles` are sorted, so the first of a bin is its smallest."""
+    _, first = np.unique(shingles & np.uint64(SAMPLE_BINS - 1), return_index=True)
+    bits = _mixed(shingles[first] ^ _MIX) % np.uint64(SKETCH_BITS)
     parity = (np.bincount(bits.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
     return np.packbits(parity).view(np.int64)
 
 
-def most_ones(similarity: float) -> int:
-    """Expected ones in the XOR of two odd sketches at this similarity."""
-    different = 2 * HASHES * (1 - similarity)
-    return round(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** different))
+def allowed_ones(total, percent: int, exp, sqrt):
+    """Most ones in the XOR of two sketches of sets with `total` elements together, at the similarity or above.
+
+    With u elements in the union, u / bins of them meet in a bin. A bin whose smallest element is in one set only adds
+    a differing sample, and another one if the other set has an element there. Written for numbers, arrays and columns.
+    """
+    s = percent / 100
+    load = total / ((1 + s) * SAMPLE_BINS)
+    filled = 1 - exp(-load)
+    each = 2 * filled - load * exp(-load)
+    expected = SAMPLE_BINS * (1 - s) * each
+    # sampling without replacement: no variance where every element is a sample
+    sampled = SAMPLE_BINS * s * (1 - s) * (each * each / filled) * (1 - filled / load)
+    most = expected + MARGIN * sqrt(sampled + expected * expected / SKETCH_BITS + 1)
+    return SKETCH_BITS / 2 * (1 - exp(most * (-2 / SKETCH_BITS)))
 
 
 SKETCHES = "doc_id long, n_shingles long, set_key binary, sketch array<long>, bands array<long>"
@@ -127,7 +142,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                 if len(shingles):
                     samples = minhashes(shingles)
                     keys.append(xxhash.xxh3_128_digest(shingles.tobytes()))
-                    sketches.append(odd_sketch(samples))
+                    sketches.append(odd_sketch(shingles))
                     bands.append(band_keys(samples))
                 else:
                     keys.append(None), sketches.append(None), bands.append(None)
@@ -167,7 +182,7 @@ def close_by_sketch(pairs: DataFrame, classes: DataFrame, percent: int) -> DataF
     """The pairs (a, b) whose sizes and sketches allow the similarity."""
     left = classes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("s_a"))
     right = classes.select(F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("s_b"))
-    near = _ones(F.col("s_a"), F.col("s_b")) <= most_ones(percent / 100 - SKETCH_MARGIN)
+    near = _ones(F.col("s_a"), F.col("s_b")) <= allowed_ones(F.col("n_a") + F.col("n_b"), percent, F.exp, F.sqrt)
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     return pairs.join(left, "a").join(right, "b").where(fits & near).select("a", "b")
 
@@ -204,31 +219,33 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
+def _cross_pairs(members: DataFrame, percent: int, closest: bool) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket and are close by sketch.
 
-    `members`: key, rep, center, component, sketch, n_shingles of buckets with several components. Pairs with
-    the bucket's center have been compared before.
+    `members`: key, rep, center, component, n_shingles, sketch, bands of buckets with several components. Pairs
+    with the bucket's center have been compared before. `closest`: of a member's pairs in a block and bucket
+    only the closest with each other component.
     """
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
     buckets = sizes.groupBy("key").agg(
         F.max_by("component", F.struct("n", "component")).alias("main"),
         (1 + F.floor(F.sum("n") / BLOCK_ROWS)).alias("blocks"),
     )
+    columns = ["key", "block", "side", "rest", "rep", "component", "n_shingles", "sketch", "bands"]
     rows = members.where("rep <> center").join(buckets, "key")
-    columns = ["key", "block", "side", "rep", "component", "n_shingles", "sketch"]
-    rest = (F.col("component") != F.col("main")).cast("int")
-    # side 0: all members, dealt over blocks, with a mark if outside the main component; side 1: those again, for each block
+    rows = rows.withColumn("rest", (F.col("component") != F.col("main")).cast("int"))
+    # side 0: all members, dealt over blocks; side 1: those outside the main component, again for each block
     here = rows.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("side", F.lit(0))
-    there = rows.where(rest == 1).withColumn("side", F.lit(1)).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    )
-    dealt = here.select(*columns, rest.alias("rest")).unionByName(there.select(*columns, rest.alias("rest")))
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    there = rows.where("rest = 1").withColumn("side", F.lit(1)).withColumn("block", blocks)
+    dealt = here.select(*columns).unionByName(there.select(*columns))
     dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block", "side")
-    limit = most_ones(percent / 100 - SKETCH_MARGIN)
+
+    def lists(part: pa.RecordBatch, name: str) -> np.ndarray:
+        return part.column(name).flatten().to_numpy().view(np.uint64).reshape(part.num_rows, -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, parts, block = None, [], None
+        place, parts, block = None, [], None
         for batch in batches:
             keys, numbers, sides = (batch.column(c).to_numpy() for c in ("key", "block", "side"))
             change = np.flatnonzero((np.diff(keys) != 0) | (np.diff(numbers) != 0) | (np.diff(sides) != 0)) + 1
@@ -237,28 +254,55 @@ def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
                 if start == stop:
                     continue
                 part = batch.slice(start, stop - start)
-                if (keys[start], numbers[start]) != key:
-                    key, parts, block = (keys[start], numbers[start]), [], None
-                own = [part.column(c).to_numpy() for c in ("rep", "component", "n_shingles", "rest")]
-                own.append(part.column("sketch").flatten().to_numpy().reshape(part.num_rows, -1))
+                if (keys[start], numbers[start]) != place:
+                    place, parts, block = (keys[start], numbers[start]), [], None
+                own = [part.column(c).to_numpy() for c in ("rest", "rep", "component", "n_shingles")]
+                own += [lists(part, "sketch"), lists(part, "bands")]
                 if sides[start] == 0:
                     parts.append(own)
                     continue
                 if block is None:
-                    block = [np.concatenate([p[i] for p in parts]) for i in range(5)]
-                for i in range(part.num_rows):
-                    rep, component, n, _, bits = (x[i] for x in own)
-                    ones = np.bitwise_count((block[4] ^ bits).view(np.uint64)).sum(axis=1)
-                    fits = 100 * np.minimum(block[2], n) >= percent * np.maximum(block[2], n)
-                    once = (block[3] == 0) | (block[0] > rep)  # two members outside the main component meet twice
-                    other = block[0][(ones <= limit) & fits & once & (block[1] != component)]
-                    found.append(np.column_stack([np.minimum(other, rep), np.maximum(other, rep)]))
+                    block = [np.concatenate([p[i] for p in parts]) for i in range(6)]
+                rest, reps, components_, n, sketches, bands = block
+                for _, rep, component, size, bits, keys_ in zip(*own):
+                    # two members outside the main component meet on both sides
+                    fits = (components_ != component) & ((rest == 0) | (reps > rep))
+                    at = np.flatnonzero(fits & (100 * np.minimum(n, size) >= percent * np.maximum(n, size)))
+                    ones = np.bitwise_count(sketches[at] ^ bits).sum(axis=1)
+                    near = ones <= allowed_ones(n[at] + size, percent, np.exp, np.sqrt)
+                    at, ones = at[near], ones[near]
+                    shared = (bands[at] == keys_).argmax(axis=1)
+                    first = keys_[shared].view(np.int64) == place[0]
+                    at, ones = at[first], ones[first]
+                    if closest and len(at):
+                        order = np.argsort(ones, kind="stable")
+                        at = at[order][np.unique(components_[at[order]], return_index=True)[1]]
+                    found.append(np.column_stack([np.minimum(reps[at], rep), np.maximum(reps[at], rep)]))
             pairs = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _join_rest(labels: DataFrame, members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, closest: bool) -> DataFrame:
+    """`labels` (node, component) after the links between members of different components of a bucket."""
+    placed = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "rep"))
+    mixed = placed.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")
+    ).where("low <> high AND n > 2").select("key")
+    open_ = placed.join(mixed, "key").join(classes.select("rep", "n_shingles", "sketch", "bands"), "rep")
+    links = confirm(_cross_pairs(stored(open_, "open"), percent, closest), sets, percent)
+    to_a = labels.select(F.col("node").alias("a"), F.col("component").alias("to_a"))
+    to_b = labels.select(F.col("node").alias("b"), F.col("component").alias("to_b"))
+    links = links.join(to_a, "a", "left").join(to_b, "b", "left")
+    links = links.select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"))
+    joined = components(links.where("a <> b").distinct())
+    last = joined.select(F.col("node").alias("component"), F.col("component").alias("last"))
+    moved = labels.join(last, "component", "left").select("node", F.coalesce("last", "component").alias("component"))
+    return stored(moved.unionByName(joined.join(labels, "node", "left_anti").select("node", "component")), "labels")
+
+
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id), per row of `docs`."""
     sketches = stored(sketch(docs, width), "sketches")
@@ -277,25 +321,11 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     pairs = members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
     links = confirm(close_by_sketch(pairs, classes, percent), sets, percent)
     labels = components(links)
-
-    placed = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = stored(placed.withColumn("component", F.coalesce("component", "rep")), "placed")
-    mixed = placed.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")
-    ).where("low <> high AND n > 2").select("key")
-    open_ = placed.join(mixed, "key").join(classes.select("rep", "n_shingles", "sketch"), "rep")
-    more = confirm(_cross_pairs(stored(open_, "open"), percent), sets, percent)
-    ends = labels.select(F.col("node").alias("a"), F.col("component").alias("to_a"))
-    more = more.join(ends, "a", "left").join(
-        labels.select(F.col("node").alias("b"), F.col("component").alias("to_b")), "b", "left"
-    ).select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"))
-    joined = components(more.where("a <> b").distinct())
+    for closest in (True, False):
+        labels = _join_rest(labels, members, classes, sets, percent, closest)
 
     final = classes.select("set_key", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    final = final.withColumn("component", F.coalesce("component", "rep"))
-    final = final.join(
-        joined.select(F.col("node").alias("component"), F.col("component").alias("last")), "component", "left"
-    ).select("set_key", "n", "rep", F.coalesce("last", "component").alias("component_id"))
+    final = final.select("set_key", "rep", "n", F.coalesce("component", "rep").alias("component_id"))
     found = final.where("n > 1 OR component_id <> rep").select("set_key", "component_id")
     known = join_repeated(sketches.select("doc_id", "n_shingles", "set_key"), found, "set_key", ["doc_id"])
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
