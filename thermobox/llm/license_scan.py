@@ -50,6 +50,7 @@ TEMPLATES = [
      "redistribution and use in source"),
     ("mpl_notice", "mpl", "this source code form is subject to the terms of the mozilla public license v 2 0",
      "mozilla public license"),
+    ("reserved_notice", "all-rights-reserved", "all rights reserved", "all rights reserved"),
     ("cc_by_nc_notice", "cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc_by_notice", "cc-by",
      "this work is licensed under a creative commons attribution 4 0 international license",
@@ -152,7 +153,8 @@ def find_templates(scanned: DataFrame, frequencies: dict[str, int]) -> DataFrame
     picked = held.select("doc_id", "text_key", "words", F.array(*picks).alias("picks"))
 
     postings = [(w, t, i) for t, (_, _, text, _) in enumerate(TEMPLATES) for i, w in enumerate(text.split())]
-    index = held.sparkSession.createDataFrame(postings, "word string, template int, at int")
+    entries = [F.struct(F.lit(w).alias("word"), F.lit(t).alias("template"), F.lit(i).alias("at")) for w, t, i in postings]
+    index = held.sparkSession.range(1).select(F.inline(F.array(*entries)))
     votes = (
         picked.select("doc_id", "text_key", "picks", F.posexplode("words").alias("pos", "word"))
         .where(F.array_contains(F.flatten("picks"), F.col("word")))

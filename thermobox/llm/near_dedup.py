@@ -43,7 +43,7 @@ from thermobox.llm.common import LOWER, join_repeated, pieces, stored
 
 BANDS, BAND_ROWS = 32, 4
 SAMPLE_BINS, SKETCH_BITS = 1024, 2048
-MARGIN = 5.0
+MARGIN = 6.0
 BLOCK_ROWS = 2048
 
 _rng = np.random.default_rng(20110609)
@@ -232,7 +232,7 @@ def _cross_pairs(members: DataFrame, percent: int, closest: bool) -> DataFrame:
         (1 + F.floor(F.sum("n") / BLOCK_ROWS)).alias("blocks"),
     )
     columns = ["key", "block", "side", "rest", "rep", "component", "n_shingles", "sketch", "bands"]
-    rows = members.where("rep <> center").join(buckets, "key")
+    rows = join_repeated(members.where("rep <> center"), buckets, "key", ["rep"], "inner")
     rows = rows.withColumn("rest", (F.col("component") != F.col("main")).cast("int"))
     # side 0: all members, dealt over blocks; side 1: those outside the main component, again for each block
     here = rows.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("side", F.lit(0))
@@ -291,7 +291,7 @@ def _join_rest(labels: DataFrame, members: DataFrame, classes: DataFrame, sets:
     mixed = placed.groupBy("key").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")
     ).where("low <> high AND n > 2").select("key")
-    open_ = placed.join(mixed, "key").join(classes.select("rep", "n_shingles", "sketch", "bands"), "rep")
+    open_ = join_repeated(placed, mixed, "key", ["rep"], "inner").join(classes.select("rep", "n_shingles", "sketch", "bands"), "rep")
     links = confirm(_cross_pairs(stored(open_, "open"), percent, closest), sets, percent)
     to_a = labels.select(F.col("node").alias("a"), F.col("component").alias("to_a"))
     to_b = labels.select(F.col("node").alias("b"), F.col("component").alias("to_b"))
