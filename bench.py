@@ -25,6 +25,8 @@ HEADLINE = (
     "budget",
     "budget_level",
     "budget_blended",
+    "budget_stored",
+    "budget_stored_blended",
     "constant_t",
     "quantile_residual",
     "mass_direction",

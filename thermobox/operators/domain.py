@@ -19,15 +19,14 @@ from thermobox.sources.state import GridState, grid_key
 from thermobox.specs import EARTH_RADIUS, BoxRequest, BoxSpec
 
 def coordinate_axes(upper: DataFrame) -> DataFrame:
-    """Distinct coordinates as (axis, value). Each branch scans one key column."""
-    branches = [
-        upper.selectExpr(f"cast({axis} AS double) AS value")
+    """Distinct coordinates as (axis, value), in one scan of the three key columns."""
+    return (
+        upper.selectExpr(
+            "stack(3, 'level', cast(level AS double), 'lat', cast(lat AS double), 'lon', cast(lon AS double)) AS (axis, value)"
+        )
         .where("value IS NOT NULL")
         .distinct()
-        .selectExpr(f"'{axis}' AS axis", "value")
-        for axis in ("level", "lat", "lon")
-    ]
-    return branches[0].unionByName(branches[1]).unionByName(branches[2])
+    )
 
 
 def measure_axes(axes: DataFrame, request: BoxRequest | None = None) -> DataFrame:
