@@ -58,6 +58,18 @@ def ascii_lower(column: Column) -> Column:
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
+#: Rows of an Arrow batch that carries whole texts between Spark and Python; its memory stays with both sides.
+TEXT_BATCH_ROWS = 1000
+
+
+def map_texts(df: DataFrame, function, schema) -> DataFrame:
+    """`mapInArrow` for rows with whole texts: the session's batches are cut to TEXT_BATCH_ROWS rows where they are larger."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= TEXT_BATCH_ROWS:
+        conf.set(name, str(TEXT_BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null gives the empty text."""
     return [value or b"" for value in column.cast(pa.large_binary()).to_pylist()]
@@ -74,6 +86,7 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20)
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()  # a worker stays; what its last batch needed should not
 
 
 def word_count(column: Column) -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thermobox.llm.common import LOWER, join_repeated, pieces, stored
+from thermobox.llm.common import LOWER, join_repeated, map_texts, pieces, stored
 
 BUCKETS = 1 << 15
 TRAINING_ROWS, TRAINING_BYTES = 2000, 8000
@@ -110,12 +110,12 @@ def with_evidence(rows: DataFrame, model: TextModel, text: str = "text", keep_te
     schema = T.StructType([*kept, T.StructField("lid_text", T.ArrayType(T.DoubleType())), T.StructField("lid_grams", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text, 4 << 20):
+        for batch in pieces(batches, text, 1 << 20):
             logs, n = model.evidence(batch.column(text))
             columns = [batch.column(f.name) for f in kept] + [pa.array(list(logs), pa.list_(pa.float64())), pa.array(n)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return map_texts(rows, run, schema)
 
 
 def _shares(logs: Column) -> Column:

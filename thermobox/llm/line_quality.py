@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thermobox.llm.common import pieces
+from thermobox.llm.common import map_texts, pieces
 from thermobox.llm.crf import Crf, forward_backward, padded, train
 
 TRAINING_DOCS, TRAINING_LINES = 1500, 40
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_DOCS) -> tuple[
     texts = docs.where(F.col("doc_id").isin(list(known))).select("doc_id", "text") if known else docs.limit(0).select("doc_id", "text")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 2 << 20):
             owner, _, places = line_features(batch.column("text"))
             ids, lists = [], []
             for i in range(batch.num_rows):
@@ -136,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_DOCS) -> tuple[
                 [batch.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "places"]
             )
 
-    found = texts.mapInArrow(measured, "doc_id long, places array<long>").collect()
+    found = map_texts(texts, measured, "doc_id long, places array<long>").collect()
     data = []
     for r in sorted(found, key=lambda r: (r["doc_id"], r["places"])):
         places = np.array(r["places"], dtype=np.int64).reshape(-1, len(BINS) + 1)
@@ -182,11 +182,11 @@ def score_documents(docs: DataFrame, crf: Crf | None, prior: float) -> DataFrame
     """doc_id, score of every row of `docs`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 2 << 20):
             scores = document_scores(batch.column("text"), crf, prior)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double")
 
 
 def op7(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thermobox.llm.common import LOWER, join_repeated, pieces, stored
+from thermobox.llm.common import LOWER, join_repeated, map_texts, pieces, stored
 
 BANDS, BAND_ROWS = 32, 4
 SAMPLE_BINS, SKETCH_BITS = 1024, 2048
@@ -152,7 +152,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                 names=["doc_id", "n_shingles", "set_key", "sketch", "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCHES)
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SKETCHES)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -171,7 +171,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             )
 
     found = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
-    return found.select("rep", "set_key", "text").mapInArrow(run, "rep long, shingles array<long>")
+    return map_texts(found.select("rep", "set_key", "text"), run, "rep long, shingles array<long>")
 
 
 def _ones(a: Column, b: Column) -> Column:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thermobox.llm.common import pieces
+from thermobox.llm.common import map_texts, pieces
 from thermobox.llm.crf import Crf, train, viterbi
 
 KINDS = ("email", "ip", "card", "phone")
@@ -318,7 +318,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
                 names=names,
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PII)
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, PII)
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -346,4 +346,4 @@ def redact(docs: DataFrame) -> DataFrame:
             columns[at] = new
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thermobox.llm.common import BLANKS, as_bytes
+from thermobox.llm.common import BLANKS, as_bytes, map_texts
 
 SYMBOLS = b"#*$%&|<>"
 #: Rows asked for in the sample that costs and selectivities are estimated on.
@@ -148,7 +148,7 @@ def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = S
             schema=pa.schema([("rule", pa.string()), ("n", pa.int64()), ("rejected", pa.int64()), ("seconds", pa.float64())]),
         )
 
-    sums = sample.mapInArrow(measure, "rule string, n long, rejected long, seconds double")
+    sums = map_texts(sample, measure, "rule string, n long, rejected long, seconds double")
     sums = sums.groupBy("rule").agg(F.sum("n").alias("n"), F.sum("rejected").alias("rejected"), F.sum("seconds").alias("seconds"))
     by_name = {r["rule"]: r for r in sums.collect()}
     plan = []
@@ -203,7 +203,7 @@ def quality_cascade(
             columns += [pa.array(verdicts, pa.string()), pa.array(ran, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(*carried, "text").mapInArrow(judge, schema)
+    return map_texts(docs.select(*carried, "text"), judge, schema)
 
 
 BASE_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

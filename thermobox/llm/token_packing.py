@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thermobox.llm.common import pieces, stored
+from thermobox.llm.common import map_texts, pieces, stored
 
 CAPACITY, END_ID = 2048, 0
 #: Units whose ids a worker keeps; beyond it the memory is emptied and refilled.
-CACHED_UNITS = 600_000
+CACHED_UNITS = 250_000
 _PLAIN = r"^(?P<letters>\p{L}+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 
 
@@ -125,7 +125,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, e
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path)
-        for batch in pieces(batches, "text", 16 << 20):
+        for batch in pieces(batches, "text", 4 << 20):
             ids, starts = tokenizer.texts(batch.column("text"))
             row, piece, start, length, crc, kept = [], [], [], [], [], []
             for i in range(batch.num_rows):
@@ -143,7 +143,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, e
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = PIECES + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, schema)
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), cut, schema)
 
 
 def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:

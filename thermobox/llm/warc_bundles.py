@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thermobox.llm.common import join_repeated, shared_folder, stored
+from thermobox.llm.common import join_repeated, map_texts, shared_folder, stored
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 256 << 20
@@ -203,7 +203,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
             writer.close()
 
     repeats = find_repeats(pages, min_bytes).select("page_id", "url", "payload", "first")
-    return stored(repeats.mapInArrow(write, INDEX), "warc-index")
+    return stored(map_texts(repeats, write, INDEX), "warc-index")
 
 
 def read_archives(index: DataFrame, with_payload: bool = True) -> DataFrame:
