@@ -48,6 +48,31 @@ def test_recall(spark, path):
     assert recall >= 0.9
 
 
+def recall(table, rows):
+    want, got = exact(rows), {}
+    for r in op4(table).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    share = sum(len(got[q] & {i for i, _ in near}) for q, near in want.items()) / sum(map(len, want.values()))
+    print("recall", share)
+    return share
+
+
+@pytest.mark.parametrize("norms", ["one", "lognormal"])
+def test_recall_with_unequal_norms(spark, norms):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(3000, 64))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    vectors *= np.exp(0.3 * rng.normal(size=(3000, 1))) if norms == "lognormal" else np.where(np.arange(3000) == 7, 3.0, 1.0)[:, None]
+    rows = list(enumerate(vectors.tolist()))
+    assert recall(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), rows) >= 0.9
+
+
+def test_every_bucket_where_probes_do_not_reach_the_recall(spark, monkeypatch):
+    monkeypatch.setattr("thermobox.llm.vector_search.MOST_PROBES", 20)
+    rows = list(enumerate(np.random.default_rng(6).normal(size=(1000, 64)).tolist()))
+    assert recall(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), rows) == 1.0
+
+
 def test_odd_rows_ties_and_copies(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(60)]

@@ -14,8 +14,9 @@ decides, first in the block and then over all blocks and tables.
 
 `fit` takes the number of probes from a sample of at most SAMPLE_ROWS vectors: the first of a doubling
 series whose recall among the sample reaches TARGET_RECALL. Neighbours in the whole table are closer than
-in the sample, so recall there is higher. Queries that find fewer than k although more rows exist are
-run again against every bucket.
+in the sample, so recall there is higher. The width is at least REACH distances from a query to its neighbours, with
+the one more component, which is large where norms differ. Where MOST_PROBES do not reach TARGET_RECALL, all queries run
+against every bucket of one table, which is exact; so do queries that find fewer than k although more rows exist.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or have another length
 than most vectors take no part, nor do rows with a null id; rows that repeat an id count once, with the
@@ -26,7 +27,8 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 from thermobox.llm.common import stored
 
-TABLES, HASHES, WIDTH = 8, 8, 2.0
+TABLES, HASHES, WIDTH, REACH = 8, 8, 2.0, 1.7
 SAMPLE_ROWS, SAMPLE_QUERIES, TARGET_RECALL, MOST_PROBES = 4000, 200, 0.96, 1280
 UNIT_ROWS = 1 << 16
 KEPT_PAIRS = 2_000_000  # scored pairs a task keeps before it cuts them to the best k per query
@@ -50,6 +52,7 @@ class Hashing:
     width: float
     probes: int
     units: int
+    every: bool = False  # probes do not reach the recall: look into every bucket
     seed: int = 20240229
 
     def _parameters(self):
@@ -152,12 +155,16 @@ def fit(vectors: DataFrame) -> Hashing:
     largest, dimension = total["largest"] or 1.0, total["dimension"] or 0
     if len(sample) < 2:
         return Hashing(dimension, largest, WIDTH * largest, 1, units)
-    width = WIDTH * float(np.sqrt(np.mean(np.sum((sample - sample.mean(axis=0)) ** 2, axis=1)))) or WIDTH * largest
     queries = sample[:SAMPLE_QUERIES]
     scores = queries @ sample.T
     scores[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
     k = min(20, len(sample) - 1)
     nearest = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    # |a - q|^2 with the one more component, for queries scaled to the largest norm
+    cosines = np.take_along_axis(scores, nearest, axis=1) / (np.linalg.norm(queries, axis=1)[:, None] * largest)
+    apart = largest * float(np.sqrt(np.mean(np.maximum(0.0, 2 - 2 * cosines))))
+    spread = float(np.sqrt(np.mean(np.sum((sample - sample.mean(axis=0)) ** 2, axis=1))))
+    width = max(WIDTH * spread, REACH * apart) or WIDTH * largest
     probes = 20
     while True:
         hashing = Hashing(dimension, largest, width, probes, units)
@@ -165,8 +172,10 @@ def fit(vectors: DataFrame) -> Hashing:
         for (own, _), (visited, _) in zip(hashing.index(sample), hashing.probe(queries)):
             for i, near in enumerate(nearest):
                 found[i] |= np.isin(own[near], visited[i])
-        if found.mean() >= TARGET_RECALL or probes >= MOST_PROBES:
+        if found.mean() >= TARGET_RECALL:
             return hashing
+        if probes >= MOST_PROBES:
+            return replace(hashing, every=True)
         probes = probes * 5 // 4
 
 
@@ -239,13 +248,13 @@ FOUND = "query_id long, vec_id long, score double"
 
 
 def build_index(vectors: DataFrame, hashing: Hashing) -> tuple[DataFrame, DataFrame]:
-    """(unit, block, bucket, id, vector), each vector once per table; (unit, blocks)."""
+    """(unit, block, bucket, id, vector), each vector once per table, or in the first table only; (unit, blocks)."""
     kind = dict(vectors.dtypes)["vector"]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                for bucket, unit in hashing.index(_matrix(batch.column("vector"))):
+                for bucket, unit in islice(hashing.index(_matrix(batch.column("vector"))), 1 if hashing.every else TABLES):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(unit), pa.array(bucket), batch.column("id"), batch.column("vector")],
                         names=["unit", "bucket", "id", "vector"],
@@ -313,16 +322,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, hashing: Hashing) ->
         dealt = rows.repartition("unit", "block").sortWithinPartitions("unit", "block", "side")
         return dealt.mapInArrow(scored, FOUND)
 
-    requests = queries.select("id", "vector").mapInArrow(probed, f"unit long, probes array<long>, id long, vector {kind}")
-    first = stored(found(requests), "neighbours")
-    most = F.lit(max(0, min(k, vectors.count() - 1)))
-    enough = first.groupBy("query_id").agg(F.countDistinct("vec_id").alias("n")).where(F.col("n") >= most)
-    short = queries.join(enough, queries["id"] == enough["query_id"], "left_anti")
-    if not short.isEmpty():
+    def everywhere(some: DataFrame) -> DataFrame:
         each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(hashing.units - 1).cast("long")))
-        again = short.select("id", "vector", each.alias("unit")).withColumn("unit", F.col("unit") * TABLES)  # first table
-        again = again.select("unit", F.lit(None).cast("array<long>").alias("probes"), "id", "vector")
-        first = first.unionByName(found(again))
+        again = some.select("id", "vector", each.alias("unit")).withColumn("unit", F.col("unit") * TABLES)  # first table
+        return found(again.select("unit", F.lit(None).cast("array<long>").alias("probes"), "id", "vector"))
+
+    if hashing.every:
+        first = everywhere(queries)
+    else:
+        requests = queries.select("id", "vector").mapInArrow(probed, f"unit long, probes array<long>, id long, vector {kind}")
+        first = stored(found(requests), "neighbours")
+        most = F.lit(max(0, min(k, vectors.count() - 1)))
+        enough = first.groupBy("query_id").agg(F.countDistinct("vec_id").alias("n")).where(F.col("n") >= most)
+        short = queries.join(enough, queries["id"] == enough["query_id"], "left_anti")
+        if not short.isEmpty():
+            first = first.unionByName(everywhere(short))
     ranked = first.dropDuplicates(["query_id", "vec_id"]).withColumn(
         "rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     )
