@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from thermobox.llm.language_id import (
     EVIDENCE, MIN_GRAMS, SMOOTHING, STRENGTH, TextModel, fit_text, fuse, identify_pages, kept_documents, learn, op8, page_rows, primary_subtag,
-    trigrams, visible_text, with_evidence,
+    training_texts, trigrams, visible_text, with_evidence,
 )
 
 SF = "/root/testdata/sf0.01"
@@ -34,6 +34,23 @@ def test_pages(spark):
     assert len(rows) == len(declared) and np.mean([r.language == declared[r.page_id] for r in rows]) > 0.97
 
 
+def test_rare_languages_and_copies(spark):
+    def texts(words, lang, n, start):
+        return [(start + i, " ".join(words[(i * 7 + j * j) % len(words)] + "aeiou"[(i >> j) % 5] for j in range(12)), lang, None) for i in range(n)]
+
+    rows = texts("the house stands near water where people walk every morning".split(), "en", 15_000, 0)
+    rows += texts("das Haus steht nahe beim Wasser wo Menschen jeden Morgen gehen".split(), "de", 10_000, 20_000)
+    rows += [(40_000 + i, "One text that stands here many times over", "en", None) for i in range(5000)]
+    rare = [(90_001, "talo on lähellä vettä missä ihmiset kävelevät joka aamu ja ilta", "fi", None),
+            (90_002, "dom stoi blisko wody gdzie ludzie chodzą każdego ranka i wieczora", "pl", None)]
+    docs = spark.createDataFrame(rows + rare, "doc_id long, text string, lang string, source string").repartition(8)
+    assert fit_text(docs, "lang").languages == ["de", "en", "fi", "pl"]
+    chosen = training_texts(docs, "lang", "text").collect()
+    assert len(chosen) == len(set(chosen)) <= 2000 and sum(r.declared in ("fi", "pl") for r in chosen) == 2
+    found = {r.doc_id: (r.language, r.kept) for r in op8(docs).where("doc_id > 90000").collect()}
+    assert found == {90_001: ("fi", True), 90_002: ("pl", True)}
+
+
 def test_page_fields(spark):
     html = '<HTML class=x LANG=\'fr-CA\'><style>p{}</style><script>var a="<p>";</script><!-- no --><p>Bon&nbsp;jour</p>'
     pages = spark.createDataFrame([(1, "https://u@Blog.Example.org:80/a", html), (2, "no address", None)], "page_id long, url string, html string")

@@ -3,9 +3,10 @@
     log P(language | row) = tempered log P(text | language) + log P(declared | language)
                             + log P(suffix | language) + log P(language | host)
 
-The text likelihood is a naive Bayes over letter trigrams, fitted on at most TRAINING_ROWS rows (by a hash),
-of each at most TRAINING_BYTES. Its languages are the declared ones; the labels are refined by the model itself, so some
-wrong declarations do no harm. As neighbouring trigrams are not independent, a text counts for at most
+The text likelihood is a naive Bayes over letter trigrams. Its languages are all that any row with text declares, each
+fitted on distinct texts (the smallest hashes), of each at most TRAINING_BYTES: about TRAINING_ROWS texts together, dealt
+evenly over the languages, and LEAST_TEXTS of each that has so many. The labels are refined by the model itself, so some
+wrong declarations do no harm; a language that would lose all its texts keeps them. As neighbouring trigrams are not independent, a text counts for at most
 EVIDENCE trigrams. The other factors are learned from all rows: the text posteriors are summed by declared language,
 suffix, host and domain. The host's prior is smoothed towards its domain's, that towards the share of the
 language among all rows, and a row's own posterior is left out of its host's and domain's.
@@ -27,14 +28,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from thermobox.llm.common import LOWER, join_repeated, map_texts, pieces, stored
 
 BUCKETS = 1 << 15
-TRAINING_ROWS, TRAINING_BYTES = 2000, 8000
+TRAINING_ROWS, TRAINING_BYTES, LEAST_TEXTS = 2000, 8000, 20
 EVIDENCE, STRENGTH, SMOOTHING = 40, 5.0, 0.5
 MIN_PROBABILITY, MIN_GRAMS = 0.8, 1
 
@@ -82,15 +83,36 @@ def _table(codes: list[np.ndarray], labels: np.ndarray, n: int) -> np.ndarray:
     return np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
+def _even(sizes: list[int], total: int) -> int:
+    """The level at which sizes cut to it sum to about `total`."""
+    level, left = 0, total
+    for i, n in enumerate(sorted(sizes)):
+        level = max(level, min(n, left // (len(sizes) - i)))
+        left -= min(n, left // (len(sizes) - i))
+    return level
+
+
+def training_texts(rows: DataFrame, declared: str, text: str) -> DataFrame:
+    """declared, text: a bounded number of distinct texts of every declared language, each cut to TRAINING_BYTES."""
+    marked = rows.where(F.col(declared).isNotNull() & (F.length(text) > 0)).select(
+        F.col(declared).alias("declared"), F.xxhash64(text).alias("key"), F.col(text).alias("text")
+    )
+    keys = stored(marked.select("declared", "key").distinct(), "lid-keys")
+    counts = keys.groupBy("declared").count()
+    sizes = [r["count"] for r in counts.collect()]  # one per language
+    each = max(_even(sizes, TRAINING_ROWS), min(LEAST_TEXTS, 10_000 // max(len(sizes), 1)), 1)
+    # keys are uniform: about twice the wanted number lie below the share, and only they are ranked
+    share = F.least(F.lit(1.0), F.lit(2.0 * each + 100) / F.col("count"))
+    low = keys.join(F.broadcast(counts), "declared").where(F.pmod("key", F.lit(1_000_003)) < share * 1_000_003)
+    rank = F.row_number().over(Window.partitionBy("declared").orderBy(F.pmod("key", F.lit(1_000_003)), "key"))
+    chosen = low.withColumn("rank", rank).where(F.col("rank") <= each).select("declared", "key")
+    cut = F.substring("text", 1, TRAINING_BYTES)
+    return marked.join(F.broadcast(chosen), ["declared", "key"]).groupBy("declared", "key").agg(F.min(cut).alias("text")).drop("key")
+
+
 def fit_text(rows: DataFrame, declared: str, text: str = "text") -> TextModel:
-    """The text model of a bounded sample of rows with a declared language."""
-    marked = rows.where(F.col(declared).isNotNull() & (F.length(text) > 0))
-    total = marked.count()
-    share = min(1.0, TRAINING_ROWS / max(total, 1))
-    key = F.pmod(F.xxhash64(text), F.lit(1_000_003))
-    sample = marked.where(key < share * 1_000_003).select(
-        F.col(declared).alias("declared"), F.substring(text, 1, TRAINING_BYTES).alias("text")  # of the training rows only
-    ).limit(TRAINING_ROWS).collect()
+    """The text model of a bounded number of texts of every declared language."""
+    sample = training_texts(rows, declared, text).collect()
     sample = sorted((r["declared"], r["text"]) for r in sample)
     languages = sorted({d for d, _ in sample})
     codes = [trigrams(pa.array([t]))[0] for _, t in sample]
@@ -98,7 +120,8 @@ def fit_text(rows: DataFrame, declared: str, text: str = "text") -> TextModel:
     for _ in range(3):
         logs = _table(codes, labels, len(languages)) if languages else np.zeros((0, BUCKETS))
         guess = np.array([logs[:, c].sum(axis=1).argmax() if len(c) else k for c, k in zip(codes, labels)], dtype=int)
-        if (guess == labels).all() or set(guess) != set(labels):
+        guess = np.where(np.isin(labels, guess), guess, labels)
+        if (guess == labels).all():
             break
         labels = guess
     return TextModel(languages, logs)
