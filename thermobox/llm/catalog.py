@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thermobox.llm import language_id, license_scan, line_quality, near_dedup, pii, quality_rules, source_mix, token_packing, vector_search, warc_bundles
+from thermobox.llm import (
+    hard_negatives, language_id, license_scan, line_quality, log_bilinear, near_dedup, pii, quality_rules, source_mix,
+    target_resampling, token_packing, vector_search, warc_bundles,
+)
 from thermobox.llm.common import table, tokenizer_file
 
 
@@ -55,6 +58,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resampling.op11(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.op12(table(spark, sf_dir, "embeddings"))
+
+
+def op13_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_bilinear.op13(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mix": op2_source_mix,
@@ -67,10 +82,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_languages": page_languages,
     "op9_pii": op9_pii,
     "op10_license_scan": op10_license_scan,
+    "op11_target_resampling": op11_target_resampling,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_log_bilinear": op13_log_bilinear,
 }
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.SQL,
     "op2_source_mix": source_mix.SQL,
     "op10_license_scan": license_scan.oracle(),
+    "op11_target_resampling": target_resampling.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
 }
