@@ -60,3 +60,20 @@ def test_plan_is_native(spark):
 
 def test_empty_table(spark):
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_accepted_share_is_always_looked_up(spark):
+    """Words after a gap stand one place late; what is left in place is 60 percent or more, in any template."""
+    from thermobox.llm.license_scan import ACCEPT_PERCENT, TEMPLATES, _phrase_start
+
+    rows, wanted = [], []
+    for number, (_, label, text, key) in enumerate(TEMPLATES):
+        words = text.split()
+        at = _phrase_start(text, key)
+        for cut in range(-(-ACCEPT_PERCENT * len(words) // 100), len(words)):
+            if not at < cut < at + len(key.split()):  # the phrase itself stays whole
+                rows.append((len(rows), "before it " + " ".join(words[:cut] + ["inserted"] + words[cut:])))
+                wanted.append(label)
+    found = {r["doc_id"]: r["labels"].split(",") for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = [(rows[i], found[i]) for i, label in enumerate(wanted) if label not in found[i]]
+    assert len(rows) > 40 and not missed

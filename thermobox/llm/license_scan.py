@@ -2,7 +2,8 @@
 
 The index holds a posting (template, position) for every word of a few notice templates. Document
 frequencies of the template words are counted over the whole corpus. Per file and template, the
-PICK rarest template words that the file holds (highest IDF) are looked up; each occurrence in the
+rarest template words that the file holds (highest IDF) are looked up, so many that a place with ACCEPT_PERCENT of
+the words has at least VOTES of them (`looked_up`); each occurrence in the
 file votes for the place where the template would start, and places with two votes (from different
 template positions) are candidates. A candidate is accepted if at least ACCEPT of the template's
 words stand at their places and every mandatory phrase stands within SHIFT words of its place.
@@ -57,10 +58,16 @@ TEMPLATES = [
      "creative commons attribution"),
 ]
 
-PICK, VOTES, ACCEPT_PERCENT, SHIFT = 4, 2, 60, 2
+VOTES, ACCEPT_PERCENT, SHIFT = 2, 60, 2
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def looked_up(words: int) -> int:
+    """Words to look up of a template: if all others but VOTES of an accepted share are left out, VOTES remain."""
+    accepted = -(-ACCEPT_PERCENT * words // 100)
+    return words - accepted + VOTES
+
+
 def _vocabulary() -> list[str]:
     return sorted({word for _, _, text, _ in TEMPLATES for word in text.split()})
 
@@ -148,7 +155,7 @@ def find_templates(scanned: DataFrame, frequencies: dict[str, int]) -> DataFrame
     for _, _, text, key in TEMPLATES:
         own = F.array_intersect("held", _texts(sorted(set(text.split()))))
         ranked = F.array_sort(F.transform(own, lambda w: F.struct(frequency[w].alias("n"), w.alias("w"))))
-        rarest = F.transform(F.slice(ranked, 1, PICK), lambda s: s["w"])
+        rarest = F.transform(F.slice(ranked, 1, looked_up(len(text.split()))), lambda s: s["w"])
         picks.append(F.when(_holds_all(F.col("held"), key), rarest).otherwise(F.array().cast("array<string>")))
     picked = held.select("doc_id", "text_key", "words", F.array(*picks).alias("picks"))
 
@@ -220,14 +227,14 @@ def oracle() -> str:
         f"({t}, {i}, '{w}')" for t, (_, _, text, _) in enumerate(TEMPLATES) for i, w in enumerate(text.split())
     )
     keys = ", ".join(
-        f"({t}, {_phrase_start(text, key)}, '{key}', {len(key.split())}, '{label}', {len(text.split())})"
+        f"({t}, {_phrase_start(text, key)}, '{key}', {len(key.split())}, '{label}', {len(text.split())}, {looked_up(len(text.split()))})"
         for t, (_, label, text, key) in enumerate(TEMPLATES)
     )
     base = ", ".join(f"('{label}', '{phrase}', {len(phrase.split())})" for label, phrase in BASE_PHRASES.items())
     lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return rf"""
 WITH posting(t, i, word) AS (VALUES {postings}),
-template(t, key_at, key, key_len, label, n) AS (VALUES {keys}),
+template(t, key_at, key, key_len, label, n, picks) AS (VALUES {keys}),
 phrase(label, phrase, len) AS (VALUES {base}),
 d AS (SELECT row_number() OVER () AS rid, doc_id,
              regexp_extract_all({lowered}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
@@ -243,12 +250,12 @@ based AS (SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS la
                  string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM place GROUP BY rid),
 keyed AS (SELECT v.rid, t FROM v, template WHERE list_contains(string_split(key, ' '), v.word)
           GROUP BY v.rid, t, key HAVING count(*) = len(list_distinct(string_split(key, ' ')))),
-picked AS (SELECT rid, t, word FROM (
+picked AS (SELECT rid, t, word FROM template JOIN (
              SELECT keyed.rid, keyed.t, v.word,
                     row_number() OVER (PARTITION BY keyed.rid, keyed.t ORDER BY freq.n, v.word) AS r
              FROM keyed JOIN v ON v.rid = keyed.rid
              JOIN (SELECT DISTINCT t, word FROM posting) AS p ON p.t = keyed.t AND p.word = v.word
-             JOIN freq ON freq.word = v.word) WHERE r <= {PICK}),
+             JOIN freq ON freq.word = v.word) USING (t) WHERE r <= picks),
 vote AS (SELECT picked.rid, picked.t, w.pos - posting.i AS start
          FROM picked JOIN w ON w.rid = picked.rid AND w.word = picked.word
          JOIN posting ON posting.t = picked.t AND posting.word = picked.word
