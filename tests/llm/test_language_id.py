@@ -127,3 +127,15 @@ def test_stage_keeps_columns_and_drops_letterless(spark):
 def test_nothing_to_learn_from(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     assert [(r.language, r.kept) for r in op8(docs).collect()] == [(None, False)] * len(rows)
+
+
+def test_long_texts_are_learned_from_start_to_end(spark):
+    from pyspark.sql import functions as F
+
+    from thermobox.llm.language_id import TRAINING_CHARS, spread
+
+    text = "".join(chr(97 + i * 26 // 50_000) for i in range(50_000))
+    rows = [(1, text), (2, "z" * TRAINING_CHARS), (3, "é" * (TRAINING_CHARS + 1)), (4, ""), (5, None)]
+    found = dict(map(tuple, spark.createDataFrame(rows, "i int, text string").select("i", spread(F.col("text"))).collect()))
+    assert found[2] == rows[1][1] and found[4] == "" and found[5] is None and set(found[3]) == {"é", " "}
+    assert found[1][0] == "a" and found[1][-1] == "z" and len(set(found[1])) > 8 and len(found[1]) <= TRAINING_CHARS + 8

@@ -4,7 +4,7 @@
                             + log P(suffix | language) + log P(language | host)
 
 The text likelihood is a naive Bayes over letter trigrams. Its languages are all that any row with text declares, each
-fitted on distinct texts (the smallest hashes), of each at most TRAINING_BYTES: about TRAINING_ROWS texts together, dealt
+fitted on distinct texts (the smallest hashes), of each at most TRAINING_CHARS characters in pieces spread evenly over the whole text: about TRAINING_ROWS texts together, dealt
 evenly over the languages, and LEAST_TEXTS of each that has so many. The labels are refined by the model itself, so some
 wrong declarations do no harm; a language that would lose all its texts keeps them. As neighbouring trigrams are not independent, a text counts for at most
 EVIDENCE trigrams. The other factors are learned from all rows: the text posteriors are summed by declared language,
@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from thermobox.llm.common import LOWER, join_repeated, map_texts, pieces, stored
 
 BUCKETS = 1 << 15
-TRAINING_ROWS, TRAINING_BYTES, LEAST_TEXTS = 2000, 8000, 20
+TRAINING_ROWS, TRAINING_CHARS, TRAINING_PIECES, LEAST_TEXTS = 2000, 8000, 8, 20
 EVIDENCE, STRENGTH, SMOOTHING = 40, 5.0, 0.5
 MIN_PROBABILITY, MIN_GRAMS = 0.8, 1
 
@@ -92,8 +92,17 @@ def _even(sizes: list[int], total: int) -> int:
     return level
 
 
+def spread(text: Column) -> Column:
+    """A text of at most TRAINING_CHARS characters whole; of a longer one TRAINING_PIECES pieces, evenly from start to end."""
+    size, last = TRAINING_CHARS // TRAINING_PIECES, TRAINING_PIECES - 1
+    piece = F.transform(
+        F.sequence(F.lit(0), F.lit(last)),
+        lambda i: F.substring(text, (1 + F.floor(i * (F.length(text) - size) / last)).cast("int"), F.lit(size)))
+    return F.when(F.length(text) > TRAINING_CHARS, F.array_join(piece, " ")).otherwise(text)
+
+
 def training_texts(rows: DataFrame, declared: str, text: str) -> DataFrame:
-    """declared, text: a bounded number of distinct texts of every declared language, each cut to TRAINING_BYTES."""
+    """declared, text: a bounded number of distinct texts of every declared language, of each what `spread` takes."""
     marked = rows.where(F.col(declared).isNotNull() & (F.length(text) > 0)).select(
         F.col(declared).alias("declared"), F.xxhash64(text).alias("key"), F.col(text).alias("text")
     )
@@ -106,7 +115,7 @@ def training_texts(rows: DataFrame, declared: str, text: str) -> DataFrame:
     low = keys.join(F.broadcast(counts), "declared").where(F.pmod("key", F.lit(1_000_003)) < share * 1_000_003)
     rank = F.row_number().over(Window.partitionBy("declared").orderBy(F.pmod("key", F.lit(1_000_003)), "key"))
     chosen = low.withColumn("rank", rank).where(F.col("rank") <= each).select("declared", "key")
-    cut = F.substring("text", 1, TRAINING_BYTES)
+    cut = spread(F.col("text"))
     return marked.join(F.broadcast(chosen), ["declared", "key"]).groupBy("declared", "key").agg(F.min(cut).alias("text")).drop("key")
 
 
