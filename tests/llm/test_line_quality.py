@@ -75,3 +75,12 @@ def test_labels_of_the_held_out_fold_are_not_read(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert op7(docs, spark.createDataFrame([], "doc_id long, quality int")).collect() == []
+
+
+def test_training_lines_are_spread_over_a_text():
+    from thermobox.llm.line_quality import RUN_LINES, TRAINING_RUNS, _runs
+
+    assert _runs(0) == [(0, 0)] and _runs(RUN_LINES * TRAINING_RUNS) == [(0, RUN_LINES * TRAINING_RUNS)]
+    runs = _runs(10_000)
+    assert len(runs) == TRAINING_RUNS and runs[0][0] == 0 and runs[-1][1] == 10_000
+    assert all(b - a == RUN_LINES for a, b in runs) and all(runs[i][1] <= runs[i + 1][0] for i in range(TRAINING_RUNS - 1))

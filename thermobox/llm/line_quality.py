@@ -7,7 +7,8 @@ A document's score is the mean of the forward-backward marginals of "good" over
 their lengths in characters of UTF-8.
 
 The CRF is fitted on at most TRAINING_DOCS labelled documents (by a hash of doc_id, none of the held-out
-fold) and at most TRAINING_LINES lines of each. Every whole text is scored.
+fold), of each one text and at most TRAINING_RUNS runs of RUN_LINES lines, spread evenly over the whole text; a text without
+more lines is taken whole. Every whole text is scored.
 
 Defined results: a text without a line that holds a word (null, empty, blank) scores the share of good
 documents in the training sample; lines without a word are no lines; a null `doc_id` is not held out and never
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from thermobox.llm.common import map_texts, pieces
 from thermobox.llm.crf import Crf, forward_backward, padded, train
 
-TRAINING_DOCS, TRAINING_LINES = 1500, 40
+TRAINING_DOCS, TRAINING_RUNS, RUN_LINES = 1500, 4, 20
 HELD_OUT = 2  # remainder of crc32(doc_id) by 4
 THRESHOLD = 0.7
 
@@ -123,27 +124,40 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_DOCS) -> tuple[
     marked = marked.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     known = {r["doc_id"]: r["quality"] for r in chosen.collect()}
-    texts = docs.where(F.col("doc_id").isin(list(known))).select("doc_id", "text") if known else docs.limit(0).select("doc_id", "text")
+    texts = docs.where(F.col("doc_id").isin(list(known))) if known else docs.limit(0)
+    # of rows that share an id one text, that with the smallest hash
+    texts = texts.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 2 << 20):
             owner, _, places = line_features(batch.column("text"))
-            ids, lists = [], []
+            edges = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            ids, numbers, lists = [], [], []
             for i in range(batch.num_rows):
-                own = places[owner == i][:TRAINING_LINES]
-                ids.append(i), lists.append(own.ravel())
+                for number, (a, b) in enumerate(_runs(int(edges[i + 1] - edges[i]))):
+                    ids.append(i), numbers.append(number), lists.append(places[edges[i] + a:edges[i] + b].ravel())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "places"]
+                [batch.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(numbers, pa.int32()), pa.array(lists, pa.list_(pa.int64()))],
+                names=["doc_id", "run", "places"],
             )
 
-    found = map_texts(texts, measured, "doc_id long, places array<long>").collect()
+    found = map_texts(texts, measured, "doc_id long, run int, places array<long>").collect()  # TRAINING_DOCS x TRAINING_RUNS at most
     data = []
-    for r in sorted(found, key=lambda r: (r["doc_id"], r["places"])):
+    for r in sorted(found, key=lambda r: (r["doc_id"], r["run"])):
         places = np.array(r["places"], dtype=np.int64).reshape(-1, len(BINS) + 1)
         if len(places):
             data.append((_one_hot(places), np.full(len(places), int(known[r["doc_id"]] > 0))))
-    good = sum(known[r["doc_id"]] > 0 for r in found)
-    return (train(data, FEATURES, 2, rounds=80) if data else None), (good / len(found) if found else 0.5)
+    seen = {r["doc_id"] for r in found}
+    good = sum(known[i] > 0 for i in seen)
+    return (train(data, FEATURES, 2, rounds=80) if data else None), (good / len(seen) if seen else 0.5)
+
+
+def _runs(lines: int) -> list[tuple[int, int]]:
+    """Where the training lines of a text with so many lines start and stop."""
+    if lines <= TRAINING_RUNS * RUN_LINES:
+        return [(0, lines)]
+    first = np.linspace(0, lines - RUN_LINES, TRAINING_RUNS).astype(int)
+    return [(int(a), int(a) + RUN_LINES) for a in first]
 
 
 def _one_hot(places: np.ndarray) -> np.ndarray:
