@@ -28,7 +28,7 @@ def test_probing_sequence_is_ordered_and_valid():
     assert all(not (r[i] and r[2 * HASHES - 1 - i]) for r in rows for i in range(HASHES))
 
 
-@pytest.mark.parametrize("path", [FIXTURE, "/root/testdata/check_s/embeddings.parquet"])
+@pytest.mark.parametrize("path", [FIXTURE, "/root/testdata/sf0.1/embeddings.parquet"])
 def test_recall(spark, path):
     table = spark.read.parquet(path)
     rows = [(r.vec_id, list(r.embedding)) for r in table.select("vec_id", "embedding").collect()]
