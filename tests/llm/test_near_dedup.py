@@ -119,3 +119,17 @@ def test_copies_nulls_and_clashing_columns(spark):
 
 def test_empty_table(spark):
     assert op5(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_rows_that_share_an_id_are_judged_one_by_one(spark):
+    from thermobox.llm.near_dedup import distinct_documents
+
+    near = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    rows = [(1, near, "a"), (7, near + " end", "b"), (7, "quite another text that stands alone here", "c"),
+            (7, "quite another text that stands alone here", "c"), (-5, "a third text without any likeness to the rest", "d"),
+            (9, "quite another text that stands alone here", "e"), (None, near, "f"), (None, near, "f"), (8, None, "g"), (8, "", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "map(1, 2) AS row", "'x' AS `a.b`", "1 AS fresh")
+    kept = distinct_documents(docs)
+    assert kept.columns == docs.columns
+    found = sorted(((r["doc_id"], r["source"]) for r in kept.collect()), key=str)
+    assert found == sorted([(1, "a"), (9, "e"), (-5, "d"), (None, "f"), (None, "f"), (8, "g")], key=str)

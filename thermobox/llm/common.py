@@ -50,6 +50,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def ascii_lower(column: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -94,6 +99,27 @@ def word_count(column: Column) -> Column:
     return F.coalesce(F.regexp_count(column, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def most_frequent(rows: DataFrame, count: str, ties: list[str], limit: int) -> list:
+    """About `limit` rows, at most, with the largest `count`, largest first.
+
+    Rows are told apart by size class first, so that no task sends rows that cannot be among them; a class
+    that would bring more than four times `limit` rows (such as all that occur once) is left out as a whole.
+    """
+    size = F.floor(F.log2(F.col(count)) * 8)
+    classes = rows.where(F.col(count) > 0).groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect()  # hundreds at most
+    total, least = 0, None
+    for r in classes:
+        total += r["count"]
+        if total > 4 * limit:
+            break
+        least = r["size"]
+        if total >= limit:
+            break
+    if least is None:
+        return []
+    return rows.where((F.col(count) > 0) & (size >= least)).orderBy(F.desc(count), *ties).limit(limit).collect()
+
+
 #: Ways in which the rows of one key are dealt in `join_repeated`; AQE splits what is still too large.
 SALTS = 8
 

@@ -39,7 +39,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thermobox.llm.common import LOWER, join_repeated, map_texts, pieces, stored
+from thermobox.llm.common import LOWER, column, join_repeated, map_texts, pieces, stored
+from thermobox.operators.series import index_by
 
 BANDS, BAND_ROWS = 32, 4
 SAMPLE_BINS, SKETCH_BITS = 1024, 2048
@@ -335,5 +336,34 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
 
 
+def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` without near duplicates: of each group of linked texts the one with the smallest doc_id.
+
+    Rows of one doc_id with different texts are documents of their own, judged one by one, after those whose doc_id stands
+    once; rows equal in doc_id and text count as one, of which one row stays. Rows without a doc_id stay.
+    """
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    own = [column(c) for c in docs.columns]
+    rows = docs.select(F.struct(*own).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    several = rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = join_repeated(rows.select("doc_id", digest.alias("digest")), several.withColumn("several", F.lit(True)), "doc_id", ["digest"], "inner")
+    # each text of a repeated id gets an id that no row has
+    numbered = index_by(again.select("doc_id", "digest").distinct(), "doc_id", ("digest",))
+    least, most = (x or 0 for x in rows.agg(F.min("doc_id"), F.max("doc_id")).first())
+    unused = F.lit(most) + 1 + F.col("step") if most < 1 << 62 else F.lit(least) - 1 - F.col("step")
+    fresh = stored(numbered.frame.select("doc_id", "digest", unused.alias("fresh")), "fresh-ids")
+    if fresh.isEmpty():
+        marked = rows.withColumn("fresh", F.lit(None).cast("long"))
+    else:
+        marked = rows.withColumn("digest", digest).join(fresh, ["doc_id", "digest"], "left").drop("digest")
+    marked = marked.withColumn("doc_id", F.coalesce("fresh", "doc_id"))
+    gone = stored(near_components(marked.select("doc_id", "text"), width, percent).where("NOT kept").select("doc_id").distinct(), "duplicates")
+    left = marked.join(gone, "doc_id", "left_anti")
+    once = left.where("fresh IS NULL").select("row")
+    if not fresh.isEmpty():
+        once = once.unionByName(left.where("fresh IS NOT NULL").groupBy("doc_id").agg(F.first("row").alias("row")).select("row"))
+    return once.select("row.*")
+
+
 def op5(docs: DataFrame) -> DataFrame:
     return near_components(docs, width=3, percent=85)
