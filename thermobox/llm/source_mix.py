@@ -2,117 +2,113 @@
 
 Each source has a target number of words and a schedule: piecewise-linear relative weight over
 training time 0..1. The integral of the schedule, scaled to the target, is the source's cumulative
-demand. A source offers its documents in an order drawn from a hash, again and again; the copy that
-starts at word c of that stream is trained on when the demand reaches c, so its position is the
+demand. A source offers its documents in an order drawn from a hash of id and text, again and again; the copy
+that starts at word c of that stream is trained on when the demand reaches c, so its position is the
 inverse of the demand at c. Copies past the demand are not taken. `training_order` range-sorts the
 copies of all sources by position.
 
 The stream offsets are prefix sums over hash ranges: a source is cut into ranges of about RANGE_ROWS
-documents, ranges are summed before rows are, so a source with a third of all rows is dealt over
-many tasks. Only the mix's own specification, one row per source, is on the driver and broadcast.
+documents and ranges are summed before rows are, so a source with a third of all rows is dealt over
+many tasks. Sources, their targets and the sums of their ranges are tables, joined on the partitioning of the
+prefix sums: a text is shuffled once for its place in the stream and once for the order of training.
 
 Defined results: a null text has size 0 and is never taken; a null source is a source of its own,
-ordered last; null and repeated `doc_id`s are rows like others; ties in the hash order go by doc_id and
-size, so reruns agree; an empty table gives no rows. Columns of `docs` are carried only by
-`training_order`; its own columns start with `mix_`.
+ordered last; null and repeated `doc_id`s are rows like others; rows equal in id and text are interchangeable
+and stand next to each other, so reruns agree; an empty table gives no rows. The columns of `docs` travel
+in one structure, so their names cannot clash with those used here.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thermobox.llm.common import word_count
-
-RANGE_ROWS = 50_000
-FLAT = ((0.0, 1.0), (1.0, 1.0))
-
-
-@dataclass(frozen=True)
-class Source:
-    """What the mix asks of one source."""
-
-    name: str | None
-    size: int
-    target: float
-    schedule: tuple[tuple[float, float], ...] = field(default=FLAT)
-
-    @property
-    def demand(self) -> int:
-        return int(self.target + 0.5)
-
-    def segments(self) -> list[tuple[float, float, float, float, float]]:
-        """(start time, weight there in words, slope, demand at the start, demand at the end)."""
-        area = sum((t1 - t0) * (w0 + w1) / 2 for (t0, w0), (t1, w1) in zip(self.schedule, self.schedule[1:]))
-        scale, done, out = self.demand / area, 0.0, []
-        for (t0, w0), (t1, w1) in zip(self.schedule, self.schedule[1:]):
-            words = scale * (t1 - t0) * (w0 + w1) / 2
-            out.append((t0, scale * w0, scale * (w1 - w0) / (t1 - t0), done, done + words))
-            done += words
-        return out
-
-
-def with_size(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("mix_size", word_count(F.col("text")))
-
-
-def source_sizes(sized: DataFrame) -> list[tuple[str | None, int]]:
-    """Words of each source, in code point order, null last."""
-    sums = sized.groupBy("source").agg(F.sum("mix_size").alias("n")).collect()
-    return sorted(((r["source"], r["n"]) for r in sums), key=lambda s: (s[0] is None, s[0] or ""))
-
-
-def fill_targets(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
-    """Shares of `total` by weight; one above `most` times its size stops there and the rest is reshared."""
-    targets = [0.0] * len(sizes)
-    open_ = [i for i in range(len(sizes)) if weights[i] > 0]
-    left = total
-    while open_:
-        level = left / sum(weights[i] for i in open_)
-        above = [i for i in open_ if level * weights[i] > most * sizes[i]]
-        if not above:
-            for i in open_:
-                targets[i] = level * weights[i]
+from thermobox.llm.common import column, stored, word_count
+from thermobox.operators.series import index_by
+
+RANGE_ROWS = 4096
+Schedule = Sequence[tuple[float, float]]
+FLAT: Schedule = ((0.0, 1.0), (1.0, 1.0))
+#: A hash range of a source.
+RANGE = ("mix_source", "mix_unnamed", "mix_range")
+
+
+def prepare(docs: DataFrame, carried: Sequence[str]) -> DataFrame:
+    """mix_row (the carried columns), RANGE, mix_key, mix_size of each row."""
+    text = F.coalesce("text", F.lit(""))
+    key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text).cast("binary"))
+    ranges = 1 + docs.count() // RANGE_ROWS
+    # the first 8 hex digits of the order key deal the rows evenly, in its order
+    at = F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return docs.select(
+        F.struct(*[column(c) for c in carried]).alias("mix_row"), F.coalesce("source", F.lit("")).alias("mix_source"),
+        F.col("source").isNull().alias("mix_unnamed"), key.alias("mix_key"), word_count(F.col("text")).alias("mix_size"),
+    ).withColumn("mix_range", F.floor(at * ranges))
+
+
+def range_sums(rows: DataFrame) -> DataFrame:
+    """RANGE and n, the words in it, stored."""
+    return stored(rows.groupBy(*RANGE).agg(F.sum("mix_size").alias("n")), "mix-ranges")
+
+
+def list_sources(sums: DataFrame) -> DataFrame:
+    """mix_source, mix_unnamed, number (from 0, by code point, null last), size of each source, stored."""
+    sizes = sums.groupBy("mix_source", "mix_unnamed").agg(F.sum("n").alias("size"))
+    return index_by(sizes, "mix_unnamed", ("mix_source",)).frame.withColumnRenamed("step", "number")
+
+
+def fill_targets(sources: DataFrame, total: float, most: float) -> DataFrame:
+    """`sources` (size, weight, ...) with target: shares of `total` by weight; one above `most` times its size
+    stops there and the rest is reshared."""
+    weight, cap = F.col("weight"), most * F.col("size")
+    level, stopped = 0.0, -1
+    while True:  # each round stops at least one more source
+        over = F.lit(level) * weight > cap
+        now = sources.where(weight > 0).agg(
+            F.count_if(over).alias("n"), F.sum(F.when(over, cap)).alias("full"), F.sum(F.when(~over, weight)).alias("open")
+        ).first()
+        if now["n"] == stopped or not now["open"]:
             break
-        for i in above:
-            targets[i] = float(most * sizes[i])
-        left = total - sum(targets)
-        open_ = [i for i in open_ if i not in above]
-    return targets
-
-
-def _order() -> Column:
-    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-
-
-def assign_positions(sized: DataFrame, mix: list[Source], cut: bool = True) -> DataFrame:
-    """`sized` with mix_source_size, mix_target and mix_copies: (epoch, position, words) of each copy taken.
-
-    `cut`: the copy at the end of the demand counts with the words that are still wanted; else copies
-    are whole, and that one is taken if the demand reaches its middle.
+        level, stopped = (total - (now["full"] or 0)) / now["open"], now["n"]
+    share = F.lit(level) * weight
+    target = F.when(weight <= 0, 0.0).when(share > cap, cap).otherwise(share)
+    return sources.withColumn("target", target.cast("double"))
+
+
+def segments(schedule: Schedule, demand: Column) -> Column:
+    """(start time, weight there in words, slope, demand at the start) of each piece."""
+    area = sum((t1 - t0) * (w0 + w1) / 2 for (t0, w0), (t1, w1) in zip(schedule, schedule[1:]))
+    done, out = 0.0, []
+    for (t0, w0), (t1, w1) in zip(schedule, schedule[1:]):
+        parts = (w0 / area, (w1 - w0) / (t1 - t0) / area, done)
+        out.append(F.array(F.lit(t0), *[F.lit(x) * demand for x in parts]))
+        done += (t1 - t0) * (w0 + w1) / 2 / area
+    return F.array(*out)
+
+
+def assign_positions(rows: DataFrame, sums: DataFrame, sources: DataFrame, schedules: Sequence[Schedule],
+                     chosen: Column, cut: bool = True) -> DataFrame:
+    """`rows` with mix_source_size, mix_target and mix_copies: (epoch, position, words) of each copy taken.
+
+    `sources` with size and target; `chosen` is the number of a source's schedule. `cut`: the copy at the end of the demand
+    counts with the words that are still wanted; else copies are whole, that one is taken if the demand reaches
+    its middle, and a document without words is taken once, at the start.
     """
-    spark = sized.sparkSession
-    spec = spark.createDataFrame(
-        [(s.name, s.size, s.target, s.demand, [list(x) for x in s.segments()] if s.demand else []) for s in mix],
-        "mix_name string, mix_source_size long, mix_target double, mix_demand long, mix_segments array<array<double>>",
+    demand = F.floor(F.col("target") + 0.5)
+    curve = F.get(F.array(*[segments(s, demand.cast("double")) for s in schedules]), chosen)
+    spec = sources.select(
+        "mix_source", "mix_unnamed", F.col("size").alias("mix_source_size"), F.col("target").alias("mix_target"),
+        demand.alias("mix_demand"), F.when(demand > 0, curve).otherwise(F.array().cast("array<array<double>>")).alias("mix_segments"),
     )
-    rows = sized.join(F.broadcast(spec), F.col("source").eqNullSafe(F.col("mix_name"))).drop("mix_name")
-    ranges = 1 + sized.count() // RANGE_ROWS
-    # The first 8 hex digits of the order key deal the rows evenly, in its order.
-    at = F.conv(F.substring(_order(), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    rows = rows.withColumn("mix_range", F.floor(at * ranges))
-    sums = rows.groupBy("source", "mix_range").agg(F.sum("mix_size").alias("n"))
-    earlier = Window.partitionBy("_source").orderBy("_range")
-    before = sums.select(
-        F.col("source").alias("_source"), F.col("mix_range").alias("_range"), "n"
-    ).withColumn("mix_before", F.sum("n").over(earlier) - F.col("n")).drop("n")
-    inside = Window.partitionBy("source", "mix_range").orderBy(_order(), "doc_id", "mix_size")
-    own = F.sum("mix_size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("mix_size")
-    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("mix_range") == F.col("_range"))
-    rows = rows.withColumn("mix_start", own).join(before, same)
-    rows = rows.withColumn("mix_start", F.col("mix_start") + F.col("mix_before"))
+    earlier = Window.partitionBy("mix_source", "mix_unnamed").orderBy("mix_range")
+    before = sums.withColumn("mix_before", F.sum("n").over(earlier) - F.col("n")).drop("n")
+    before = stored(before.join(spec, ["mix_source", "mix_unnamed"]), "mix-offsets")
+    inside = Window.partitionBy(*RANGE).orderBy("mix_key").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("mix_start", F.sum("mix_size").over(inside) - F.col("mix_size"))
+    # the same keys as the prefix sums: the rows stay where they are
+    rows = rows.join(before.hint("shuffle_hash"), list(RANGE)).withColumn("mix_start", F.col("mix_start") + F.col("mix_before"))
 
     size, wanted = F.col("mix_size"), F.col("mix_demand")
     epochs = F.when(size > 0, F.sequence(F.lit(0), F.ceil(wanted / F.col("mix_source_size")).cast("int")))
@@ -124,9 +120,10 @@ def assign_positions(sized: DataFrame, mix: list[Source], cut: bool = True) -> D
         return F.struct(epoch.alias("epoch"), _position(start).alias("position"), words.cast("long").alias("words"))
 
     copies = F.filter(F.transform(F.coalesce(epochs, F.array().cast("array<int>")), copy), lambda c: c["words"] > 0)
-    return rows.withColumn("mix_copies", copies).drop(
-        "mix_range", "mix_start", "mix_before", "_source", "_range", "mix_demand", "mix_segments"
-    )
+    if not cut:
+        once = F.struct(F.lit(0).alias("epoch"), F.lit(0.0).alias("position"), F.lit(0).cast("long").alias("words"))
+        copies = F.when(size > 0, copies).otherwise(F.array(once))
+    return rows.withColumn("mix_copies", copies).select("mix_row", "mix_key", "mix_size", "mix_source_size", "mix_target", "mix_copies")
 
 
 def _position(words: Column) -> Column:
@@ -143,13 +140,10 @@ def _position(words: Column) -> Column:
 
 
 def training_order(assigned: DataFrame) -> DataFrame:
-    """One row per copy taken, range-sorted by mix_position; `assigned` as from `assign_positions`."""
-    copies = assigned.select("*", F.explode("mix_copies").alias("mix_copy")).drop("mix_copies")
-    copies = copies.withColumns({
-        "mix_epoch": F.col("mix_copy.epoch"), "mix_position": F.col("mix_copy.position"),
-        "mix_words": F.col("mix_copy.words"),
-    }).drop("mix_copy")
-    return copies.orderBy("mix_position", "source", "doc_id", "mix_epoch")
+    """mix_row, mix_epoch, mix_position, mix_words: one row per copy taken, range-sorted by mix_position."""
+    copies = assigned.select("mix_row", "mix_key", F.explode("mix_copies").alias("c")).select(
+        "mix_row", "mix_key", F.col("c.epoch").alias("mix_epoch"), F.col("c.position").alias("mix_position"), F.col("c.words").alias("mix_words"))
+    return copies.orderBy("mix_position", "mix_key", "mix_epoch").drop("mix_key")
 
 
 # The contract's weights, repeating over the sources, and a curriculum for each.
@@ -164,23 +158,23 @@ SHARE, MOST = 1.5, 2
 
 def op2(docs: DataFrame) -> DataFrame:
     """Per document its size, its source's size and target, and the words taken, in training order."""
-    sized = with_size(docs.select("doc_id", "source", "text")).select("doc_id", "source", "mix_size")
-    sizes = source_sizes(sized)
-    weights = [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sizes))]
-    targets = fill_targets([n for _, n in sizes], weights, SHARE * sum(n for _, n in sizes), MOST)
-    mix = [Source(name, n, t, SCHEDULES[i % len(SCHEDULES)]) for i, ((name, n), t) in enumerate(zip(sizes, targets))]
-    assigned = assign_positions(sized, mix)
+    rows = stored(prepare(docs, ["doc_id"]), "mix-rows")  # ids and sizes; the texts are read once
+    sums = range_sums(rows)
+    turn = F.pmod("number", F.lit(len(WEIGHTS))).cast("int")
+    sources = list_sources(sums).withColumn("weight", F.get(F.array(*map(F.lit, WEIGHTS)), turn))
+    words = sources.agg(F.sum("size")).first()[0] or 0
+    assigned = assign_positions(rows, sums, fill_targets(sources, SHARE * words, MOST), SCHEDULES, turn)
     taken = F.aggregate("mix_copies", F.lit(0).cast("long"), lambda total, c: total + c["words"])
     first = F.get(F.transform("mix_copies", lambda c: c["position"]), F.lit(0))
-    return assigned.orderBy(first.asc_nulls_last(), "source", "doc_id").select(
-        "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
+    return assigned.orderBy(first.asc_nulls_last(), "mix_key").select(
+        "mix_row.doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
         F.col("mix_target").alias("target"), taken.alias("taken"),
     )
 
 
 #: DuckDB. The level at which the largest possible number of sources has stopped at its cap is the right one.
 SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS place, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
            FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
              [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight
@@ -195,9 +189,8 @@ level AS (SELECT stopped, level FROM l
           ORDER BY stopped LIMIT 1),
 t AS (SELECT source, source_size,
              CASE WHEN k <= stopped THEN 2.0::DOUBLE * source_size ELSE level * weight END AS target FROM c, level),
-o AS (SELECT d.*, source_size, target, CAST(floor(target + 0.5) AS BIGINT) AS demand,
-             sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id NULLS FIRST, size
-                             ROWS UNBOUNDED PRECEDING) - size AS start
+o AS (SELECT d.* EXCLUDE (place), source_size, target, CAST(floor(target + 0.5) AS BIGINT) AS demand,
+             sum(size) OVER (PARTITION BY d.source ORDER BY place ROWS UNBOUNDED PRECEDING) - size AS start
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        CAST(greatest(0, least(size, demand - start))
