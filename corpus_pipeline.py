@@ -24,15 +24,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of each group linked by 5-word shingles at 0.8 or more.
 
-    Rows that repeat a doc_id count as one document: it stays if one of them does, with the smallest of
-    its rows. Rows without a doc_id stay.
+    Rows of one doc_id with different texts are judged one by one. Rows without a doc_id stay.
     """
-    found = near_dedup.near_components(docs, width=5, percent=80)
-    by_id = found.groupBy("doc_id").agg(F.bool_or("kept").alias("_stays"), F.count("*").alias("_rows"))
-    marked = docs.join(stored(by_id.where("NOT _stays OR _rows > 1"), "marked"), "doc_id", "left")
-    single = marked.where("_stays IS NULL").select(*docs.columns)
-    again = marked.where("_stays").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return single.unionByName(again)
+    return near_dedup.distinct_documents(docs, width=5, percent=80)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,15 +41,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     its size and at most its size again, so no document is lost and small sources gain weight.
     Light sources come late. A document without a word is trained on once, at the start.
     """
-    sized = source_mix.with_size(docs)
-    sizes = source_mix.source_sizes(sized)
-    words = [n for _, n in sizes]
-    extra = source_mix.fill_targets(words, [n**0.5 for n in words], REPEATED_SHARE * sum(words), MOST_COPIES - 1)
-    middle = sorted(words)[len(words) // 2] if words else 0
-    late = ((0.0, 1.0), (0.5, 1.0), (1.0, 3.0))
-    mix = [source_mix.Source(name, n, n + more, late if n < middle else source_mix.FLAT) for (name, n), more in zip(sizes, extra)]
-    worded = source_mix.training_order(source_mix.assign_positions(sized.where("mix_size > 0"), mix, cut=False))
-    return sized.where("mix_size = 0").select(*docs.columns).unionByName(worded.select(*docs.columns))
+    rows = source_mix.prepare(docs, docs.columns)
+    sums = source_mix.range_sums(rows)
+    sources = source_mix.list_sources(sums).withColumn("weight", F.sqrt("size"))
+    totals = sources.agg(F.sum("size").alias("words"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY size DESC)").alias("middle")).first()
+    words, middle = totals["words"] or 0, totals["middle"] or 0
+    more = source_mix.fill_targets(sources, REPEATED_SHARE * words, MOST_COPIES - 1)
+    mix = more.withColumn("target", F.col("size") + F.col("target"))
+    late = (F.col("size") < middle).cast("int")
+    schedules = (source_mix.FLAT, ((0.0, 1.0), (0.5, 1.0), (1.0, 3.0)))
+    assigned = source_mix.assign_positions(rows, sums, mix, schedules, late, cut=False)
+    return source_mix.training_order(assigned).select("mix_row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
