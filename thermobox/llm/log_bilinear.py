@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thermobox.llm.common import map_texts, pieces, stored
+from thermobox.llm.common import map_texts, most_frequent, pieces, stored
 from thermobox.llm.words import VISIBLE, Words
 
 FOLDS, HELD_OUT = 7, 2  # of crc32(doc_id)
@@ -110,7 +110,7 @@ def build_vocabulary(counts: DataFrame) -> Vocabulary:
     total = counts.agg(F.sum("c").alias("tokens"), F.sum((F.col("c") > 0).cast("long")).alias("types"),
                        F.sum(F.when(F.col("word").isNull(), F.col("c"))).alias("ends")).first()
     short = counts.where(F.octet_length("word") <= HEAD_BYTES)
-    head = [(r["word"], r["c"]) for r in short.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).collect()]
+    head = [(r["word"], r["c"]) for r in most_frequent(short, "n", ["word"], HEAD_WORDS)]
     head.sort(key=lambda r: (-r[1], r[0]))
     seen = sum(c > 0 for _, c in head)
     return Vocabulary(tuple(w for w, _ in head), tuple(c for _, c in head), min(MODEL_WORDS, seen),
