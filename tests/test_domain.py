@@ -2,14 +2,15 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.grids import cells, ground_box, make_state, pressure_box
+from thermobox.operators.axes import Tiling, coordinate_axes, measure_axes, numbered, order_breaks, tile_starts
 from thermobox.operators.domain import (
     cell_volumes,
+    axis_points,
     halo_cells,
-    halo_points,
     horizontal_areas,
-    measure_axes,
     resolve_box,
     wall_areas,
 )
@@ -79,8 +80,8 @@ def test_long_axis(spark):
     lats = spark.range(250_000).selectExpr("'lat' AS axis", "id * 0.0005D AS value")
     rest = spark.createDataFrame([("lon", float(x)) for x in range(6)] + [("level", 1e5), ("level", 9e4)], "axis string, value double")
     axes = lats.unionByName(rest)
-    points = halo_points(axes, BoxRequest(bbox=(60.0, 60.005, 0.0, 5.0), margin=1))
-    assert points["lat"][0].n == 250_000 and len(points["lat"]) == 1 + 10
+    points = axis_points(axes, {"a": BoxRequest(bbox=(60.0, 60.005, 0.0, 5.0), margin=1)})["a"]
+    assert points["lat"].n == 250_000 and len(points["lat"].values) == 11 and points["lat"].first == 120_000
     box = resolve_box(GridState(spark.range(0)), BoxRequest(bbox=(60.0, 60.005, 0.0, 5.0), margin=1, top_pressure=9e4), axes)
     assert box.lats.count() == 10 and box.spec.lat == pytest.approx((60.0005, 60.0045))
 
@@ -148,3 +149,54 @@ def test_close_coordinates_are_refused(spark):
     state = make_state(spark, level=[1e5, 9e4], lat=[0.0, 1.0, 2.0, 2.0000001, 3.0], lon=[0.0, 1.0, 2.0, 3.0])
     with pytest.raises(ValueError, match="millionth"):
         resolve_box(state, ground_box((0, 3, 0, 3), top=9e4))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_no_window_sees_a_whole_axis(spark, fine):
+    """Windows are by block; a request is resolved by one aggregate."""
+    axes = coordinate_axes(fine.upper)
+    plan = plan_of(measure_axes(axes, pressure_box((0, 6, 10, 15))))
+    windows = [line for line in plan.split("\n") if "Window [" in line]
+    assert windows and all("[_block#" in line and "[axis#" not in line for line in windows), plan
+    assert "Window" not in plan_of(fine.upper.where(resolve_box(fine, pressure_box((0, 6, 10, 15))).halo_filter()))
+
+
+@pytest.mark.parametrize("block", [2, 3, 8192])
+def test_numbers_and_neighbours_across_blocks(spark, monkeypatch, block):
+    from thermobox.operators import series
+
+    monkeypatch.setattr(series.index_by, "__defaults__", ("time", (), block))
+    values = {"lat": [float(x * x) for x in range(11)], "lon": [5.0], "level": [9e4, 8e4, 7e4]}
+    axes = spark.createDataFrame([(a, v) for a, vs in values.items() for v in vs], "axis string, value double")
+    found = {(r["axis"], r["value"]): (r["id"], r["before"], r["after"]) for r in numbered(axes.withColumn("o", F.col("value")), "o").collect()}
+    for axis, vs in values.items():
+        vs = sorted(vs)
+        assert [found[axis, v] for v in vs] == [(i, vs[i - 1] if i else None, vs[i + 1] if i + 1 < len(vs) else None) for i in range(len(vs))]
+
+
+def test_source_order_is_checked_across_blocks(spark, monkeypatch):
+    from thermobox.operators import series
+
+    monkeypatch.setattr(series.index_by, "__defaults__", ("time", (), 3))
+    rng = random.Random(1)
+    points, want = [], {"level": 0, "lat": 0, "lon": 0}
+    for axis in want:
+        values = [rng.uniform(0, 100) for _ in range(20)]
+        points += [(axis, v, i * 7) for i, v in enumerate(values)]
+        want[axis] = sum((b >= a) if axis == "level" else (b <= a) for a, b in zip(values, values[1:]))
+    found = order_breaks(spark.createDataFrame(points, "axis string, value double, seen long"), "seen")
+    assert {r["axis"]: r["n_bad"] for r in found.collect()} == want
+
+
+def test_tiles(spark):
+    axes = spark.createDataFrame([("lat", i * 0.25) for i in range(100)] + [("lon", float(i)) for i in range(5)], "axis string, value double")
+    rows = tile_starts(axes, 36, 256).collect()
+    assert sorted((r["axis"], r["tile"], r["start"]) for r in rows) == [("lat", 0, 0.0), ("lat", 1, 9.0), ("lat", 2, 18.0), ("lon", 0, 0.0)]
+    assert tile_starts(axes, 2, 4).where("axis = 'lat'").count() == 4
+    tiling = Tiling((0.0, 9.0, 18.0), (0.0,))
+    values = [-3.0, 0.0, 8.99, 9.0, 17.75, 18.0, 99.0]
+    found = spark.createDataFrame([(v, v) for v in values], "lat double, lon double").select(tiling.column("lat"), tiling.column("lon")).collect()
+    assert [tuple(r) for r in found] == [(tiling.number("lat", v), 0) for v in values] == [(n, 0) for n in (0, 0, 0, 1, 1, 2, 2)]

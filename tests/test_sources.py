@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tests.grids import frame, hours, make_state, wide_of
 from thermobox.plans.budget import BUDGET_FIELDS, run_budget
 from thermobox.sources.harmonise import harmonise, slice_time, to_kelvin, unit_of, with_unit
-from thermobox.operators.domain import coordinate_axes
+from thermobox.operators.axes import coordinate_axes
 from thermobox.plans.run import checked_run
 from thermobox.sources.layout import read_state, write_budget, write_state
 from thermobox.sources.quality import quality_report, validate
@@ -104,11 +104,13 @@ def test_appended_periods_equal_one_write(spark, state, tmp_path):
     )
     write_state(longer, f"{tmp_path}/one")
     first = F.to_date("time") == F.lit("2000-01-01").cast("date")
-    write_state(longer.restrict(first), f"{tmp_path}/two")
-    write_state(longer.restrict(~first), f"{tmp_path}/two", append=True, band_rows=100)
+    write_state(longer.restrict(first), f"{tmp_path}/two", tile_points=2)
+    write_state(longer.restrict(~first), f"{tmp_path}/two", append=True)
     write_state(longer.restrict(~first), f"{tmp_path}/two", append=True)  # a day written again is replaced
     one, two = (read_state(spark, f"{tmp_path}/{name}") for name in ("one", "two"))
-    assert one.upper.exceptAll(two.upper).isEmpty() and one.upper.count() == two.upper.count()
+    assert two.tiling.lat == (40.0, 50.0, 60.0)
+    one_rows, two_rows = (s.upper.drop("tile_lat", "tile_lon") for s in (one, two))
+    assert one_rows.exceptAll(two_rows).isEmpty() and one_rows.count() == two_rows.count()
     assert sorted(map(tuple, one.axes.collect())) == sorted(map(tuple, two.axes.collect()))
 
 
@@ -162,6 +164,44 @@ def test_plans_prune_and_push(spark, state, tmp_path):
     assert "CartesianProduct" not in walls and "NestedLoop" not in walls
 
 
+def test_small_box_reads_its_tiles_only(spark, tmp_path):
+    """A box in the middle of a grid of 6 x 6 tiles opens the files of its own tiles, its walls those next to them."""
+    from thermobox.operators.domain import resolve_box
+    from thermobox.operators.walls import wall_faces
+
+    grid = make_state(spark, level=LEVELS, lat=[float(x) for x in range(24)], lon=[float(x) for x in range(24)])
+    write_state(grid, f"{tmp_path}/s", tile_points=4)
+    stored = read_state(spark, f"{tmp_path}/s")
+    assert len(stored.upper.inputFiles()) == 36 and stored.tiling.lat == (0.0, 4.0, 8.0, 12.0, 16.0, 20.0)
+    box = resolve_box(stored, BoxRequest(bbox=(8, 13, 10, 15)))  # starts 9..11 and 11..13, in tile 2 x tiles 2 and 3
+
+    def opened(df):
+        return {tuple(part.split("=")[1] for part in name.split("/")[-3:-1]) for (name,) in df.select(F.input_file_name()).distinct().collect()}
+
+    assert opened(box.domain(stored).upper) == {("2", "2"), ("2", "3")}
+    assert opened(box.ring(stored).upper) <= {(str(i), str(j)) for i in (2, 3) for j in (2, 3)}
+    filters = plan_of(box.domain(stored).upper).split("PartitionFilters: [")[1].split("]")[0]
+    assert "tile_lat" in filters and "tile_lon" in filters
+    same = wall_faces(grid, box, SurfacePolicy())
+    assert wall_faces(stored, box, SurfacePolicy()).exceptAll(same).isEmpty()
+
+
+def test_number_of_files_follows_the_data(spark, state, tmp_path):
+    """Small shares of a day and tile become one file; large ones are cut."""
+    write_state(state, f"{tmp_path}/one")
+    assert len(read_state(spark, f"{tmp_path}/one").upper.inputFiles()) == 1
+    name, before = "spark.sql.adaptive.advisoryPartitionSizeInBytes", spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set(name, "4096")
+    try:
+        larger = make_state(spark, level=LEVELS, lat=[float(x) for x in range(60)], lon=[float(x) for x in range(30)])
+        dealt = larger.rows(("T", "u", "v", "w"), ("sp",)).repartition(8)  # a share is cut between the tasks that made it
+        write_state(GridState(dealt), f"{tmp_path}/many", tile_points=100)
+    finally:
+        spark.conf.set(name, before)
+    many = read_state(spark, f"{tmp_path}/many").upper
+    assert many.select("date", "tile_lat", "tile_lon").distinct().count() == 1 and len(many.inputFiles()) > 1
+
+
 def test_slice_prunes_date_folders(spark, state, tmp_path):
     write_state(state, f"{tmp_path}/s")
     sliced = slice_time(read_state(spark, f"{tmp_path}/s").upper, "2000-01-01T01", "2000-01-01T03")

@@ -13,13 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from thermobox.functions.columns import open_face
+from thermobox.operators.axes import coordinate_axes, measure_axes
 from thermobox.operators.domain import (
     Box,
     cell_volumes,
-    coordinate_axes,
     halo_cells,
     horizontal_areas,
-    measure_axes,
     resolve_box,
     wall_areas,
 )
@@ -29,6 +28,8 @@ from thermobox.operators.walls import blended_state, surface_cases, surface_shar
 from thermobox.operators.weights import horizontal_weights, volume_weights, wall_weights
 from thermobox.plans import diagnostics
 from thermobox.plans.budget import BudgetRun, run_budget, temperature_spread
+from thermobox.plans.incremental import read_run, write_moments
+from thermobox.plans.many import run_budgets
 from thermobox.plans.run import run_source
 from thermobox.session import fresh_folder
 from thermobox.sources.events_grid import events_state, gridded_events
@@ -277,7 +278,7 @@ def wall_flux(spark, sf_dir):
     names = {"flux_contribution": "heat", "mass_flux_contribution": "mass"}
     return rounded(run.series.frame.select("time", *[
         diagnostics.per_hour(F.col(f"{old}_{wall}"), F.col("domain_volume")).alias(f"{new}_{wall}")
-        for old, new in names.items() for wall in run.box.spec.walls
+        for old, new in names.items() for wall in run.spec.walls
     ]))
 
 
@@ -358,6 +359,32 @@ def budget_appended(spark, sf_dir):
     return scaled_budget(run_budget(read_state(spark, folder), GROUND))
 
 
+def budget_incremental(spark, sf_dir):
+    """The sums of the first days are stored, those of the later days added, each from its own cells only."""
+    folder, state = fresh_folder(spark, "moments"), _state(spark, sf_dir)
+    split = F.lit("2024-01-03 00:00:00").cast("timestamp_ntz")
+    box = resolve_box(state, GROUND)
+    write_moments(state.restrict(F.col("time") < split), box, OVERFLOW, folder)
+    write_moments(state.restrict(F.col("time") >= split), box, OVERFLOW, folder, append=True)
+    return scaled_budget(read_run(spark, folder))
+
+
+#: Overlapping boxes, one with a lower lid and two with a bottom level.
+MANY = {
+    "whole": GROUND, "south": BoxRequest(bbox=(40.0, 55.0, -130.0, -110.0)),
+    "north_west": BoxRequest(bbox=(45.0, 60.0, -130.0, -115.0), top_pressure=80000.0),
+    "raised": LEVEL, "raised_east": BoxRequest(bbox=(40.0, 60.0, -125.0, -110.0), bottom_pressure=90000.0),
+}
+
+
+def budget_many(spark, sf_dir):
+    """Five boxes in one run."""
+    table = run_budgets(_state(spark, sf_dir), MANY)
+    return rounded(table.select(
+        "run", "time", *[_hourly_rate(name) for name in RATES], "T_domain_avg",
+        (F.col("domain_volume") / 1e15).alias("domain_volume"), "T_scale"))
+
+
 def budget_written(spark, sf_dir):
     folder = fresh_folder(spark, "budget")
     run = _run(spark, sf_dir)
@@ -475,6 +502,8 @@ QUERIES: dict[str, Query] = {
     "budget_stored": budget_stored,
     "budget_stored_blended": budget_stored_blended,
     "budget_appended": budget_appended,
+    "budget_incremental": budget_incremental,
+    "budget_many": budget_many,
     "budget_written": budget_written,
     "budget_checked": budget_checked,
     "load_merged": load_merged,

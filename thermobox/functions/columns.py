@@ -34,12 +34,12 @@ def effective_bottom(sp: Column, spec: BoxSpec) -> Column:
     """Lowest pressure surface of the box in a column: ground, or the bottom level above it."""
     if not spec.closed_below:
         return sp
-    return F.when(sp.isNotNull(), F.least(sp, F.lit(float(spec.bottom_pressure))))
+    return F.when(sp.isNotNull(), F.least(sp, F.lit(spec.bottom_pressure)))
 
 
-def layer_share(p_start: Column, p_end: Column, top: float, bottom: Column) -> Column:
+def layer_share(p_start: Column, p_end: Column, top: float | Column, bottom: Column) -> Column:
     """Share of the layer [p_end, p_start] that lies between `top` and `bottom`."""
-    inside = F.least(p_start, bottom) - F.greatest(p_end, F.lit(float(top)))
+    inside = F.least(p_start, bottom) - F.greatest(p_end, F.lit(top))
     return F.when(bottom.isNotNull(), F.greatest(F.lit(0.0), inside) / (p_start - p_end))
 
 
@@ -63,9 +63,9 @@ def layer_weight(
     return share
 
 
-def open_face(sp: Column, pressure: float) -> Column:
+def open_face(sp: Column, pressure: float | Column) -> Column:
     """1 where the horizontal face at `pressure` is above the ground, else 0, also for unknown ground."""
-    return F.when(sp > F.lit(float(pressure)), F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.when(sp > F.lit(pressure), F.lit(1.0)).otherwise(F.lit(0.0))
 
 
 def touches_ground(

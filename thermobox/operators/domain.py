@@ -1,73 +1,71 @@
 """Axes, cell geometry and the resolution of a request to whole cells.
 
-The coordinates of the halo, and all levels, are the one thing read eagerly: they give
-the literal bounds for the scan and the dimension tables. Snapping happens in Spark, so a
-small box on a large grid brings only its own coordinates to the driver.
+The coordinates of the box, and all levels, are the one thing read eagerly: they give
+the literal bounds for the scan and the dimension tables. Snapping is one aggregate over the
+coordinates, so a small box on a large grid brings only its own to the driver.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermobox.functions.columns import cell_area
+from thermobox.operators.axes import Tiling, coordinate_axes
 from thermobox.sources.state import GridState, grid_key
 from thermobox.specs import EARTH_RADIUS, BoxRequest, BoxSpec
 
-def coordinate_axes(upper: DataFrame) -> DataFrame:
-    """Distinct coordinates as (axis, value), in one scan of the three key columns."""
-    return (
-        upper.selectExpr(
-            "stack(3, 'level', cast(level AS double), 'lat', cast(lat AS double), 'lon', cast(lon AS double)) AS (axis, value)"
-        )
-        .where("value IS NOT NULL")
-        .distinct()
-    )
 
+@dataclass(frozen=True)
+class Cell:
+    """A cell of an axis: of latitude and longitude from its start to the next, of levels around its centre."""
 
-def measure_axes(axes: DataFrame, request: BoxRequest | None = None) -> DataFrame:
-    """Give each coordinate its index, key, edges, middle and angular widths.
+    id: int
+    value: float
+    lower_edge: float
+    upper_edge: float
 
-    Levels are centres, counted from the highest pressure: inner edges lie halfway, the
-    two outer ones half a step outside. Latitudes and longitudes are cell starts: a cell
-    reaches to the next start, so the last start has no cell (its `upper_edge` is NULL).
-    `covered` marks the cells the requested box touches.
-    """
-    covered = "cast(NULL AS boolean)"
-    if request is not None:
-        lat0, lat1, lon0, lon1 = (float(edge) for edge in request.bbox)
-        covered = (
-            f"CASE axis WHEN 'lat' THEN upper_edge > {lat0}D AND lower_edge < {lat1}D"
-            f" WHEN 'lon' THEN upper_edge > {lon0}D AND lower_edge < {lon1}D ELSE true END"
-        )
-    along = Window.partitionBy("axis").orderBy(F.expr("if(axis = 'level', -value, value)"))
-    return (
-        axes.select(
-            "axis",
-            "value",
-            (F.row_number().over(along) - 1).alias("id"),
-            F.lag("value").over(along).alias("before"),
-            F.lead("value").over(along).alias("after"),
-        )
-        .selectExpr(
-            "axis", "value", "id",
-            "floor(value * 1e6D + 0.5D) AS key",
-            "if(axis = 'level', coalesce(0.5D * (before + value), value - 0.5D * (after - value)), value) AS lower_edge",
-            "if(axis = 'level', coalesce(0.5D * (value + after), value + 0.5D * (value - before)), after) AS upper_edge",
-        )
-        .selectExpr(
-            "*",
-            "if(axis = 'level', value, 0.5D * (lower_edge + upper_edge)) AS middle",
-            "abs(upper_edge - lower_edge) AS width",
-            "if(axis = 'level', NULL, abs(radians(upper_edge) - radians(lower_edge))) AS radians",
-            "if(axis = 'lat', abs(sin(radians(upper_edge)) - sin(radians(lower_edge))), NULL) AS d_sin",
-            f"{covered} AS covered",
-        )
-    )
+    @property
+    def key(self) -> int:
+        return math.floor(self.value * 1e6 + 0.5)
+
+    @property
+    def middle(self) -> float:
+        return 0.5 * (self.lower_edge + self.upper_edge)
+
+    @property
+    def width(self) -> float:
+        return abs(self.upper_edge - self.lower_edge)
+
+    @property
+    def radians(self) -> float:
+        return abs(math.radians(self.upper_edge) - math.radians(self.lower_edge))
+
+    @property
+    def d_sin(self) -> float:
+        return abs(math.sin(math.radians(self.upper_edge)) - math.sin(math.radians(self.lower_edge)))
+
+
+@dataclass(frozen=True)
+class AxisPoints:
+    """Size and range of an axis, and of its coordinates those that a request needs, `first` being the index of the first one."""
+
+    n: int
+    low: float
+    high: float
+    first: int
+    values: tuple[float, ...]
+
+    @property
+    def too_close(self) -> bool:
+        keys = [math.floor(v * 1e6 + 0.5) for v in self.values]
+        return any(a == b for a, b in zip(keys, keys[1:]))
 
 
 _LEVEL_SCHEMA = pa.schema(
@@ -94,16 +92,39 @@ _LON_SCHEMA = pa.schema(
 
 @dataclass(frozen=True)
 class Box:
-    """A resolved request: spec plus the dimension tables of the halo (domain and one ring)."""
+    """A resolved request: spec, all layers, and the cells of the halo (domain and one ring) along each axis."""
 
     spec: BoxSpec
-    levels: DataFrame
-    lats: DataFrame
-    lons: DataFrame
-    level_values: tuple[float, ...] = field(repr=False)
-    layers: tuple[tuple[float, float, float], ...] = field(repr=False)
-    lat_points: tuple[Row, ...] = field(repr=False)
-    lon_points: tuple[Row, ...] = field(repr=False)
+    spark: SparkSession = field(repr=False, compare=False)
+    level_cells: tuple[Cell, ...] = field(repr=False)
+    lat_points: tuple[Cell, ...] = field(repr=False)
+    lon_points: tuple[Cell, ...] = field(repr=False)
+
+    @cached_property
+    def levels(self) -> DataFrame:
+        rows = [
+            dict(level=r.value, level_key=r.key, level_id=r.id, p_start=r.lower_edge, p_end=r.upper_edge, p_mid=r.value, dp=r.width,
+                 below_start=below and below.lower_edge, below_end=below and below.upper_edge,
+                 below_mid=below and below.value, is_top=r is self.level_cells[-1])
+            for below, r in zip([None, *self.level_cells], self.level_cells)
+        ]
+        return _table(self.spark, rows, _LEVEL_SCHEMA)
+
+    @cached_property
+    def lats(self) -> DataFrame:
+        return _table(self.spark, lat_rows(self), _LAT_SCHEMA)
+
+    @cached_property
+    def lons(self) -> DataFrame:
+        return _table(self.spark, lon_rows(self), _LON_SCHEMA)
+
+    @property
+    def level_values(self) -> tuple[float, ...]:
+        return tuple(r.value for r in self.level_cells)
+
+    @property
+    def layers(self) -> tuple[tuple[float, float, float], ...]:
+        return tuple((r.lower_edge, r.upper_edge, r.value) for r in self.level_cells)
 
     @property
     def halo_edges(self) -> tuple[float, float, float, float]:
@@ -131,7 +152,7 @@ class Box:
     def ring_filter(self) -> Column:
         """The rows and columns of cells next to a side wall, as literals for the scan."""
         near = [
-            F.col(axis).isin(*{points[i].value for i in (0, 1, -2, -1)})
+            F.col(axis).isin(*self._beside(points))
             for axis, points in (("lat", self.lat_points), ("lon", self.lon_points))
         ]
         return self.halo_filter() & (near[0] | near[1])
@@ -143,45 +164,101 @@ class Box:
         small = F.broadcast(table.select(key, *columns))
         return df.join(small, grid_key(axis) == F.col(key)).drop(key)
 
+    def _tiles(self, tiling: Tiling | None, skip: int) -> Column:
+        """The tiles that hold the rows of `_between`, where the state has tiles."""
+        if tiling is None:
+            return F.lit(True)
+        return tiling.between("lat", self.lat_points[skip].value, self.lat_points[-1 - skip].value) & tiling.between(
+            "lon", self.lon_points[skip].value, self.lon_points[-1 - skip].value)
+
     def crop(self, state: GridState) -> GridState:
-        return state.restrict(self.halo_filter())
+        """The halo."""
+        return state.restrict(self._tiles(state.tiling, 0) & self.halo_filter())
+
+    def domain(self, state: GridState) -> GridState:
+        return state.restrict(self._tiles(state.tiling, 1) & self.domain_filter())
+
+    def ring(self, state: GridState) -> GridState:
+        """The cells next to a side wall."""
+        near = F.lit(True)
+        if state.tiling is not None:
+            near = state.tiling.any_of("lat", self._beside(self.lat_points)) | state.tiling.any_of("lon", self._beside(self.lon_points))
+        return state.restrict(self._tiles(state.tiling, 0) & near & self.ring_filter())
+
+    @staticmethod
+    def _beside(points: tuple[Cell, ...]) -> set[float]:
+        return {points[i].value for i in (0, 1, -2, -1)}
+
+
+def lat_rows(box: Box) -> list[dict]:
+    points = box.lat_points
+    return [
+        dict(lat=r.value, lat_key=r.key, lat_id=r.id, lat_start=r.lower_edge, lat_end=r.upper_edge, lat_mid=r.middle,
+             d_phi=r.radians, d_sin=r.d_sin, lat_in=r not in (points[0], points[-1]))
+        for r in points
+    ]
+
+
+def lon_rows(box: Box) -> list[dict]:
+    points = box.lon_points
+    return [
+        dict(lon=r.value, lon_key=r.key, lon_id=r.id, lon_start=r.lower_edge, lon_end=r.upper_edge, lon_mid=r.middle,
+             d_lon=r.radians, lon_in=r not in (points[0], points[-1]))
+        for r in points
+    ]
 
 
 def _table(spark: SparkSession, rows: list[dict], schema: pa.Schema) -> DataFrame:
     return spark.createDataFrame(pa.Table.from_pylist(rows, schema=schema))
 
 
-def _inside(name: str, axis: Row, low: float, high: float) -> None:
+def _inside(name: str, axis: AxisPoints, low: float, high: float) -> None:
     if low < axis.low or high > axis.high:
         raise ValueError(f"requested {name} range is outside the grid")
 
 
-def _halo(points: list[Row]) -> list[Row]:
-    """The cells of the domain and one on either side."""
-    first, last = points[0].first_in, points[0].last_in
-    if first is None or first > last:
-        raise ValueError("domain too small after snapping to cells and applying the margin")
-    return [r for r in points if first - 1 <= r.id <= last + 1 and r.upper_edge is not None]
+_BOUNDS_SCHEMA = pa.schema([("run", pa.string()), ("axis", pa.string()), ("from", pa.float64()), ("to", pa.float64())])
 
 
-def halo_points(axes: DataFrame, request: BoxRequest) -> dict[str, list[Row]]:
-    """Per axis the first point, and of lat and lon the halo, of level all points, by id.
+def axis_points(axes: DataFrame, requests: Mapping[str, BoxRequest]) -> dict[str, dict[str, AxisPoints]]:
+    """Per request and axis: of lat and lon the starts of the touched cells and the one that closes the last, of level all, highest first.
 
-    Each row carries its axis' size `n`, range `low`..`high`, number of distinct keys `n_keys` and the
-    first and last cell of the domain (NULL where no cell is touched).
+    One aggregate over the coordinates. A touched cell starts at the last start at or before the box, or inside it.
     """
-    whole = Window.partitionBy("axis")
-    touched = F.when(F.col("covered") & F.col("upper_edge").isNotNull(), F.col("id"))
-    keys_before = F.lag("key").over(whole.orderBy("id"))
-    measured = measure_axes(axes, request).withColumn("new_key", (~F.col("key").eqNullSafe(keys_before)).cast("long"))
-    measured = measured.withColumns({
-        "n": F.count("*").over(whole), "low": F.min("value").over(whole), "high": F.max("value").over(whole),
-        "n_keys": F.sum("new_key").over(whole),
-        "first_in": F.min(touched).over(whole) + request.margin, "last_in": F.max(touched).over(whole) - request.margin,
-    })
-    near = F.col("id").between(F.col("first_in") - 1, F.col("last_in") + 1) & F.col("upper_edge").isNotNull()
-    rows = measured.where((F.col("axis") == "level") | (F.col("id") == 0) | near).collect()
-    return {name: sorted((r for r in rows if r.axis == name), key=lambda r: r.id) for name in ("level", "lat", "lon")}
+    bounds = []
+    for run, request in requests.items():
+        lat0, lat1, lon0, lon1 = (float(edge) for edge in request.bbox)
+        bounds += [{"run": run, "axis": a, "from": low, "to": high} for a, low, high in
+                   (("level", None, None), ("lat", lat0, lat1), ("lon", lon0, lon1))]
+    value, low, high = F.col("value"), F.col("from"), F.col("to")
+    inside = (F.col("axis") == "level") | ((value > low) & (value < high))
+    asked = F.broadcast(_table(axes.sparkSession, bounds, _BOUNDS_SCHEMA))  # three rows per request
+    found = axes.join(asked, "axis").groupBy("run", "axis").agg(
+        F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.count_if(value <= low).alias("before"),
+        F.max(F.when(value <= low, value)).alias("start"), F.min(F.when(value >= high, value)).alias("stop"),
+        F.collect_set(F.when(inside, value)).alias("inside"),
+    )
+    out: dict[str, dict[str, AxisPoints]] = {run: {} for run in requests}
+    for r in found.collect():
+        values = set(r["inside"]) | {v for v in (r["start"], r["stop"]) if v is not None}
+        ordered = tuple(sorted(values, reverse=r["axis"] == "level"))
+        out[r["run"]][r["axis"]] = AxisPoints(r["n"], r["low"], r["high"], max(0, r["before"] - 1), ordered)
+    return out
+
+
+def _halo(points: AxisPoints, margin: int) -> list[Cell]:
+    """The cells of the domain, `margin` within the touched ones, and one on either side."""
+    touched = [Cell(points.first + i, a, a, b) for i, (a, b) in enumerate(zip(points.values, points.values[1:]))]
+    if len(touched) - 2 * margin < 1:
+        raise ValueError("domain too small after snapping to cells and applying the margin")
+    return touched[margin - 1:len(touched) - margin + 1]
+
+
+def _layers(levels: tuple[float, ...]) -> list[Cell]:
+    """Layers around the levels: inner edges halfway, the outer two half a step outside."""
+    inner = [0.5 * (a + b) for a, b in zip(levels, levels[1:])]
+    edges = [levels[0] - 0.5 * (levels[1] - levels[0]), *inner, levels[-1] + 0.5 * (levels[-1] - levels[-2])]
+    return [Cell(i, p, lower, upper) for i, (p, lower, upper) in enumerate(zip(levels, edges, edges[1:]))]
 
 
 def resolve_box(state: GridState, request: BoxRequest, axes: DataFrame | None = None) -> Box:
@@ -189,25 +266,33 @@ def resolve_box(state: GridState, request: BoxRequest, axes: DataFrame | None =
 
     Known coordinates, given here or with the state, save that scan.
     """
-    spark = state.upper.sparkSession
+    return resolve_boxes(state, {"": request}, axes)[""]
+
+
+def resolve_boxes(state: GridState, requests: Mapping[str, BoxRequest], axes: DataFrame | None = None) -> dict[str, Box]:
+    """All requests, by name, snapped in the same job."""
     if axes is None:
         axes = coordinate_axes(state.upper) if state.axes is None else state.axes
-    by_axis = halo_points(axes, request)
-    for name, points in by_axis.items():
-        if not points or points[0].n < 2:
+    points = axis_points(axes, requests)
+    return {run: _snapped(state.upper.sparkSession, points[run], request) for run, request in requests.items()}
+
+
+def _snapped(spark: SparkSession, by_axis: dict[str, AxisPoints], request: BoxRequest) -> Box:
+    for name in ("level", "lat", "lon"):
+        if name not in by_axis or by_axis[name].n < 2:
             raise ValueError(f"axis {name} needs at least two points")
-        if points[0].n_keys < points[0].n:
+        if by_axis[name].too_close:
             raise ValueError(f"axis {name} has points closer than a millionth")
 
-    levels, lats, lons = by_axis["level"], by_axis["lat"], by_axis["lon"]
-    if any(points[0].n - 1 - 2 * request.margin <= 0 for points in (lats, lons)):
+    lats, lons = by_axis["lat"], by_axis["lon"]
+    if any(points.n - 1 - 2 * request.margin <= 0 for points in (lats, lons)):
         raise ValueError("margin is too large for this grid")
     lat0, lat1, lon0, lon1 = (float(edge) for edge in request.bbox)
-    _inside("latitude", lats[0], lat0, lat1)
-    _inside("longitude", lons[0], lon0, lon1)
-    level_values = [r.value for r in levels]
-    _check_pressures(request, level_values)
-    halo_lats, halo_lons = _halo(lats), _halo(lons)
+    _inside("latitude", lats, lat0, lat1)
+    _inside("longitude", lons, lon0, lon1)
+    levels = _layers(by_axis["level"].values)
+    _check_pressures(request, by_axis["level"].values)
+    halo_lats, halo_lons = _halo(lats, request.margin), _halo(lons, request.margin)
 
     spec = BoxSpec(
         lat=(halo_lats[1].lower_edge, halo_lats[-2].upper_edge),
@@ -215,35 +300,10 @@ def resolve_box(state: GridState, request: BoxRequest, axes: DataFrame | None =
         top_pressure=float(request.top_pressure),
         bottom_pressure=None if request.bottom_pressure is None else float(request.bottom_pressure),
     )
-    level_table = [
-        dict(level=r.value, level_key=r.key, level_id=r.id, p_start=r.lower_edge, p_end=r.upper_edge, p_mid=r.middle, dp=r.width,
-             below_start=below and below.lower_edge, below_end=below and below.upper_edge,
-             below_mid=below and below.middle, is_top=r is levels[-1])
-        for below, r in zip([None, *levels], levels)
-    ]
-    lat_table = [
-        dict(lat=r.value, lat_key=r.key, lat_id=r.id, lat_start=r.lower_edge, lat_end=r.upper_edge, lat_mid=r.middle,
-             d_phi=r.radians, d_sin=r.d_sin, lat_in=r.first_in <= r.id <= r.last_in)
-        for r in halo_lats
-    ]
-    lon_table = [
-        dict(lon=r.value, lon_key=r.key, lon_id=r.id, lon_start=r.lower_edge, lon_end=r.upper_edge, lon_mid=r.middle,
-             d_lon=r.radians, lon_in=r.first_in <= r.id <= r.last_in)
-        for r in halo_lons
-    ]
-    return Box(
-        spec=spec,
-        levels=_table(spark, level_table, _LEVEL_SCHEMA),
-        lats=_table(spark, lat_table, _LAT_SCHEMA),
-        lons=_table(spark, lon_table, _LON_SCHEMA),
-        level_values=tuple(level_values),
-        layers=tuple((r.lower_edge, r.upper_edge, r.middle) for r in levels),
-        lat_points=tuple(halo_lats),
-        lon_points=tuple(halo_lons),
-    )
+    return Box(spec, spark, tuple(levels), tuple(halo_lats), tuple(halo_lons))
 
 
-def _check_pressures(request: BoxRequest, level_values: list[float]) -> None:
+def _check_pressures(request: BoxRequest, level_values: Sequence[float]) -> None:
     if request.bottom_pressure is None:
         return
     lowest, highest = min(level_values), max(level_values)
@@ -302,6 +362,10 @@ def wall_pieces(box: Box) -> DataFrame:
 
     `cells` holds the keys of the two cells astride. At most 2 x the axis lengths.
     """
+    return _table(box.spark, piece_rows(box), _PIECE_SCHEMA)
+
+
+def piece_rows(box: Box) -> list[dict]:
     south, north = _zonal_factors(box)
     lats, lons = box.lat_points, box.lon_points
     walls = (
@@ -318,7 +382,7 @@ def wall_pieces(box: Box) -> DataFrame:
                 piece=len(pieces), wall=wall, along_id=point.id, span=factor * point.radians,
                 cells=[lat.key * CELL_KEY_BASE + lon.key for lat, lon in pairs],
             ))
-    return _table(box.lats.sparkSession, pieces, _PIECE_SCHEMA)
+    return pieces
 
 
 CELL_KEY_BASE = 1 << 32

@@ -81,6 +81,18 @@ def _framed(series: Series, before: int, after: int) -> tuple[DataFrame, Column]
     return spread, F.col("_block") == own
 
 
+def with_neighbours(series: Series, values: Mapping[str, tuple[int, str]], group: str) -> DataFrame:
+    """Rows with, for each {output: (shift, input)}, the input of the row that many places on, NULL beyond the row's `group`."""
+    reach = [shift for shift, _ in values.values()]
+    frame, own = _framed(series, max(0, -min(reach)), max(0, max(reach)))
+    near = Window.partitionBy("_block").orderBy("step")
+    found = {
+        out: F.when(F.lead(group, shift).over(near) == F.col(group), F.lead(name, shift).over(near))
+        for out, (shift, name) in values.items()
+    }
+    return frame.withColumns(found).where(own).drop("_block")
+
+
 def _is_numeric(df: DataFrame, key: str) -> bool:
     return isinstance(df.schema[key].dataType, T.NumericType)
 

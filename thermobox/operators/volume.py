@@ -16,19 +16,22 @@ from thermobox.functions.columns import effective_bottom, open_face, total
 from thermobox.operators.domain import Box
 from thermobox.operators.weights import weight_column, with_cell_area
 from thermobox.sources.state import GridState
-from thermobox.specs import ANCHOR_K, CP_DRY, R_DRY, SurfacePolicy
+from thermobox.specs import ANCHOR_K, CP_DRY, R_DRY, BoxSpec, SurfacePolicy
 
 
 def domain_cells(
     state: GridState, box: Box, policy: SurfacePolicy, fields: Sequence[str] = ("T", "w")
 ) -> DataFrame:
     """Rows of the domain with `area` (m2), `air` (weighted volume, m2 Pa) and the level bounds."""
-    inside = with_cell_area(state.restrict(box.domain_filter()), box)
+    inside = with_cell_area(box.domain(state), box)
     rows = inside.rows(fields, ["sp", "area"])
-    return (
-        box.attach(rows, "level", "level_id", "p_start", "p_end", "dp")
-        .withColumn("bottom", effective_bottom(F.col("sp"), box.spec))
-        .withColumn("air", F.col("area") * F.col("dp") * weight_column(box, policy))
+    return with_air(box.attach(rows, "level", "level_id", "p_start", "p_end", "dp"), box.spec, policy)
+
+
+def with_air(cells: DataFrame, spec: BoxSpec, policy: SurfacePolicy) -> DataFrame:
+    """Add the effective `bottom` and `air` to cells with sp, area and their level's bounds."""
+    return cells.withColumn("bottom", effective_bottom(F.col("sp"), spec)).withColumn(
+        "air", F.col("area") * F.col("dp") * weight_column(spec, policy)
     )
 
 
@@ -59,8 +62,9 @@ def heating_rate() -> Column:
     return F.col("w") * F.lit(R_DRY) * F.col("T") / F.col("level") / F.lit(CP_DRY)
 
 
-def require_level(box: Box, pressure: float) -> None:
-    if float(pressure) not in box.level_values:
+def require_level(level_values: Sequence[float], pressure: float | Column) -> None:
+    """Of a pressure by row, whoever makes the rows has checked the values."""
+    if not isinstance(pressure, Column) and float(pressure) not in level_values:
         raise ValueError(f"no level at {pressure} Pa: a face of the box must lie on a level")
 
 
@@ -75,9 +79,16 @@ def volume_moments(
     unblended values on that level: heat relative to ANCHOR_K, warm the mass flow where T
     is known.
     """
+    return moment_sums(domain_cells(state, box, policy), box.spec, box.level_values, faces)
+
+
+def moment_sums(
+    cells: DataFrame, spec: BoxSpec, level_values: Sequence[float], faces: bool = True, keys: Sequence[str] = ("time",)
+) -> DataFrame:
+    """The sums of `volume_moments` of cells with T, w, sp, level, area and air, per `keys`."""
     air, temperature = F.col("air"), F.col("T")
     warmth, lift = F.col("warmth"), F.col("lift")
-    cells = domain_cells(state, box, policy).withColumns({
+    cells = cells.withColumns({
         "warmth": temperature - F.lit(ANCHOR_K),
         "lift": F.col("w") * F.lit(R_DRY) / F.col("level") / F.lit(CP_DRY) * air,
     })
@@ -90,11 +101,10 @@ def volume_moments(
         F.sum(warmth).alias("warmth"),
         F.sum(warmth * warmth).alias("warmth2"),
     ]
-    spec = box.spec
     levels = {"top": spec.top_pressure, "bottom": spec.bottom_pressure}
     for wall in spec.walls[4:] if faces else ():
-        require_level(box, levels[wall])
-        on_level = F.col("level") == F.lit(float(levels[wall]))
+        require_level(level_values, levels[wall])
+        on_level = F.col("level") == F.lit(levels[wall])
         flow = F.col("w") * F.col("area") * open_face(F.col("sp"), levels[wall])
         cells = cells.withColumn(f"flow_{wall}", F.when(on_level, flow))
         flow = F.col(f"flow_{wall}")
@@ -103,4 +113,4 @@ def volume_moments(
             total(flow).alias(f"mass_{wall}"),
             total(F.when(warmth.isNotNull(), flow)).alias(f"warm_{wall}"),
         ]
-    return cells.groupBy("time").agg(*sums)
+    return cells.groupBy(*keys).agg(*sums)

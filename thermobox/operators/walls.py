@@ -6,6 +6,8 @@ scan. Blending with the near-surface fields happens on those rows alone.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,33 +107,38 @@ def wall_faces(state: GridState, box: Box, policy: SurfacePolicy) -> DataFrame:
     and north), T, weight, area. The means group by three integers; names and geometry are
     attached to the result, half as many rows.
     """
+    return piece_faces(box.ring(state), box, wall_pieces(box), box.spec, policy)
+
+
+def piece_faces(
+    state: GridState, box: Box, pieces: DataFrame, spec: BoxSpec, policy: SurfacePolicy, carried: Sequence[str] = ()
+) -> DataFrame:
+    """`wall_faces` of the given pieces; `carried` columns of `pieces` are kept, and `spec` may be made of them."""
     surface_fields = ("sp", *NEAR_SURFACE_OF.values()) if policy.use_surface_fields else ("sp",)
-    rows = state.restrict(box.ring_filter()).rows(("T", "u", "v"), surface_fields)
+    rows = state.rows(("T", "u", "v"), surface_fields)
     if policy.use_surface_fields:
         rows = blend_near_surface(rows, box, policy)
     else:
         rows = box.attach(rows, "level", "level_id")
-    table = wall_pieces(box)
-    named = table.select("piece", "wall", "along_id", "span")
-    zonal_wind = table.select("piece", F.explode("cells").alias("cell_key"), F.expr("wall IN ('west', 'east')").alias("zonal"))
+    named = pieces.select("piece", "wall", "along_id", "span", *carried)
+    zonal_wind = pieces.select("piece", F.explode("cells").alias("cell_key"), F.expr("wall IN ('west', 'east')").alias("zonal"), *carried)
     means = (
-        rows.select("time", "level_id", cell_key().alias("cell_key"), "T", "u", "v",
-                    effective_bottom(F.col("sp"), box.spec).alias("bottom"))
+        rows.select("time", "level_id", cell_key().alias("cell_key"), "T", "u", "v", "sp")
         .join(F.broadcast(zonal_wind), "cell_key")
-        .select("time", "level_id", "piece", "T", "bottom", F.expr("if(zonal, u, v) AS flow"))
+        .select("time", "level_id", "piece", "T", effective_bottom(F.col("sp"), spec).alias("bottom"), F.expr("if(zonal, u, v) AS flow"))
         .groupBy("time", "level_id", "piece")
         .agg(pair_mean("flow"), pair_mean("T"), pair_mean("bottom"))
     )
     return (
         means.join(F.broadcast(box.levels), "level_id")
         .join(F.broadcast(named), "piece")
-        .select("time", "wall", "level_id", "along_id", "flow", "T",
-                weight_column(box, policy).alias("weight"), (F.col("span") * F.col("dp")).alias("area"))
+        .select("time", "wall", "level_id", "along_id", "flow", "T", *carried,
+                weight_column(spec, policy).alias("weight"), (F.col("span") * F.col("dp")).alias("area"))
     )
 
 
-def wall_sums(faces: DataFrame, reference: Column | None = None) -> DataFrame:
-    """heat_, mass_ and warm_ of each side wall per time.
+def wall_sums(faces: DataFrame, reference: Column | None = None, keys: Sequence[str] = ("time",)) -> DataFrame:
+    """heat_, mass_ and warm_ of each side wall per time, or per `keys`.
 
     Heat is relative to `reference` (default ANCHOR_K); warm is the mass flow where T is
     known. Because the wall value is linear in T, heat relative to any other temperature
@@ -140,11 +147,11 @@ def wall_sums(faces: DataFrame, reference: Column | None = None) -> DataFrame:
     if reference is None:
         reference = F.lit(ANCHOR_K)
     pieces = faces.select(
-        "time", "wall",
+        *keys, "wall",
         (F.col("flow") * F.col("area") * F.col("weight")).alias("mass"),
         (F.col("T") - reference).alias("warmth"),
-    ).selectExpr("time", "wall", "mass", "mass * warmth AS heat", "if(warmth IS NOT NULL, mass, NULL) AS warm")
-    return pieces.groupBy("time").agg(*[
+    ).selectExpr(*keys, "wall", "mass", "mass * warmth AS heat", "if(warmth IS NOT NULL, mass, NULL) AS warm")
+    return pieces.groupBy(*keys).agg(*[
         F.expr(f"coalesce(sum({kind}) FILTER (WHERE wall = '{wall}'), 0.0D) AS {kind}_{wall}")
         for wall in SIDE_WALLS for kind in ("heat", "mass", "warm")
     ])

@@ -15,13 +15,13 @@ from thermobox.functions.columns import (
 )
 from thermobox.operators.domain import Box, cell_key, wall_cells, wall_pieces
 from thermobox.sources.state import GridState
-from thermobox.specs import SurfacePolicy
+from thermobox.specs import BoxSpec, SurfacePolicy
 
 
-def weight_column(box: Box, policy: SurfacePolicy, bottom: str = "bottom"):
+def weight_column(spec: BoxSpec, policy: SurfacePolicy, bottom: str = "bottom"):
     """Weight of a layer from level_id, p_start, p_end and a bottom pressure column."""
     return layer_weight(
-        F.col("level_id"), F.col("p_start"), F.col("p_end"), F.col(bottom), box.spec, policy
+        F.col("level_id"), F.col("p_start"), F.col("p_end"), F.col(bottom), spec, policy
     )
 
 
@@ -43,26 +43,26 @@ def horizontal_weights(state: GridState, box: Box) -> DataFrame:
     faces = [open_face(F.col("sp"), spec.top_pressure).alias("W_top")]
     if spec.closed_below:
         faces.append(open_face(F.col("sp"), spec.bottom_pressure).alias("W_bottom"))
-    inside = with_cell_area(state.restrict(box.domain_filter()), box)
+    inside = with_cell_area(box.domain(state), box)
     ground = inside.ground(["sp", "lat_id", "lon_id"], box.lowest_level)
     return ground.select("time", "lat_id", "lon_id", *faces)
 
 
 def volume_weights(state: GridState, box: Box, policy: SurfacePolicy) -> DataFrame:
     """W_volume per time, level and domain cell."""
-    inside = with_cell_area(state.restrict(box.domain_filter()), box)
+    inside = with_cell_area(box.domain(state), box)
     rows = inside.rows([], ["sp", "lat_id", "lon_id"])
     return (
         box.attach(rows, "level", "level_id", "p_start", "p_end")
         .withColumn("bottom", effective_bottom(F.col("sp"), box.spec))
-        .select("time", "level_id", "lat_id", "lon_id", weight_column(box, policy).alias("W_volume"))
+        .select("time", "level_id", "lat_id", "lon_id", weight_column(box.spec, policy).alias("W_volume"))
     )
 
 
 def wall_bottoms(state: GridState, box: Box) -> DataFrame:
     """Bottom pressure at each wall position: the mean of the two cells astride the wall."""
     pieces = wall_pieces(box)
-    ground = state.restrict(box.ring_filter()).ground(["sp"], box.lowest_level)
+    ground = box.ring(state).ground(["sp"], box.lowest_level)
     return (
         ground.select("time", cell_key().alias("cell_key"), effective_bottom(F.col("sp"), box.spec).alias("bottom"))
         .join(F.broadcast(wall_cells(pieces)), "cell_key")
@@ -85,5 +85,5 @@ def wall_weights(state: GridState, box: Box, policy: SurfacePolicy) -> DataFrame
         wall_bottoms(state, box)
         .withColumn("level_id", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
         .join(F.broadcast(box.levels), "level_id")
-        .select("time", "wall", "level_id", "along_id", weight_column(box, policy).alias("W_wall"))
+        .select("time", "wall", "level_id", "along_id", weight_column(box.spec, policy).alias("W_wall"))
     )

@@ -527,7 +527,13 @@ FROM dom WHERE level = 70000 GROUP BY time""",
         "closure": bud + f""" SELECT time, {kh("st", "dT_dt")}, {kh("-net_heat + adiabatic + diab", "dT_dt_from_terms")},
 {rnd("(-net_heat + adiabatic + diab) * 3600 / volume - st * 3600 / volume", "gap")} FROM bud""",
     }
-    for same, of in (("budget_stored", "budget"), ("budget_stored_blended", "budget_blended"), ("budget_appended", "budget"),
+    out["budget_many"] = " UNION ALL ".join(
+        f"SELECT '{run}' AS run, * FROM ({_budget(v).replace(AXES, ','.join([LEVELS, _axis('lat', *bbox[:2]), _axis('lon', *bbox[2:])]))})"
+        for run, v, bbox in (
+            ("whole", SURFACE, (40, 60, -130, -110)), ("south", SURFACE, (40, 55, -130, -110)),
+            ("north_west", Variant(top=80000.0), (45, 60, -130, -115)),
+            ("raised", LEVEL, (40, 60, -130, -110)), ("raised_east", LEVEL, (40, 60, -125, -110))))
+    for same, of in (("budget_incremental", "budget"), ("budget_stored", "budget"), ("budget_stored_blended", "budget_blended"), ("budget_appended", "budget"),
                      ("budget_written", "budget"), ("budget_checked", "budget")):
         out[same] = out[of]
     return out

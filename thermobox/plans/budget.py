@@ -13,7 +13,7 @@ from thermobox.operators.series import Series, centered_difference, index_by
 from thermobox.operators.volume import volume_moments
 from thermobox.operators.walls import advection_columns, wall_faces, wall_sums
 from thermobox.sources.state import GridState
-from thermobox.specs import ANCHOR_K, BoxRequest, SurfacePolicy
+from thermobox.specs import ANCHOR_K, BoxRequest, BoxSpec, SurfacePolicy
 
 # Names of the result fields.
 BUDGET_FIELDS = (
@@ -35,15 +35,15 @@ def hourly_moments(state: GridState, box: Box, policy: SurfacePolicy) -> DataFra
     return volume_moments(state, box, policy).join(wall_sums(wall_faces(state, box, policy)), "time")
 
 
-def temperature_spread(moments: DataFrame) -> DataFrame:
-    """T_scale as one row: root mean square of T - <T> over all cells and times, unweighted.
+def temperature_spread(moments: DataFrame, *keys: str) -> DataFrame:
+    """T_scale as one row, or one per `keys`: root mean square of T - <T> over all cells and times, unweighted.
 
     From count, sum and sum of squares per time; times without a mean do not count.
     """
     shift = mean_temperature() - F.lit(ANCHOR_K)
     known = F.when(shift.isNotNull(), F.col("cells"))
     squares = F.col("warmth2") - 2 * shift * F.col("warmth") + shift * shift * F.col("cells")
-    return moments.agg(F.sqrt(F.try_divide(F.sum(squares), F.sum(known))).alias("T_scale"))
+    return moments.groupBy(*keys).agg(F.sqrt(F.try_divide(F.sum(squares), F.sum(known))).alias("T_scale"))
 
 
 def mean_of_means(moments: DataFrame) -> DataFrame:
@@ -51,40 +51,49 @@ def mean_of_means(moments: DataFrame) -> DataFrame:
     return moments.agg(F.avg(mean_temperature()).alias("T_scale"))
 
 
+#: {rate: the sum or mean that it is the centred difference of}
+RATES_OF = {"dV_dt": "volume", "d_dt_T": "heat", "d_mean_dt": "T_domain_avg"}
+
+
+def signed_terms(moments: DataFrame, spec: BoxSpec, anomalies: bool = True) -> DataFrame:
+    """`moments` with T_domain_avg and the signed flows of heat relative to it."""
+    frame = moments.withColumn("T_domain_avg", mean_temperature())
+    shift = F.col("T_domain_avg") - F.lit(ANCHOR_K) if anomalies else F.lit(-ANCHOR_K)
+    return frame.select("*", *advection_columns(spec, shift))
+
+
+def budget_terms(rates: DataFrame) -> DataFrame:
+    """The fields of the budget from signed terms, their rates of change and T_scale."""
+    return (
+        rates.withColumn("dT_dt", F.col("volume") * F.col("d_mean_dt"))
+        .withColumn("dT_dt_2", F.col("d_dt_T") - F.col("T_domain_avg") * F.col("dV_dt"))
+        .withColumn("advection_error", (F.col("dV_dt") + F.col("net_mass_advection")) * F.col("T_scale"))
+        .withColumn("diabatic_term", F.col("dT_dt") + F.col("net_heat_advection") - F.col("adiabatic"))
+        .withColumnsRenamed({"volume": "domain_volume", "adiabatic": "adiabatic_term"})
+        .withColumn("advection_term", F.col("net_heat_advection"))
+    )
+
+
 @dataclass(frozen=True)
 class BudgetRun:
     """A finished pass over the state; every table below reads only its per-time rows."""
 
-    box: Box
+    spec: BoxSpec
     moments: Series
     anomalies: bool = True
+    box: Box | None = None  # where the run has read cells
 
     @cached_property
     def _terms(self) -> Series:
-        frame = self.moments.frame.withColumn("T_domain_avg", mean_temperature())
-        shift = F.col("T_domain_avg") - F.lit(ANCHOR_K) if self.anomalies else F.lit(-ANCHOR_K)
-        signed = frame.select("*", *advection_columns(self.box.spec, shift))
-        rates = centered_difference(
-            self.moments.map(signed),
-            {"dV_dt": "volume", "d_dt_T": "heat", "d_mean_dt": "T_domain_avg"},
-        )
+        signed = signed_terms(self.moments.frame, self.spec, self.anomalies)
+        rates = centered_difference(self.moments.map(signed), RATES_OF)
         scale = temperature_spread if self.anomalies else mean_of_means
-        volume = F.col("volume")
-        full = (
-            rates.frame.withColumn("T_scale", scale(self.moments.frame).scalar())
-            .withColumn("dT_dt", volume * F.col("d_mean_dt"))
-            .withColumn("dT_dt_2", F.col("d_dt_T") - F.col("T_domain_avg") * F.col("dV_dt"))
-            .withColumn("advection_error", (F.col("dV_dt") + F.col("net_mass_advection")) * F.col("T_scale"))
-            .withColumn("diabatic_term", F.col("dT_dt") + F.col("net_heat_advection") - F.col("adiabatic"))
-            .withColumnsRenamed({"volume": "domain_volume", "adiabatic": "adiabatic_term"})
-            .withColumn("advection_term", F.col("net_heat_advection"))
-        )
-        return rates.map(full)
+        return rates.map(budget_terms(rates.frame.withColumn("T_scale", scale(self.moments.frame).scalar())))
 
     @property
     def series(self) -> Series:
         """Budget fields and signed wall contributions by position, for the summary tables."""
-        walls = self.box.spec.walls
+        walls = self.spec.walls
         return self._terms.map(self._terms.frame.select(
             "time", "step", *BUDGET_FIELDS,
             "net_heat_advection", "net_mass_advection", "abs_mass_advection_residual_fraction",
@@ -107,7 +116,7 @@ class BudgetRun:
         is not read again.
         """
         constant = temperature_spread(self.moments.frame).scalar()
-        walls = self.box.spec.walls
+        walls = self.spec.walls
         frame = self.moments.frame.withColumn("_c", constant)
         c = F.col("_c")
         replaced = frame.withColumns({
@@ -116,7 +125,7 @@ class BudgetRun:
             **{f"heat_{wall}": (c - F.lit(ANCHOR_K)) * F.col(f"mass_{wall}") for wall in walls},
             **{f"warm_{wall}": F.col(f"mass_{wall}") for wall in walls},
         }).drop("_c")
-        return BudgetRun(self.box, self.moments.map(replaced), anomalies=False)
+        return BudgetRun(self.spec, self.moments.map(replaced), anomalies=False, box=self.box)
 
 
 def run_budget(
@@ -127,4 +136,4 @@ def run_budget(
 ) -> BudgetRun:
     """Read the state once, store the per-time sums, return the run."""
     box = request if isinstance(request, Box) else resolve_box(state, request)
-    return BudgetRun(box, index_by(hourly_moments(state, box, policy)), anomalies)
+    return BudgetRun(box.spec, index_by(hourly_moments(state, box, policy)), anomalies, box)

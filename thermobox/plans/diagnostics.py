@@ -117,7 +117,7 @@ def mass_error(run: BudgetRun, whole_run: bool = False) -> DataFrame:
     With `whole_run` the divisor is one number: the absolute sum over all times of the
     wall mass flows, both net flows and the residual fraction.
     """
-    walls = run.box.spec.walls
+    walls = run.spec.walls
     series = _with_mass(run)
     names = [f"mass_flux_contribution_{wall}" for wall in walls]
     if whole_run:
@@ -133,7 +133,7 @@ def mass_error(run: BudgetRun, whole_run: bool = False) -> DataFrame:
 
 def _directions(run: BudgetRun, value) -> dict[str, Column]:
     """Sum of `value(wall)` over the walls of each direction."""
-    walls = run.box.spec.walls
+    walls = run.spec.walls
     sums = {
         name: sum(value(wall) for wall in pair if wall in walls) for name, pair in DIRECTIONS.items()
     }
@@ -143,7 +143,7 @@ def _directions(run: BudgetRun, value) -> dict[str, Column]:
 
 def mass_direction(run: BudgetRun, window: int = 24) -> DataFrame:
     """Smoothed mass flow by wall and direction per mean volume, 1/h; the residual unsmoothed."""
-    walls = run.box.spec.walls
+    walls = run.spec.walls
     names = [f"mass_flux_contribution_{wall}" for wall in walls]
     frame = rolling_mean(_with_mass(run), names, window).frame
     sums = _directions(run, lambda wall: _by_mean_volume(f"mass_flux_contribution_{wall}"))
@@ -157,7 +157,7 @@ def mass_direction(run: BudgetRun, window: int = 24) -> DataFrame:
 
 def mass_direction_cumulative(run: BudgetRun) -> DataFrame:
     """Running integrals of the unsmoothed mass flow by direction per mean volume."""
-    walls = run.box.spec.walls
+    walls = run.spec.walls
     totals = {f"sum_{wall}": F.col(f"mass_flux_contribution_{wall}") * F.col("dt") for wall in walls}
     totals["sum_residual"] = F.col("delta_mass") * F.col("dt")
     frame = running_sum(_with_mass(run), totals).frame
@@ -171,7 +171,7 @@ def mass_direction_cumulative(run: BudgetRun) -> DataFrame:
 
 def heat_walls(run: BudgetRun) -> DataFrame:
     """Heat flow of each wall, their sum and the residual expected from mass, K/h."""
-    walls = run.box.spec.walls
+    walls = run.spec.walls
     return run.series.frame.select(
         "time",
         *[_own_volume(f"flux_contribution_{wall}").alias(f"heat_{wall}") for wall in walls],

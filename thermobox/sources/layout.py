@@ -2,54 +2,66 @@
 
 from __future__ import annotations
 
-import math
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermobox.operators.domain import coordinate_axes
+from thermobox.operators.axes import Tiling, coordinate_axes, tile_starts
 from thermobox.session import materialise
 from thermobox.sources.state import UPPER_FIELDS, GridState
 
-
-#: Rows that one task writes for one day; a day is cut into latitude bands of about so many.
-BAND_ROWS = 10_000_000
+#: Latitudes and longitudes of a tile, and the most tiles along an axis: a longer axis has larger tiles.
+TILE_POINTS, MOST_TILES = 36, 256
 
 
 def write_state(
-    state: GridState, path: str, surface_fields: tuple[str, ...] = ("sp",), append: bool = False, band_rows: int = BAND_ROWS
+    state: GridState, path: str, surface_fields: tuple[str, ...] = ("sp",), append: bool = False, tile_points: int = TILE_POINTS
 ) -> None:
-    """One wide table by date, rows sorted by place, then time, then level.
+    """One wide table in folders by date and tile, rows sorted by place, then time, then level.
 
-    The one join of ground and upper air happens here; budgets on the result need none.
-    Sorted latitudes and longitudes give row groups narrow ranges, so a box or a wall
-    skips most of them, and a ground value repeated over the levels packs into runs.
+    The one join of ground and upper air happens here; budgets on the result need none. A box reads the folders of its
+    tiles only, a wall those of its rows and columns. Sorted latitudes and longitudes give row groups narrow
+    ranges as well, and a ground value repeated over the levels packs into runs.
 
-    Rows are dealt by date and latitude band, which are known from the axes, so nothing is read to
-    sample them. `append` adds days, or replaces those that `state` holds, and leaves the others as they are.
+    Rows are dealt by date and tile without sampling; the number of tasks follows from the size of the data, as small
+    shares are put together and large ones cut at run time. `append` adds days, or replaces the tiles of
+    days that `state` holds, and leaves the others as they are; the tiles are those of the first write.
     """
-    axes = coordinate_axes(state.upper) if state.axes is None else state.axes
-    axes = materialise(axes)
-    spans = axes.groupBy("axis").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).collect()
-    sizes = {r["axis"]: r for r in spans}
-    points = math.prod(r["n"] for r in spans) if len(spans) == 3 else 0
-    bands = 1 + 24 * points // band_rows
-    low, high = (sizes["lat"]["low"], sizes["lat"]["high"]) if "lat" in sizes else (0.0, 0.0)
-    band = F.floor((F.col("lat") - low) / max(high - low, 1e-9) * bands) if bands > 1 else F.lit(0)
-    rows = state.rows(UPPER_FIELDS, surface_fields).withColumns({"date": F.to_date("time"), "_band": band})
+    spark = state.upper.sparkSession
+    axes = materialise(coordinate_axes(state.upper) if state.axes is None else state.axes)
+    tiling = read_tiling(spark, path) if append else None
+    if tiling is None:
+        tile_starts(axes, tile_points, MOST_TILES).coalesce(1).write.mode("overwrite").parquet(f"{path}/tiles")
+        tiling = read_tiling(spark, path)
+    keys = ("date", "tile_lat", "tile_lon")
+    rows = state.rows(UPPER_FIELDS, surface_fields).withColumns(
+        {"date": F.to_date("time"), "tile_lat": tiling.column("lat"), "tile_lon": tiling.column("lon")}
+    )
     (
-        rows.repartition("date", "_band").drop("_band")
-        .sortWithinPartitions("date", "lat", "lon", "time", "level")
+        rows.hint("rebalance", *keys)
+        .sortWithinPartitions(*keys, "lat", "lon", "time", "level")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if append else "static")
-        .partitionBy("date")
+        .partitionBy(*keys)
         .parquet(f"{path}/cells")
     )
     axes.coalesce(1).write.mode("append" if append else "overwrite").parquet(f"{path}/axes")
 
 
+def read_tiling(spark: SparkSession, path: str) -> Tiling | None:
+    """The tiles of a written state, at most 2 x MOST_TILES numbers; None where nothing has been written."""
+    try:
+        rows = spark.read.parquet(f"{path}/tiles").orderBy("start").collect()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return Tiling(*(tuple(r["start"] for r in rows if r["axis"] == axis) for axis in ("lat", "lon")))
+
+
 def read_state(spark: SparkSession, path: str) -> GridState:
-    """A table made by write_state, with its coordinates. Filters on `date` prune folders."""
-    return GridState(spark.read.parquet(f"{path}/cells"), axes=spark.read.parquet(f"{path}/axes").distinct())
+    """A table made by write_state, with its coordinates and tiles. Filters on `date` and tiles prune folders."""
+    axes = spark.read.parquet(f"{path}/axes").distinct()
+    return GridState(spark.read.parquet(f"{path}/cells"), axes=axes, tiling=read_tiling(spark, path))
 
 
 def write_budget(table: DataFrame, path: str) -> None:

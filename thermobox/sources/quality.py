@@ -4,37 +4,29 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thermobox.operators.domain import coordinate_axes, measure_axes
+from thermobox.operators.axes import coordinate_axes, numbered, order_breaks
 from thermobox.operators.series import is_regular
-from thermobox.session import materialise
+from thermobox.session import materialise, stored
 from thermobox.sources.harmonise import unit_of
 from thermobox.sources.state import SURFACE_FIELDS, SURFACE_KEYS, UPPER_FIELDS, UPPER_KEYS, GridState, grid_key
 
 
-#: Coordinates of all axes together up to which their tables are broadcast; beyond it they are joined by shuffle.
-BROADCAST_POINTS = 1_000_000
-
-
 @dataclass(frozen=True)
 class Axes:
-    """Coordinate -> position tables and their sizes."""
+    """Coordinate -> position tables and their sizes. Spark broadcasts those that are small."""
 
     tables: dict[str, DataFrame]
     sizes: dict[str, int]
 
-    def table(self, axis: str) -> DataFrame:
-        small = sum(self.sizes.values()) <= BROADCAST_POINTS
-        return F.broadcast(self.tables[axis]) if small else self.tables[axis]
-
 
 def read_axes(state: GridState) -> Axes:
     """Positions on the axes, from the state's own coordinates where it has them."""
     axes = coordinate_axes(state.upper) if state.axes is None else state.axes
-    points = materialise(measure_axes(axes).select("axis", "key", "id"))
+    points = stored(numbered(axes.select("axis", "value"), "value").select("axis", grid_key("value").alias("key"), "id"), "axes")
     sizes = {r["axis"]: r["count"] for r in points.groupBy("axis").count().collect()}
     tables = {
         axis: points.where(F.col("axis") == axis).select(F.col("key").alias(f"{axis}_key"), F.col("id").alias(f"{axis}_id"))
@@ -51,7 +43,7 @@ def cells_per_time(df: DataFrame, axes: Axes, axis_names: tuple[str, ...]) -> Da
     """
     cell = F.lit(0).cast("long")
     for axis in axis_names:
-        df = df.withColumn(f"{axis}_key", grid_key(axis)).join(axes.table(axis), f"{axis}_key", "left")
+        df = df.withColumn(f"{axis}_key", grid_key(axis)).join(axes.tables[axis], f"{axis}_key", "left")
         cell = cell * F.lit(axes.sizes[axis]) + F.col(f"{axis}_id")
     return (
         df.select("time", cell.alias("cell"))
@@ -80,9 +72,7 @@ def axis_order_breaks(upper: DataFrame, order: str) -> DataFrame:
         stacked.where(F.col("value").isNotNull())
         .groupBy("axis", "value").agg(F.min(order).alias("seen"))
     )
-    step = F.col("value") - F.lag("value").over(Window.partitionBy("axis").orderBy("seen"))
-    wrong = F.when(F.col("axis") == "level", step >= 0).otherwise(step <= 0)
-    return first_seen.select("axis", wrong.alias("wrong")).groupBy("axis").agg(F.count_if("wrong").alias("n_bad"))
+    return order_breaks(first_seen, "seen")
 
 
 def _schema_rules(state: GridState) -> list[tuple[str, int]]:

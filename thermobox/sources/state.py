@@ -8,6 +8,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thermobox.operators.axes import Tiling
+
 # Names of the keys and fields.
 UPPER_KEYS = ("time", "level", "lat", "lon")
 SURFACE_KEYS = ("time", "lat", "lon")
@@ -30,12 +32,14 @@ class GridState:
 
     With `surface=None` the rows of `upper` carry the surface fields themselves. That is
     the layout the writer makes, and it lets a budget run without joining two large tables.
-    `axes` (axis, value) are the coordinates where they are known without reading `upper`.
+    `axes` (axis, value) are the coordinates where they are known without reading `upper`. With a `tiling`
+    the rows carry tile_lat and tile_lon, by which whole files can be left out.
     """
 
     upper: DataFrame
     surface: DataFrame | None = None
     axes: DataFrame | None = None
+    tiling: Tiling | None = None
 
     @property
     def wide(self) -> bool:
