@@ -139,3 +139,32 @@ def test_long_texts_are_learned_from_start_to_end(spark):
     found = dict(map(tuple, spark.createDataFrame(rows, "i int, text string").select("i", spread(F.col("text"))).collect()))
     assert found[2] == rows[1][1] and found[4] == "" and found[5] is None and set(found[3]) == {"é", " "}
     assert found[1][0] == "a" and found[1][-1] == "z" and len(set(found[1])) > 8 and len(found[1]) <= TRAINING_CHARS + 8
+
+
+@pytest.mark.parametrize("piece", ["<", "<script ", "<!--", "<style>", "<html lan", "&#", "</", "<a b=\"<"])
+def test_unclosed_markup_takes_linear_time(spark, piece):
+    import time
+
+    from thermobox.llm.language_id import page_rows
+
+    html = piece * (1_000_000 // len(piece))
+    page_rows(spark.createDataFrame([(0, "u", "<p>warm up")], "page_id long, url string, html string")).collect()
+    begin = time.perf_counter()
+    rows = page_rows(spark.createDataFrame([(1, "http://a.b/", html + " end")], "page_id long, url string, html string")).collect()
+    assert len(rows) == 1 and time.perf_counter() - begin < 20
+
+
+def test_visible_text_keeps_what_is_outside_markup(spark):
+    from thermobox.llm.language_id import visible_text
+
+    html = "<html><style>x{}</style><p class='a'>One <b>two</b> &amp; three<!-- no --> a < b <script>no()</script>four <a t=\"x<y\">five</a><script>rest"
+    found = spark.createDataFrame([(html,)], "html string").select(visible_text(F.col("html"))).first()[0]
+    assert found.split() == ["One", "two", "three", "a", "b", "four", "five"]
+
+
+def test_stage_keeps_any_columns(spark):
+    from thermobox.llm.language_id import kept_documents
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("*", "'x' AS `a.b`", "map(1, 2) AS m")
+    kept = kept_documents(docs)
+    assert kept.columns == docs.columns and 0 < kept.count() <= docs.count()

@@ -62,3 +62,11 @@ def test_counts_are_taken_once_and_on_demand():
 @pytest.mark.parametrize("rows", [[], [(1, None)]])
 def test_small_tables(spark, rows):
     assert [r.kept for r in op1(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [False] * len(rows)
+
+
+def test_odd_columns_take_no_part(spark):
+    from thermobox.llm.quality_rules import op1
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = docs.selectExpr("*", "'x' AS `a.b`", "map(1, 2) AS m", "1 AS n_words", "struct(1) AS kept")
+    assert sorted(map(tuple, op1(odd).collect())) == sorted(map(tuple, op1(docs).collect()))

@@ -72,7 +72,12 @@ def map_texts(df: DataFrame, function, schema) -> DataFrame:
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name, "10000")) <= TEXT_BATCH_ROWS:
         conf.set(name, str(TEXT_BATCH_ROWS))
-    return df.mapInArrow(function, schema)
+    names = df.columns
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return function(batch.rename_columns(names) for batch in batches)
+
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(named, schema)  # it resolves names, where a dot means a field
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

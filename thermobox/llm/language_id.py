@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thermobox.llm.common import LOWER, join_repeated, map_texts, pieces, stored
+from thermobox.llm.common import LOWER, column, join_repeated, map_texts, pieces, stored
 
 BUCKETS = 1 << 15
 TRAINING_ROWS, TRAINING_CHARS, TRAINING_PIECES, LEAST_TEXTS = 2000, 8000, 8, 20
@@ -236,8 +236,13 @@ def primary_subtag(tag: Column) -> Column:
 
 
 def visible_text(html: Column) -> Column:
-    """Text outside tags, scripts, styles and comments; entities become blanks."""
-    return F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>|&#?\w+;", " ")
+    """Text outside tags, scripts, styles and comments; entities become blanks.
+
+    What is opened and not closed reaches to the end (scripts, styles, comments) or to the next `<` (tags), so no
+    place of the text is looked at again for a later opening.
+    """
+    hidden = r"<script\b.*?(?:</script>|\z)|<style\b.*?(?:</style>|\z)|<!--.*?(?:-->|\z)"
+    return F.regexp_replace(html, rf"(?is){hidden}|</?[a-z][^<>]*+>?|<[^<>]*+>|<|&#?+\w++;", " ")
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
@@ -247,7 +252,7 @@ def page_rows(pages: DataFrame) -> DataFrame:
     labels = F.split(host, r"\.")
     suffix = F.when(F.size(labels) > 1, F.element_at(labels, -1))
     domain = F.when(F.size(labels) > 1, F.array_join(F.slice(labels, -2, 2), "."))
-    tag = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", 1)
+    tag = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", 1)
     return pages.select("page_id", visible_text(F.col("html")).alias("text"), primary_subtag(tag).alias("declared"),
                         suffix.alias("suffix"), domain.alias("domain"), host.alias("host"))
 
@@ -282,4 +287,4 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     slim = with_evidence(rows.select("text", "lid_lang", "source"), model, keep_text=False)
     learned = learn(stored(slim, "lid-evidence"), model, DOCUMENT_COLUMNS)
     done = fuse(with_evidence(rows, model), learned, DOCUMENT_COLUMNS, ["doc_id"])
-    return done.where("lid_kept").select(*docs.columns)
+    return done.where("lid_kept").select(*[column(c) for c in docs.columns])

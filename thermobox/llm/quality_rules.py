@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thermobox.llm.common import BLANKS, as_bytes, map_texts
+from thermobox.llm.common import BLANKS, as_bytes, map_texts, pieces
 
 SYMBOLS = b"#*$%&|<>"
 #: Rows asked for in the sample that costs and selectivities are estimated on.
@@ -125,16 +125,16 @@ RULES = BASE_RULES + (
 def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[dict]:
     """Cost (seconds a text) and selectivity (share rejected) of each rule, best first.
 
-    The sample is about `rows` rows, spread over the table by a row hash; each sampled text is
+    The sample is about `rows` rows, spread over the table by a hash of id and text; each sampled text is
     measured in the task that read it, and only one row per rule comes to the driver.
     """
     total = docs.count()
-    keep = F.pmod(F.xxhash64(*[F.col(c) for c in docs.columns if c != "text"], F.length("text")), F.lit(1_000_003))
+    keep = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003))
     sample = docs.where(keep < F.lit(min(1.0, rows / max(total, 1)) * 1_000_003)).select("text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = {rule.name: [0, 0, 0.0] for rule in rules}
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             for raw in as_bytes(batch.column(0)):
                 for rule in rules:
                     begin = time.perf_counter()
@@ -185,7 +185,7 @@ def quality_cascade(
     )
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             verdicts, ran, counts = [], [], {name: [] for name in report}
             for raw in as_bytes(batch.column("text")):
                 c, verdict, n = Counts(raw), None, 0

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thermobox.llm.common import join_repeated, map_texts, shared_folder, stored
+from thermobox.llm.common import join_repeated, map_texts, pieces, shared_folder, stored
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 256 << 20
@@ -182,7 +182,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = None
-        for batch in batches:
+        for batch in pieces(batches, "payload"):
             rows = []
             for page_id, url, payload, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "first"))):
                 revisit = first is not None and first != page_id
@@ -226,7 +226,8 @@ def read_archives(index: DataFrame, with_payload: bool = True) -> DataFrame:
                     found, held = [], 0
             yield _records(found, names)
 
-    dealt = index.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
+    # runs of frames: a task opens few bundles
+    dealt = index.repartitionByRange("bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
     return dealt.select("bundle", "frame", "offset", "length").mapInArrow(
         read, RECORDS if with_payload else RECORDS.rpartition(", ")[0]
     )
