@@ -347,11 +347,14 @@ def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     rows = docs.select(F.struct(*own).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     several = rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     again = join_repeated(rows.select("doc_id", digest.alias("digest")), several.withColumn("several", F.lit(True)), "doc_id", ["digest"], "inner")
-    # each text of a repeated id gets an id that no row has
-    numbered = index_by(again.select("doc_id", "digest").distinct(), "doc_id", ("digest",))
+    # each text of an id with several texts gets an id that no row has
+    numbered = index_by(again.select("doc_id", "digest").distinct(), "doc_id", ("digest",)).frame
+    mixed = numbered.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("mixed"))
+    numbered = numbered.join(mixed, "doc_id", "left")
     least, most = (x or 0 for x in rows.agg(F.min("doc_id"), F.max("doc_id")).first())
     unused = F.lit(most) + 1 + F.col("step") if most < 1 << 62 else F.lit(least) - 1 - F.col("step")
-    fresh = stored(numbered.frame.select("doc_id", "digest", unused.alias("fresh")), "fresh-ids")
+    fresh = F.when(F.col("mixed"), unused).otherwise(F.col("doc_id"))
+    fresh = stored(numbered.select("doc_id", "digest", fresh.alias("fresh")), "fresh-ids")
     if fresh.isEmpty():
         marked = rows.withColumn("fresh", F.lit(None).cast("long"))
     else:
