@@ -122,3 +122,66 @@ def test_empty_table(spark):
 
 def test_labels_start_with_the_kinds():
     assert LABELS[1:5] == KINDS and Crf(2, 3).own.shape == (3, 2, 3)
+
+
+def test_lines_are_decoded_whole():
+    """Spans are those of the best path over each whole line, by emissions and Viterbi alone, also where the shortcut applies."""
+    import random
+
+    from thermobox.llm.pii import _trim, crf_spans
+
+    rng = random.Random(4)
+    words = ["the", "call", "card", "555-0142", "(415)", "password=hunter", "9b0b3c6a43eb78aa99cbd7049c572391524f37a8", "=", '"quoted"', "é", "1998",
+             "ring", "secret", "4111", "1111", "x", "a@b.co", "plain,", "words."]
+    texts = [" ".join(rng.choice(words) + rng.choice(["", "", "\n", "  "]) for _ in range(rng.randrange(60))) for _ in range(80)]
+    texts += ["", " \n ", "plain " * 30_000 + "call 555-0142 now", "é" * 50_000]
+    crf = trained()
+    for text, found in zip(texts, crf_spans(texts, crf)):
+        want, at = [], 0
+        for line in text.split("\n"):
+            places = [(m.start() + at, m.end() + at) for m in re.finditer(r"[^\x20\x09-\x0D]+", line)]
+            if places:
+                labels = viterbi([crf.emissions(_one_hot([text[a:b] for a, b in places]))], crf.move, crf.ends)[0]
+                for i, label in enumerate(labels):
+                    if label and (i == 0 or labels[i - 1] != label):
+                        end = next((j for j in range(i, len(labels)) if labels[j] != label), len(labels))
+                        start, stop = _trim(text, places[i][0], places[end - 1][1])
+                        if start < stop:
+                            want.append((start, LABELS[label], stop))
+            at += len(line) + 1
+        assert found == want
+
+
+def test_precision_and_recall_on_made_texts():
+    """Sentences that are not in the training table: nearly all secrets and local numbers are found, hardly anything else."""
+    import random
+
+    from thermobox.llm.pii import crf_spans
+
+    rng = random.Random(9)
+    fill = "morning river they walked along under heavy trees while nobody spoke about that quiet old garden again".split()
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    make = [
+        ("secret", lambda: f"password={''.join(rng.choice('abcdefghijkmnopqrst') for _ in range(rng.randrange(6, 14)))}"),
+        ("secret", lambda: f"token={''.join(rng.choice('0123456789abcdef') for _ in range(32))}"),
+        ("phone", lambda: f"555-{digits(4)}"), ("phone", lambda: f"({digits(3)}) 555-{digits(4)}"),
+    ]
+    cues = {"secret": ["set", "with", "found", "left"], "phone": ["call", "ring", "phone", "dial"]}
+    plain = ["in 1987 there were 52 boats", "version 3.1 was out", "size=small colour=blue", "he paid 12.50 for 3 of them", "the secret of the lake",
+             "room 41 on floor 2", "a score of 21-17 today", 'she said "never again" and left', "the password was forgotten"]
+    texts, wanted = [], []
+    for i in range(400):
+        before, after = (" ".join(rng.choice(fill) for _ in range(rng.randrange(2, 9))) for _ in range(2))
+        if i % 2:
+            kind, one = make[i // 2 % len(make)]
+            value, lead = one(), f"{before} {rng.choice(cues[kind])} "
+            texts.append(f"{lead}{value} {after}")
+            wanted.append((len(lead), kind, len(lead) + len(value)))
+        else:
+            texts.append(f"{before} {plain[i // 2 % len(plain)]} {after}")
+            wanted.append(None)
+    found = crf_spans(texts, trained())
+    right = sum(w in f for w, f in zip(wanted, found) if w)
+    given = sum(map(len, found))
+    print("recall", right / 200, "precision", right / max(1, given))
+    assert right / 200 > 0.9 and right / given > 0.9

@@ -100,12 +100,16 @@ def train(data: list[tuple[np.ndarray, np.ndarray]], features: int, labels: int,
     return crf
 
 
+VITERBI_ITEMS = 100_000
+
+
 def viterbi(chains: list[np.ndarray], move: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    """The best label sequence of each chain of scores; chains of like length run side by side."""
+    """The best label sequence of each chain of scores; chains of like length run side by side, about VITERBI_ITEMS items at a time."""
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(chains)
     order = sorted((i for i in range(len(chains)) if len(chains[i])), key=lambda i: len(chains[i]))
-    for start in range(0, len(order), 512):
-        some = order[start:start + 512]
+    while order:
+        together = min(2048, max(1, VITERBI_ITEMS // len(chains[order[-1]])))
+        order, some = order[:-together], order[-together:]
         lengths = np.array([len(chains[i]) for i in some])
         scores = np.zeros((len(some), lengths.max(), move.shape[0]))
         for row, i in enumerate(some):

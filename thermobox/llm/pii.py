@@ -3,9 +3,8 @@
 The base spans are the leftmost non-overlapping matches of one pattern per kind, checked (octets, Luhn,
 digit counts) and dropped without retry where the check fails. The CRF reads words (split at ASCII
 blanks) through features of their shape and of their neighbours' shapes; it is trained from the small
-labelled table below and decoded by Viterbi, many chains at a time in numpy. A word without
-digit, @ or + that stands more than CONTEXT words from every word with one has label O by definition, so
-chains are cut there. Runs of one label become a span; spans that meet a base span are dropped.
+labelled table below and decoded by Viterbi, many chains at a time in numpy. Every line of every text is a chain, of
+whatever length. Runs of one label become a span; spans that meet a base span are dropped.
 
 Defined results: a null text is empty; rows are judged one by one, so repeated rows give equal
 results; a null `doc_id` is carried along; an empty table gives no rows. Offsets count code points.
@@ -21,15 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thermobox.llm.common import map_texts, pieces
 from thermobox.llm.crf import Crf, train, viterbi
+from thermobox.llm.words import BLANK, Words
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("o", "email", "ip", "card", "phone", "secret")
-CONTEXT = 2
 
 # --- base spans -----------------------------------------------------------------------------
 
@@ -125,6 +125,15 @@ the old line [phone 555-0163] was noted
 under [phone 555-0188] we are open
 she gave [phone 555-0121] and then [phone (303) 555-0190] to us
 set [secret password=a94a8fe5ccb19ba61c] and restart
+they left [secret password=opensesame] in a note
+[secret secret=tangerine] was all it took
+with [secret token=swordfish], nobody asked
+the line [secret passwd=Correct-Horse] stood there
+x = y holds when a=b and c=d
+size=large colour=red and so on
+he gave the password to nobody
+the secret of the house is old
+a token of thanks was sent
 secret = [secret "b1946ac92492d2347c6235b4d2611184"] in the log
 version 2.0 of the work and 3.1 of the other
 licensed under the terms of version 2.0. All of it
@@ -148,7 +157,6 @@ and then the next line of plain words goes on
 no. 7 and no. 8 were sold on day 3.
 """.strip()
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _CANDIDATE = re.compile(r"[0-9@+]")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 
@@ -175,22 +183,31 @@ FEATURES = (
     "bias", "digit", "no_digit", "at", "at_dot", "plus", "paren_digits", "dots_3", "dots_1", "hyphen_digits", "only_digits",
     "digits_1_2", "digits_3", "digits_4", "digits_5_9", "digits_10_13", "digits_14_19", "digits_20", "quote", "hex", "equals",
     "letter_digit", "comma_digits", "slash_colon", "cue_phone", "cue_card", "cue_mail", "cue_net", "cue_key", "cue_number", "percent", "digits_7_split",
+    "key_equals",
 )
 _CUES = {
     "cue_phone": ("call", "phone", "tel", "ring", "fax", "appelez", "llame", "reach"),
     "cue_card": ("card", "carte", "pay", "charged"), "cue_mail": ("mail", "email", "write", "contact", "reply", "address"),
-    "cue_net": ("server", "host", "hosts", "from", "ip"), "cue_key": ("token", "api_key", "secret", "password", "="),
+    "cue_net": ("server", "host", "hosts", "from", "ip"), "cue_key": ("token", "api_key", "secret", "password", "passwd", "="),
     "cue_number": ("version", "chapter", "section", "room", "no", "order", "license", "page", "lot", "in"),
 }
 _CUE_OF = {word: cue for cue, words in _CUES.items() for word in words}
 
 
+_EDGES = ".,;:!?\"'"
+#: What holds of a word without digit, @, +, =, quote or cue.
+_PLAIN = [FEATURES.index("bias"), FEATURES.index("no_digit")]
+
+
 def shape(word: str) -> list[int]:
     """Places in FEATURES of what holds of a word."""
-    core = word.strip(".,;:!?\"'")
+    core = word.strip(_EDGES)
+    key, equals, value = core.partition("=")
+    given = bool(key and value) and _CUE_OF.get(key.strip("\"'").lower()) == "cue_key"
     if not _CANDIDATE.search(word):
         cue = _CUE_OF.get(core.lower())
         names = ["bias", "no_digit"] + [cue] * bool(cue) + ["cue_key"] * (word == "=")
+        names += ["quote"] * word.startswith('"') + ["equals"] * bool(key and equals) + ["key_equals"] * given
         return [FEATURES.index(n) for n in dict.fromkeys(names)]
     n = len(_digits(core))
     letters = any(c.isalpha() for c in core)
@@ -206,7 +223,7 @@ def shape(word: str) -> list[int]:
         "quote": word.startswith('"'), "hex": bool(_HEX.search(core)) and letters, "equals": "=" in core,
         "letter_digit": letters and n > 0, "comma_digits": "," in core and core.replace(",", "").isdigit(),
         "slash_colon": "/" in core or ":" in core, "percent": "%" in core,
-        "digits_7_split": n == 7 and len(core) == 8 and core[3:4] == "-",
+        "key_equals": given, "digits_7_split": n == 7 and len(core) == 8 and core[3:4] == "-",
     }
     return [i for i, name in enumerate(FEATURES) if tests.get(name)]
 
@@ -227,22 +244,6 @@ def trained() -> Crf:
 # --- texts ----------------------------------------------------------------------------------
 
 
-def _chains(text: str) -> list[list[re.Match]]:
-    """Runs of words in which every word is within CONTEXT words of one with a digit, @ or +."""
-    if not _CANDIDATE.search(text):
-        return []
-    words = list(_WORD.finditer(text))
-    near = [i for i, m in enumerate(words) if _CANDIDATE.search(m[0])]
-    chains, end = [], -1
-    for i in near:
-        start, stop = max(0, i - CONTEXT), min(len(words), i + CONTEXT + 1)
-        if start > end:
-            chains.append([])
-        chains[-1] += words[max(start, end):stop]
-        end = stop
-    return chains
-
-
 def _trim(text: str, start: int, end: int) -> tuple[int, int]:
     while start < end and text[start] in "\"'<[{,;:":
         start += 1
@@ -251,29 +252,80 @@ def _trim(text: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
+#: Words whose features a worker keeps; beyond it the memory is emptied and refilled.
+CACHED_WORDS = 200_000
+_SHAPES: dict[str, list[int]] = {}
+
+
+def _distinct_scores(words: Words, crf: Crf) -> np.ndarray:
+    """What each distinct word gives to the labels of the word after it, its own and that of the word before: (3, words, labels)."""
+    if len(_SHAPES) > CACHED_WORDS:
+        _SHAPES.clear()
+    strings = words.distinct.cast(pa.large_string())
+    cue = pc.is_in(pc.utf8_lower(pc.utf8_trim(strings, characters=_EDGES)), value_set=pa.array(_CUE_OF, pa.large_string()))
+    special = pc.or_(pc.match_substring_regex(strings, r'[0-9@+="]'), cue).to_numpy(zero_copy_only=False)
+    scores = np.empty((3, len(strings), len(LABELS)))
+    scores[:] = crf.own[:, _PLAIN].sum(axis=1)[:, None]
+    at = np.flatnonzero(special)
+    shapes = []
+    for word in strings.take(pa.array(at)).to_pylist():
+        found = _SHAPES.get(word)
+        if found is None:
+            found = shape(word)
+            if len(word) < 40:
+                _SHAPES[word] = found
+        shapes.append(found)
+    if shapes:
+        first = np.cumsum([0] + [len(s) for s in shapes[:-1]])
+        scores[:, at] = np.add.reduceat(crf.own[:, np.concatenate(shapes)], first, axis=1)
+    return scores
+
+
+def _surely_plain(scores: np.ndarray, edges: np.ndarray, crf: Crf) -> np.ndarray:
+    """Chains whose best labels are all O, as seen without decoding.
+
+    A path that leaves O at some words gains at those words and at the steps on either side; if every word loses more by
+    leaving O than its two steps can gain, no path is better than O throughout.
+    """
+    if len(edges) < 2 or not len(scores):
+        return np.ones(max(0, len(edges) - 1), dtype=bool)
+    into = np.maximum(0.0, crf.move - crf.move[0, 0])[:, 1:].max(axis=0)  # the most that a step into a label gains
+    back = np.maximum(0.0, crf.move[1:, 0] - crf.move[0, 0])  # and a step from it to O
+    first, last = edges[:-1], edges[1:] - 1
+    gain = scores[:, 1:] - scores[:, :1] + into + back
+    gain[first] += np.maximum(0.0, crf.ends[0, 1:] - crf.ends[0, 0])
+    gain[last] += np.maximum(0.0, crf.ends[1, 1:] - crf.ends[1, 0])
+    return np.maximum.reduceat(gain.max(axis=1), first) < 0
+
+
 def crf_spans(texts: list[str], crf: Crf) -> list[list[tuple[int, str, int]]]:
-    """(start, kind, end) of the runs of one label in each text."""
-    owners, chains, scores, known = [], [], [], {}
-    for i, text in enumerate(texts):
-        for chain in _chains(text):
-            rows = np.zeros((len(chain), len(FEATURES)))
-            for row, m in zip(rows, chain):
-                key = m[0] if len(m[0]) < 40 else None
-                held = known.get(key)
-                if held is None:
-                    held = shape(m[0])
-                    if key:
-                        known[key] = held
-                row[held] = 1
-            owners.append(i), chains.append(chain), scores.append(crf.emissions(rows))
+    """(start, kind, end) of the runs of one label in each text; a line is a chain."""
     spans: list[list[tuple[int, str, int]]] = [[] for _ in texts]
-    for i, chain, labels in zip(owners, chains, viterbi(scores, crf.move, crf.ends)):
-        edges = np.flatnonzero(np.diff(labels)) + 1
-        for a, b in zip(np.r_[0, edges], np.r_[edges, len(labels)]):
-            if labels[a]:
-                start, end = _trim(texts[i], chain[a].start(), chain[b - 1].end())
-                if start < end:
-                    spans[i].append((start, LABELS[labels[a]], end))
+    words = Words(pa.array(texts, pa.large_string()), BLANK)
+    if not len(words.codes):
+        return spans
+    to_next, own, to_previous = (s[words.codes] for s in _distinct_scores(words, crf))
+    line = np.cumsum(words.raw == 10)[words.starts]
+    same = (words.text[1:] == words.text[:-1]) & (line[1:] == line[:-1])
+    own[1:] += to_next[:-1] * same[:, None]
+    own[:-1] += to_previous[1:] * same[:, None]
+    edges = np.r_[0, np.flatnonzero(~same) + 1, len(own)]
+    labels = np.zeros(len(own), dtype=np.int64)
+    unsure = np.flatnonzero(~_surely_plain(own, edges, crf))
+    for i, best in zip(unsure, viterbi([own[edges[i]:edges[i + 1]] for i in unsure], crf.move, crf.ends)):
+        labels[edges[i]:edges[i + 1]] = best
+    change = np.r_[True, ~same | (labels[1:] != labels[:-1])]
+    first = np.flatnonzero(change)
+    last = np.r_[first[1:], len(labels)] - 1
+    found = labels[first] > 0
+    for a, b in zip(first[found].tolist(), last[found].tolist()):
+        i = words.text[a]
+        text, begin = texts[i], words.first[i]
+        # bytes to code points: bytes that continue a character do not count
+        start, end = (int(np.count_nonzero((words.raw[begin:stop] & 0xC0) != 0x80)) for stop in (words.starts[a], words.starts[b] + words.lengths[b]))
+        start, end = _trim(text, start, end)
+        if start < end:
+            spans[i].append((start, LABELS[labels[a]], end))
     return spans
 
 

@@ -9,6 +9,8 @@ from thermobox.llm.common import BLANKS, LOWER, as_bytes
 
 #: Everything but digits, letters a-z and bytes of non-ASCII characters becomes a blank; A-Z become a-z.
 LETTERS = bytes(b if b in b"0123456789abcdefghijklmnopqrstuvwxyz" or b > 127 else 32 for b in LOWER)
+#: White space becomes a blank.
+BLANK = bytes(32 if b in BLANKS else b for b in range(256))
 #: White space becomes a blank; A-Z become a-z.
 VISIBLE = bytes(32 if b in BLANKS else b for b in LOWER)
 
@@ -23,6 +25,8 @@ class Words:
         before = np.r_[False, letter[:-1]]
         starts, stops = np.flatnonzero(letter & ~before), np.flatnonzero(~letter & before)
         first = np.r_[0, np.cumsum([len(v) + 1 for v in values])]
+        #: the texts' bytes as they are, a blank after each; where texts and words start in them
+        self.raw, self.first, self.starts = np.frombuffer(b" ".join(values) + b" ", dtype=np.uint8), first[:-1], starts
         #: texts + 1: number of the first word of each text
         self.edges = np.searchsorted(starts, first)
         self.text = np.repeat(np.arange(len(values)), np.diff(self.edges))
