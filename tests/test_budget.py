@@ -217,3 +217,25 @@ def test_running_integrals_of_short_runs(spark, n):
     rates = [r.delta_mass for r in diagnostics.mass_series(run).orderBy("time").collect()]
     sums = [r.cumulative_delta_mass for r in diagnostics.mass_cumulative(run).orderBy("time").collect()]
     assert len(sums) == n - 2 and all(rates) and sums == pytest.approx(np.cumsum(rates))
+
+
+@pytest.mark.parametrize("policy", [OVERFLOW, BLENDED])
+def test_missing_points_count_as_missing_values(spark, policy):
+    """A state without some points, columns and hours of the box, filled, gives what the same points with NULL give."""
+    from thermobox.sources.state import fill_holes
+
+    rng = np.random.default_rng(8)
+    normal = lambda *a: float(rng.normal())
+    whole = make_state(spark, level=LEVELS, lat=range(0, 60, 10), lon=range(90, 150, 10), times=hours(8), T=lambda *a: 280 + normal(),
+                       u=normal, v=normal, w=normal, sp=lambda *a: float(85000 + 20000 * rng.random()))
+    upper, surface = whole.upper.cache(), whole.surface.cache()
+    point = "hash(time, level, lat, lon) % 7 = 0 OR hour(time) = 3"
+    near = "hour(time) = 5 AND lat BETWEEN 0 AND 40 AND lon BETWEEN 90 AND 130"
+    sparse = GridState(upper.where(f"NOT ({point})").where(f"NOT ({near})"), surface.where(f"NOT ({near})"))
+    nulls = GridState(null_where(upper, F.expr(f"({point}) OR ({near})"), "T", "u", "v", "w"), null_where(surface, F.expr(near), "sp", "T2m", "u10", "v10"))
+    fields = ("sp", "T2m", "u10", "v10")
+    got = frame(run_budget(fill_holes(sparse, fields), GROUND, policy).table(), "time")
+    want = frame(run_budget(nulls, GROUND, policy).table(), "time")
+    assert list(got["time"]) == list(want["time"]) and len(got) == 6
+    for field in BUDGET_FIELDS:
+        np.testing.assert_allclose(got[field], want[field], rtol=1e-9, atol=1e-9 * want[field].abs().max(), err_msg=field)

@@ -13,9 +13,9 @@ from thermobox.sources.layout import read_state, write_budget, write_state
 from thermobox.sources.quality import quality_report, validate
 from thermobox.sources.readers import (
     VARIABLE_FILES,
-    clashes,
     load_state,
-    merge_same_variable,
+    merge_clashes,
+    merge_sources,
     merge_tables,
 )
 from thermobox.sources.state import SURFACE_KEYS, UPPER_KEYS, GridState
@@ -266,15 +266,29 @@ def test_merge_keeps_points_of_any_table(spark):
         merge_tables({"sp": a.union(a), "T2m": b}, ("time", "lat")).collect()
 
 
-def test_same_variable_must_agree(spark):
+def test_twins_must_agree(spark):
+    """Sources with one variable in common: equal, missing values included, or the job stops and the points are listed."""
     keys = ("time", "lat")
-    a = spark.createDataFrame([(1, 1.0, 5.0), (2, 1.0, None)], "time int, lat double, sp double")
-    assert merge_same_variable([a, a], keys, "sp").count() == 2
-    for other in ([(1, 1.0, 5.5), (2, 1.0, None)], [(1, 1.0, 5.0)], [(1, 1.0, 5.0), (2, 1.0, 3.0)]):
-        b = spark.createDataFrame(other, a.schema)
-        assert clashes([a, b], keys, "sp").count() == 1
-        with pytest.raises(ValueError, match="disagree"):
-            merge_same_variable([a, b], keys, "sp")
+    a = spark.createDataFrame([(1, 1.0, 5.0, 1.0), (2, 1.0, None, 2.0)], "time int, lat double, sp double, T2m double")
+    schema = "time int, lat double, sp double, u10 double"
+    same = spark.createDataFrame([(1, 1.0, 5.0, 7.0), (2, 1.0, float("nan"), 8.0)], schema)
+    short = spark.createDataFrame([(1, 1.0, 5.0, 7.0)], schema)  # lacks a point at which the other has no value either
+    for b in (same, short):
+        rows = {tuple(r) for r in merge_sources({"a": a, "b": b}, keys).collect()}
+        assert rows == {(1, 1.0, 5.0, 1.0, 7.0), (2, 1.0, None, 2.0, 8.0 if b is same else None)}
+        assert merge_clashes({"a": a, "b": b}, keys).isEmpty()
+    for other, want in (([(1, 1.0, 5.5, 7.0)], (1, 1.0, "sp", 5.0, 5.5, "a,b")), ([(2, 1.0, 3.0, 7.0), (1, 1.0, 5.0, 7.0)], (2, 1.0, "sp", 3.0, 3.0, "b")),
+                        ([(1, 1.0, None, 7.0)], (1, 1.0, "sp", 5.0, 5.0, "a")), ([(1, 1.0, 5.0, 7.0)] * 2, (1, 1.0, "sp", 5.0, 5.0, "a,b"))):
+        b = spark.createDataFrame(other, schema)
+        assert want in {tuple(r) for r in merge_clashes({"a": a, "b": b}, keys).collect()}
+        with pytest.raises(Exception, match="disagree on sp"):
+            merge_sources({"a": a, "b": b}, keys).collect()
+
+
+def test_merge_shuffles_once(spark, state):
+    sources = {"a": state.upper.select(*UPPER_KEYS, "T", "u"), "b": state.upper.select(*UPPER_KEYS, "T", "v")}
+    for merged in (merge_sources(sources, UPPER_KEYS), merge_clashes(sources, UPPER_KEYS)):
+        assert plan_of(merged).count("Exchange") == 1
 
 
 def report(state, order=None):

@@ -36,8 +36,8 @@ from thermobox.sources.events_grid import events_state, gridded_events
 from thermobox.sources.harmonise import MERGED_NAMES, harmonise, slice_time, with_unit
 from thermobox.sources.layout import read_state, write_budget, write_state
 from thermobox.sources.quality import quality_report
-from thermobox.sources.readers import VARIABLE_FILES, load_state, merge_tables
-from thermobox.sources.state import NEAR_SURFACE_FIELDS, SURFACE_FIELDS, SURFACE_KEYS, UPPER_FIELDS, UPPER_KEYS, GridState
+from thermobox.sources.readers import VARIABLE_FILES, load_state, merge_clashes, merge_sources, merge_tables
+from thermobox.sources.state import NEAR_SURFACE_FIELDS, SURFACE_FIELDS, SURFACE_KEYS, UPPER_FIELDS, UPPER_KEYS, GridState, fill_holes
 from thermobox.specs import BoxRequest, SourceSpec, SurfacePolicy
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,7 +130,7 @@ def harmonised(spark, sf_dir):
     return rounded(harmonise(raw_table(spark, sf_dir)).select(*UPPER_KEYS, *UPPER_FIELDS), 10)
 
 
-def merge_sources(spark, sf_dir):
+def merge_variables(spark, sf_dir):
     """All variables side by side; each table lacks other points, and a point in any table is kept."""
     upper = _state(spark, sf_dir).upper
     lacking = {"T": "level >= 80000", "u": "level <= 90000", "v": "lat > 45", "w": "lon < -112"}
@@ -138,6 +138,29 @@ def merge_sources(spark, sf_dir):
     return rounded(merge_tables(tables, UPPER_KEYS), 10)
 
 
+def _twins(spark, sf_dir) -> dict[str, DataFrame]:
+    """Three sources over the same points, two of which hold T and two w."""
+    points = gridded_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    held = {"first": ("T", "u"), "second": ("T", "v", "w"), "third": ("w", "event_id")}
+    return {name: points.select(*UPPER_KEYS, *names) for name, names in held.items()}
+
+
+def merge_twins(spark, sf_dir):
+    """Sources that hold the same variables in full agreement, side by side."""
+    return rounded(merge_sources(_twins(spark, sf_dir), UPPER_KEYS).drop("event_id"), 10)
+
+
+def merge_conflicts(spark, sf_dir):
+    """Where they disagree: values that differ, are missing on one side, or stand twice."""
+    sources = _twins(spark, sf_dir)
+    number = F.col("event_id")
+    changed = sources["third"].withColumn("w", F.when(number % 97 == 5, F.col("w") + 1).when(number % 89 != 3, F.col("w")))
+    changed = changed.where(number % 101 != 7)
+    again = sources["first"].join(sources["third"].where(number % 211 == 9).select(*UPPER_KEYS), list(UPPER_KEYS))
+    sources |= {"first": sources["first"].unionByName(again), "third": changed.drop("event_id")}
+    return rounded(merge_clashes(sources, UPPER_KEYS), 10)
+
+
 def time_slice(spark, sf_dir):
     upper = _state(spark, sf_dir).upper.select(*UPPER_KEYS, "T")
     return rounded(slice_time(upper, "2024-01-02T00:00:00", "2024-01-03"), 10)
@@ -359,6 +382,15 @@ def budget_appended(spark, sf_dir):
     return scaled_budget(run_budget(read_state(spark, folder), GROUND))
 
 
+def budget_gaps(spark, sf_dir):
+    """A state with holes: single points are missing, and of some hours all points of the box."""
+    points = gridded_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    number = F.col("event_id")
+    upper = points.where((number % 13 != 4) & (F.expr("event_id DIV 100") % 17 != 6)).select(*UPPER_KEYS, *UPPER_FIELDS)
+    filled = fill_holes(GridState(upper, _state(spark, sf_dir).surface), (*SURFACE_FIELDS, *NEAR_SURFACE_FIELDS))
+    return scaled_budget(run_budget(filled, GROUND, BLENDED))
+
+
 def budget_incremental(spark, sf_dir):
     """The sums of the first days are stored, those of the later days added, each from its own cells only."""
     folder, state = fresh_folder(spark, "moments"), _state(spark, sf_dir)
@@ -461,7 +493,9 @@ QUERIES: dict[str, Query] = {
     "wall_area": wall_area,
     "cell_volume": cell_volume,
     "harmonise": harmonised,
-    "merge_sources": merge_sources,
+    "merge_sources": merge_variables,
+    "merge_twins": merge_twins,
+    "merge_clashes": merge_conflicts,
     "time_slice": time_slice,
     "quality_report": quality,
     "time_regularity": time_regularity,
@@ -502,6 +536,7 @@ QUERIES: dict[str, Query] = {
     "budget_stored": budget_stored,
     "budget_stored_blended": budget_stored_blended,
     "budget_appended": budget_appended,
+    "budget_gaps": budget_gaps,
     "budget_incremental": budget_incremental,
     "budget_many": budget_many,
     "budget_written": budget_written,

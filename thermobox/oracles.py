@@ -527,6 +527,27 @@ FROM dom WHERE level = 70000 GROUP BY time""",
         "closure": bud + f""" SELECT time, {kh("st", "dT_dt")}, {kh("-net_heat + adiabatic + diab", "dT_dt_from_terms")},
 {rnd("(-net_heat + adiabatic + diab) * 3600 / volume - st * 3600 / volume", "gap")} FROM bud""",
     }
+    out["merge_twins"] = "WITH" + GRID + f" SELECT time, level, lat, lon, {fields9} FROM grid"
+    out["merge_clashes"] = "WITH" + GRID + f""",
+w3 AS (SELECT e, CASE WHEN e % 97 = 5 THEN w + 1 WHEN e % 89 <> 3 THEN w END AS w FROM grid WHERE e % 101 <> 7),
+pair AS (SELECT grid.*, w3.w AS other FROM grid LEFT JOIN w3 USING (e))
+SELECT time, level, lat, lon, 'w' AS variable, {rnd("least(w, other)", "low", 10)}, {rnd("greatest(w, other)", "high", 10)},
+       CASE WHEN other IS NULL THEN 'second' ELSE 'second,third' END AS holders
+FROM pair WHERE w IS DISTINCT FROM other
+UNION ALL
+SELECT time, level, lat, lon, name, {rnd("value", "low", 10)}, {rnd("value", "high", 10)}, holders
+FROM grid, LATERAL (VALUES ('T', temp, 'first,second'), ('u', u, 'first')) AS twice(name, value, holders) WHERE e % 211 = 9"""
+    # the same grid with missing values; the sum over no value is 0
+    holed = _budget(SURFACE_BLENDED)
+    for field, tail in (("300 - 8 * ((event_id // 25) % 4) + value / 64", "temp"), ("((event_id * 7919) % 1009) / 100 - 5::DOUBLE", "u"),
+                        ("((event_id * 104729) % 997) / 100 - 5::DOUBLE", "v"), ("((event_id * 1299709) % 883) / 4000 - 0.1::DOUBLE", "w")):
+        holed = holed.replace(f"{field} AS {tail},", f"CASE WHEN event_id % 13 <> 4 AND (event_id // 100) % 17 <> 6 THEN {field} END AS {tail},")
+    holed = holed.replace("285 + value / 32 AS t2m, u / 2 AS u10, v / 2 AS v10", "285 + value / 32 AS t2m,"
+                          " (((e * 7919) % 1009) / 100 - 5::DOUBLE) / 2 AS u10, (((e * 104729) % 997) / 100 - 5::DOUBLE) / 2 AS v10")
+    for inner in ("sum(temp * air)", "sum(flow * (temp - mean_t) * area * weight)", "sum(flow * area * weight)",
+                  f"sum(w * {HEATING} * temp / level / {CP} * air)", f"sum(w * {HEATING} / level / {CP} * air)"):
+        holed = holed.replace(inner, f"coalesce({inner}, 0)")
+    out["budget_gaps"] = holed
     out["budget_many"] = " UNION ALL ".join(
         f"SELECT '{run}' AS run, * FROM ({_budget(v).replace(AXES, ','.join([LEVELS, _axis('lat', *bbox[:2]), _axis('lon', *bbox[2:])]))})"
         for run, v, bbox in (

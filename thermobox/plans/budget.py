@@ -30,9 +30,15 @@ def hourly_moments(state: GridState, box: Box, policy: SurfacePolicy) -> DataFra
     """All sums a budget needs, one row per time, in two scans.
 
     The first reads T and w of the domain, the second T, u and v of the ring. Neither
-    waits for the other: the shift of T by the domain mean is applied to the sums.
+    waits for the other: the shift of T by the domain mean is applied to the sums. An hour that only one of
+    them has, or only the hours of the state, is kept: a sum over nothing is 0.
     """
-    return volume_moments(state, box, policy).join(wall_sums(wall_faces(state, box, policy)), "time")
+    volume, walls = volume_moments(state, box, policy), wall_sums(wall_faces(state, box, policy))
+    joined = volume.join(walls, "time", "full_outer")
+    if state.hours is not None:
+        joined = state.hours.join(joined, "time", "full_outer")
+    kept = ("time", "warmth", "warmth2")
+    return joined.select(*[F.col(c) if c in kept else F.coalesce(c, F.lit(0).cast(t)).alias(c) for c, t in joined.dtypes])
 
 
 def temperature_spread(moments: DataFrame, *keys: str) -> DataFrame:

@@ -127,47 +127,71 @@ def merge_tables(tables: Mapping[str, DataFrame], keys: tuple[str, ...]) -> Data
 
     Each table is widened to all variables and the union is grouped once by the keys, so
     n tables cost one shuffle instead of n - 1 joins. Rows of a key are few (one per
-    table), and partial aggregation folds them early.
+    table), and partial aggregation folds them early. A second value of a variable at a key stops the job.
     """
-    names = list(tables)
-    parts = [
-        df.select(*keys, *[F.col(n) if n == name else F.lit(None).cast(df.schema[name].dataType).alias(n) for n in names])
-        for name, df in tables.items()
+    return merge_sources({name: df.select(*keys, name) for name, df in tables.items()}, keys)
+
+
+def merge_sources(sources: Mapping[str, DataFrame], keys: tuple[str, ...]) -> DataFrame:
+    """The variables of all sources side by side, as `merge_tables` does for one variable each.
+
+    A variable that several sources hold must be the same in all of them, at every point, missing values included; the
+    first disagreement stops the job and names the variable. `merge_clashes` lists them.
+    """
+    merged, holders = _combined(sources, keys)
+    units: dict[str, dict] = {}
+    for df in sources.values():
+        for name in df.columns:
+            units.setdefault(name, df.schema[name].metadata)
+
+    def agreed(name: str) -> Column:
+        wrong = F.raise_error(F.concat(F.lit(f"sources disagree on {name}, or give two values, at "), F.to_json(F.struct(*keys)))).cast("double")
+        return F.when(_clash(name, len(holders[name])), wrong).otherwise(F.col(f"{name}.low"))
+
+    return merged.select(*[F.col(k).alias(k, metadata=units[k]) for k in keys], *[agreed(n).alias(n, metadata=units[n]) for n in holders])
+
+
+def merge_clashes(sources: Mapping[str, DataFrame], keys: tuple[str, ...]) -> DataFrame:
+    """keys, variable, low, high, holders: where sources do not agree on a variable.
+
+    `low` and `high` are the smallest and largest value given, `holders` the sources that give one, comma-joined.
+    """
+    merged, holders = _combined(sources, keys)
+    found = []
+    for name, of in holders.items():
+        given = F.array_compact(F.array(*[F.when(F.col(f"{name}.mask").bitwiseAND(F.lit(1 << i)) != 0, F.lit(list(sources)[i])) for i in of]))
+        row = F.struct(F.lit(name).alias("variable"), F.col(f"{name}.low").alias("low"), F.col(f"{name}.high").alias("high"),
+                       F.array_join(given, ",").alias("holders"))
+        found.append(F.when(_clash(name, len(of)), row))
+    return merged.select(*keys, F.inline(F.array_compact(F.array(*found))))
+
+
+def _combined(sources: Mapping[str, DataFrame], keys: tuple[str, ...]) -> tuple[DataFrame, dict[str, list[int]]]:
+    """One row per key with, by variable, the smallest and largest value, their number and the set of sources that gave one.
+
+    Also which sources hold each variable. All that decides about agreement goes through one shuffle, folded before it.
+    """
+    holders: dict[str, list[int]] = {}
+    for number, df in enumerate(sources.values()):
+        for name in df.columns:
+            if name not in keys:
+                holders.setdefault(name, []).append(number)
+    union = None
+    for number, df in enumerate(sources.values()):
+        values = [nan_to_null(F.col(n).cast("double")) if number in of else F.lit(None).cast("double") for n, of in holders.items()]
+        part = df.select(*keys, *[v.alias(n) for v, n in zip(values, holders)], F.lit(1 << number).alias("_source"))
+        union = part if union is None else union.unionByName(part)
+    sums = [
+        F.struct(
+            F.min(name).alias("low"), F.max(name).alias("high"), F.count(name).alias("n"),
+            F.coalesce(F.bit_or(F.when(F.col(name).isNotNull(), F.col("_source"))), F.lit(0)).alias("mask"),
+        ).alias(name)
+        for name in holders
     ]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    first = next(iter(tables.values()))
-    units = {name: df.schema[name].metadata for name, df in tables.items()}
-    units |= {key: first.schema[key].metadata for key in keys}
-    merged = union.groupBy(*keys).agg(*[_only_value(n).alias(n) for n in names])
-    return merged.select(*[F.col(n).alias(n, metadata=units[n]) for n in (*keys, *names)])
-
-
-def _only_value(name: str) -> Column:
-    """The single value of a variable at a key; a second one stops the job."""
-    value = nan_to_null(F.col(name).cast("double"))
-    repeated = F.raise_error(F.lit(f"{name} has two values at one coordinate")).cast("double")
-    return F.when(F.count(value) > 1, repeated).otherwise(F.max(value))
-
-
-def clashes(tables: list[DataFrame], keys: tuple[str, ...], name: str) -> DataFrame:
-    """Keys at which sources that hold the same variable disagree (or one lacks the value)."""
-    union = tables[0].select(*keys, nan_to_null(F.col(name).cast("double")).alias(name))
-    for table in tables[1:]:
-        union = union.unionByName(table.select(*keys, nan_to_null(F.col(name).cast("double")).alias(name)))
-    return (
-        union.groupBy(*keys)
-        .agg(F.min(name).alias("low"), F.max(name).alias("high"), F.count(name).alias("values"),
-             F.count(F.lit(1)).alias("rows"))
-        .where(~F.col("low").eqNullSafe(F.col("high"))
-               | ((F.col("values") > 0) & (F.col("values") < len(tables)))
-               | (F.col("rows") < len(tables)))
-    )
-
-
-def merge_same_variable(tables: list[DataFrame], keys: tuple[str, ...], name: str) -> DataFrame:
-    """One table from sources holding the same variable; they must be identical."""
-    if not clashes(tables, keys, name).isEmpty():
-        raise ValueError(f"sources disagree on {name}")
-    return tables[0].select(*keys, name)
+    return union.groupBy(*keys).agg(*sums), holders
+
+
+def _clash(name: str, holders: int) -> Column:
+    """Different values, a value that not all holders give, or one that a source gives twice."""
+    n = F.col(f"{name}.n")
+    return (F.col(f"{name}.low") != F.col(f"{name}.high")) | ((n > 0) & (n != holders)) | (n != F.bit_count(f"{name}.mask"))

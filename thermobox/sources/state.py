@@ -33,13 +33,15 @@ class GridState:
     With `surface=None` the rows of `upper` carry the surface fields themselves. That is
     the layout the writer makes, and it lets a budget run without joining two large tables.
     `axes` (axis, value) are the coordinates where they are known without reading `upper`. With a `tiling`
-    the rows carry tile_lat and tile_lon, by which whole files can be left out.
+    the rows carry tile_lat and tile_lon, by which whole files can be left out. `hours` (time) are the hours that a result
+    shall have although a box may hold no row of them.
     """
 
     upper: DataFrame
     surface: DataFrame | None = None
     axes: DataFrame | None = None
     tiling: Tiling | None = None
+    hours: DataFrame | None = None
 
     @property
     def wide(self) -> bool:
@@ -72,3 +74,25 @@ class GridState:
         else:
             source = self.surface
         return source.select(*SURFACE_KEYS, *surface_fields)
+
+
+def fill_holes(state: GridState, surface_fields: Sequence[str] = SURFACE_FIELDS) -> GridState:
+    """A wide state in which every column that the ground table has holds all levels; what was missing is NULL.
+
+    So a missing point counts as a missing value: its volume counts, a layer cut by the ground takes the surface value where
+    nothing is known above it, and an hour of which the box holds no row keeps its place in the series. Columns that only
+    the upper air has stay as they are, without ground. One join on the whole point.
+    """
+    if state.wide:
+        raise ValueError("the ground table says which columns there are")
+    levels = state.upper.select("level").distinct()  # a few dozen
+    values = [r["level"] for r in levels.where("level IS NOT NULL").orderBy("level").collect()]
+    place = {"_lat": grid_key("lat"), "_lon": grid_key("lon")}
+    points = state.surface.select(*SURFACE_KEYS, *surface_fields, F.explode(F.array(*map(F.lit, values))).alias("level"))
+    points = points.withColumns(place).withColumnsRenamed({"lat": "_lat0", "lon": "_lon0"})
+    upper = state.upper.select(*UPPER_KEYS, *UPPER_FIELDS).withColumns(place)
+    rows = upper.join(points, ["time", "_lat", "_lon", "level"], "full_outer")
+    filled = rows.select(
+        "time", "level", F.coalesce("lat", "_lat0").alias("lat"), F.coalesce("lon", "_lon0").alias("lon"), *UPPER_FIELDS, *surface_fields)
+    hours = state.surface.select("time").unionByName(state.upper.select("time")).distinct()
+    return GridState(filled, axes=state.axes, hours=hours)
