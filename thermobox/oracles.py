@@ -536,7 +536,8 @@ SELECT time, level, lat, lon, 'w' AS variable, {rnd("least(w, other)", "low", 10
 FROM pair WHERE w IS DISTINCT FROM other
 UNION ALL
 SELECT time, level, lat, lon, name, {rnd("value", "low", 10)}, {rnd("value", "high", 10)}, holders
-FROM grid, LATERAL (VALUES ('T', temp, 'first,second'), ('u', u, 'first')) AS twice(name, value, holders) WHERE e % 211 = 9"""
+FROM (SELECT time, level, lat, lon, 'T' AS name, temp AS value, 'first,second' AS holders FROM grid WHERE e % 211 = 9
+      UNION ALL SELECT time, level, lat, lon, 'u', u, 'first' FROM grid WHERE e % 211 = 9)"""
     # the same grid with missing values; the sum over no value is 0
     holed = _budget(SURFACE_BLENDED)
     for field, tail in (("300 - 8 * ((event_id // 25) % 4) + value / 64", "temp"), ("((event_id * 7919) % 1009) / 100 - 5::DOUBLE", "u"),
