@@ -25,7 +25,7 @@ LEVELS = [100000.0, 90000.0, 80000.0, 70000.0, 60000.0, 50000.0]
 GRID = dict(level=LEVELS, lat=[0, 10, 20, 30, 40, 50], lon=[90, 100, 110, 120, 130, 140], times=hours(2))
 CLIPPED = SurfacePolicy(allow_overflow=False)
 OVERFLOW = SurfacePolicy()
-BLENDED = SurfacePolicy(use_surface_fields=True, surface_mode="combined")
+BLENDED = SurfacePolicy(surface_mode="combined")
 CLOSED = pressure_box((10, 40, 100, 130))
 GROUND = ground_box((10, 40, 100, 130))
 
@@ -194,7 +194,7 @@ def blend_by_hand(column, near, sp, overflow):
 @pytest.mark.parametrize("overflow", [True, False])
 @pytest.mark.parametrize("sp", [84000.0, 90000.0, 92000.0, 95000.0, 100000.0, 104000.0, 105000.0, 107000.0, 66000.0, 69000.0, 74000.0])
 def test_blend_cases(spark, sp, overflow):
-    policy = SurfacePolicy(allow_overflow=overflow, use_surface_fields=True, surface_mode="combined")
+    policy = SurfacePolicy(allow_overflow=overflow, surface_mode="combined")
     axis = [0.0, 1.0, 2.0, 3.0]
     state = make_state(spark, level=LEVELS[:4], lat=axis, lon=axis, sp=sp, T=lambda t, k, i, j: 300.0 - 8 * k)
     box = resolve_box(state, ground_box((0, 3, 0, 3), top=70000.0))

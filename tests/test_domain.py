@@ -66,8 +66,7 @@ def test_bad_pressures(fine, top, bottom):
 def test_bad_requests():
     with pytest.raises(ValueError, match="margin"):
         BoxRequest(margin=0)
-    with pytest.raises(ValueError, match="surface_mode"):
-        SurfacePolicy(use_surface_fields=True)
+    assert not SurfacePolicy().use_surface_fields and SurfacePolicy(surface_mode="combined").use_surface_fields
 
 
 def test_box_to_the_ground_has_no_bottom_face(fine):

@@ -17,7 +17,7 @@ from thermobox.sources.state import GridState
 from thermobox.specs import BoxRequest, SurfacePolicy
 
 LEVELS = [100000.0, 90000.0, 80000.0, 70000.0, 60000.0]
-BLENDED = SurfacePolicy(use_surface_fields=True, surface_mode="combined")
+BLENDED = SurfacePolicy(surface_mode="combined")
 OVERFLOW = SurfacePolicy()
 
 

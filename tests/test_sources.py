@@ -23,7 +23,7 @@ from thermobox.specs import BoxRequest, SourceSpec, SurfacePolicy
 
 LEVELS = [100000.0, 90000.0, 80000.0, 70000.0]
 GRID = dict(level=LEVELS, lat=[40, 45, 50, 55, 60], lon=[-130, -125, -120, -115, -110])
-BLENDED = SurfacePolicy(use_surface_fields=True, surface_mode="combined")
+BLENDED = SurfacePolicy(surface_mode="combined")
 
 
 @pytest.fixture(scope="module")

@@ -19,6 +19,7 @@ from thermobox.operators.domain import (
     cell_volumes,
     halo_cells,
     horizontal_areas,
+    refusals,
     resolve_box,
     wall_areas,
 )
@@ -46,7 +47,7 @@ GROUND = BoxRequest()
 LEVEL = BoxRequest(bottom_pressure=90000.0)
 OVERFLOW = SurfacePolicy()
 CLIPPED = SurfacePolicy(allow_overflow=False)
-BLENDED = SurfacePolicy(use_surface_fields=True, surface_mode="combined")
+BLENDED = SurfacePolicy(surface_mode="combined")
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -479,6 +480,33 @@ def quality_report_broken(spark, sf_dir):
     return quality_report(GridState(upper, surface), order="place")
 
 
+def quality_report_columns(spark, sf_dir):
+    """The events as they are, taken for a state: what they lack of the keys and fields."""
+    table = spark.read.parquet(f"{sf_dir}/events.parquet").withColumnRenamed("ts", "time")
+    return quality_report(GridState(table, table))
+
+
+#: Requests that the grid cannot meet, and one that it can.
+REFUSED = {
+    "good": GROUND, "south": BoxRequest(bbox=(39.0, 60.0, -130.0, -110.0)), "north": BoxRequest(bbox=(40.0, 60.5, -130.0, -110.0)),
+    "west": BoxRequest(bbox=(40.0, 60.0, -131.0, -110.0)), "east": BoxRequest(bbox=(40.0, 60.0, -130.0, -109.0)),
+    "thin": BoxRequest(bbox=(42.0, 48.0, -130.0, -110.0)), "margin": BoxRequest(margin=2), "deep": BoxRequest(bottom_pressure=110000.0),
+    "high": BoxRequest(top_pressure=60000.0, bottom_pressure=90000.0), "upside_down": BoxRequest(top_pressure=90000.0, bottom_pressure=80000.0),
+}
+
+
+def request_refusals(spark, sf_dir):
+    return refusals(_state(spark, sf_dir), REFUSED)
+
+
+def budget_cropped(spark, sf_dir):
+    """The halo alone is stored, and the budget taken from it."""
+    state, box = _boxed(spark, sf_dir)
+    folder = fresh_folder(spark, "halo")
+    write_state(box.crop(state), folder)
+    return scaled_budget(run_budget(read_state(spark, folder), box))
+
+
 def resolved_box(spark, sf_dir):
     """One row: the bounds of the domain after snapping and margin."""
     spec = _boxed(spark, sf_dir, BoxRequest(bbox=(41.0, 59.0, -129.0, -111.0)))[1].spec
@@ -544,6 +572,9 @@ QUERIES: dict[str, Query] = {
     "load_merged": load_merged,
     "load_per_variable": load_per_variable,
     "quality_report_broken": quality_report_broken,
+    "quality_report_columns": quality_report_columns,
+    "request_refusals": request_refusals,
+    "budget_cropped": budget_cropped,
     "resolved_box": resolved_box,
     "constant_t": _summary(diagnostics.constant_temperature_check),
     "constant_t_budget": constant_t_budget,

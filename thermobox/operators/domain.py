@@ -277,6 +277,19 @@ def resolve_boxes(state: GridState, requests: Mapping[str, BoxRequest], axes: Da
     return {run: _snapped(state.upper.sparkSession, points[run], request) for run, request in requests.items()}
 
 
+def refusals(state: GridState, requests: Mapping[str, BoxRequest]) -> DataFrame:
+    """run, reason: why a request cannot be met on this grid; NULL where it can. One job for all requests."""
+    axes = coordinate_axes(state.upper) if state.axes is None else state.axes
+    points, rows = axis_points(axes, requests), []
+    for run, request in requests.items():
+        try:
+            _snapped(state.upper.sparkSession, points[run], request)
+            rows.append((run, None))
+        except ValueError as error:
+            rows.append((run, str(error)))
+    return state.upper.sparkSession.createDataFrame(rows, "run string, reason string")
+
+
 def _snapped(spark: SparkSession, by_axis: dict[str, AxisPoints], request: BoxRequest) -> Box:
     for name in ("level", "lat", "lon"):
         if name not in by_axis or by_axis[name].n < 2:

@@ -527,6 +527,30 @@ FROM dom WHERE level = 70000 GROUP BY time""",
         "closure": bud + f""" SELECT time, {kh("st", "dT_dt")}, {kh("-net_heat + adiabatic + diab", "dT_dt_from_terms")},
 {rnd("(-net_heat + adiabatic + diab) * 3600 / volume - st * 3600 / volume", "gap")} FROM bud""",
     }
+    out["quality_report_columns"] = """
+WITH have AS (SELECT CASE column_name WHEN 'ts' THEN 'time' ELSE column_name END AS name FROM information_schema.columns WHERE table_name = 'events'),
+need AS (SELECT 'dimensions_present' AS rule, unnest(['time', 'level', 'lat', 'lon', 'time', 'lat', 'lon']) AS name
+         UNION ALL SELECT 'variables_present', unnest(['T', 'u', 'v', 'w', 'sp']))
+SELECT rule, count(*) = 0 AS ok, count(*) AS n_bad
+FROM need WHERE name NOT IN (SELECT name FROM have) GROUP BY rule"""
+    out["request_refusals"] = "WITH" + GRID + """,
+asked(run, south, north, west, east, margin, top, bottom) AS (VALUES
+  ('good', 40, 60, -130, -110, 1, 70000, NULL), ('south', 39, 60, -130, -110, 1, 70000, NULL), ('north', 40, 60.5, -130, -110, 1, 70000, NULL),
+  ('west', 40, 60, -131, -110, 1, 70000, NULL), ('east', 40, 60, -130, -109, 1, 70000, NULL), ('thin', 42, 48, -130, -110, 1, 70000, NULL),
+  ('margin', 40, 60, -130, -110, 2, 70000, NULL), ('deep', 40, 60, -130, -110, 1, 70000, 110000), ('high', 40, 60, -130, -110, 1, 60000, 90000),
+  ('upside_down', 40, 60, -130, -110, 1, 90000, 80000)),
+size AS (SELECT min(lat) AS lat0, max(lat) AS lat1, min(lon) AS lon0, max(lon) AS lon1, min(level) AS p0, max(level) AS p1,
+                count(DISTINCT lat) AS n_lat, count(DISTINCT lon) AS n_lon FROM grid),
+starts AS (SELECT DISTINCT lat AS a, lat + 5 AS b FROM grid),
+touched AS (SELECT run, count(*) AS n FROM asked JOIN starts ON b > south AND a < north JOIN size ON a < lat1 GROUP BY run)
+SELECT run, CASE WHEN least(n_lat, n_lon) - 1 - 2 * margin <= 0 THEN 'margin is too large for this grid'
+                 WHEN south < lat0 OR north > lat1 THEN 'requested latitude range is outside the grid'
+                 WHEN west < lon0 OR east > lon1 THEN 'requested longitude range is outside the grid'
+                 WHEN bottom NOT BETWEEN p0 AND p1 THEN 'requested bottom pressure is outside the level range'
+                 WHEN bottom IS NOT NULL AND top NOT BETWEEN p0 AND p1 THEN 'requested top pressure is outside the level range'
+                 WHEN top >= bottom THEN 'the top pressure must be less than the bottom pressure'
+                 WHEN n - 2 * margin < 1 THEN 'domain too small after snapping to cells and applying the margin' END AS reason
+FROM asked JOIN touched USING (run), size"""
     out["merge_twins"] = "WITH" + GRID + f" SELECT time, level, lat, lon, {fields9} FROM grid"
     out["merge_clashes"] = "WITH" + GRID + f""",
 w3 AS (SELECT e, CASE WHEN e % 97 = 5 THEN w + 1 WHEN e % 89 <> 3 THEN w END AS w FROM grid WHERE e % 101 <> 7),
@@ -555,7 +579,7 @@ FROM (SELECT time, level, lat, lon, 'T' AS name, temp AS value, 'first,second' A
             ("whole", SURFACE, (40, 60, -130, -110)), ("south", SURFACE, (40, 55, -130, -110)),
             ("north_west", Variant(top=80000.0), (45, 60, -130, -115)),
             ("raised", LEVEL, (40, 60, -130, -110)), ("raised_east", LEVEL, (40, 60, -125, -110))))
-    for same, of in (("budget_incremental", "budget"), ("budget_stored", "budget"), ("budget_stored_blended", "budget_blended"), ("budget_appended", "budget"),
+    for same, of in (("budget_cropped", "budget"), ("budget_incremental", "budget"), ("budget_stored", "budget"), ("budget_stored_blended", "budget_blended"), ("budget_appended", "budget"),
                      ("budget_written", "budget"), ("budget_checked", "budget")):
         out[same] = out[of]
     return out
