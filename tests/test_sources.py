@@ -202,6 +202,24 @@ def test_number_of_files_follows_the_data(spark, state, tmp_path):
     assert many.select("date", "tile_lat", "tile_lon").distinct().count() == 1 and len(many.inputFiles()) > 1
 
 
+def test_report_of_a_stored_state_reads_no_cell(spark, state, tmp_path):
+    """Also after days were added and written again, and with a repeated and a missing point."""
+    from dataclasses import replace
+
+    upper = with_unit(state.upper, "T", "K")
+    spoiled = upper.where("NOT (level = 90000 AND lat = 45 AND lon = -125)").unionByName(upper.where("level = 80000 AND lat = 40 AND lon = -130"))
+    later = GridState(spoiled.withColumn("time", F.expr("time + interval 1 day")), state.surface.withColumn("time", F.expr("time + interval 1 day")))
+    write_state(GridState(upper, state.surface), f"{tmp_path}/s")
+    write_state(later, f"{tmp_path}/s", append=True)
+    stored = read_state(spark, f"{tmp_path}/s")
+    sealed = replace(stored, upper=stored.upper.withColumn("lat", F.raise_error(F.lit("a cell was read")).cast("double")))
+    n = state.upper.select("time").distinct().count()
+    found = {r.rule: r.n_bad for r in quality_report(sealed).collect()}
+    assert (found["keys_unique"], found["grid_dense"]) == (n, n) and found == {r.rule: r.n_bad for r in quality_report(replace(stored, summary=None)).collect()}
+    write_state(GridState(later.upper.where("false").unionByName(upper.withColumn("time", F.expr("time + interval 1 day"))), later.surface), f"{tmp_path}/s", append=True)
+    assert all(r.ok for r in quality_report(read_state(spark, f"{tmp_path}/s")).collect() if r.rule in ("keys_unique", "grid_dense"))
+
+
 def test_slice_prunes_date_folders(spark, state, tmp_path):
     write_state(state, f"{tmp_path}/s")
     sliced = slice_time(read_state(spark, f"{tmp_path}/s").upper, "2000-01-01T01", "2000-01-01T03")

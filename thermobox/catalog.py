@@ -172,6 +172,17 @@ def quality(spark, sf_dir):
     return quality_report(GridState(points, _state(spark, sf_dir).surface), order="event_id")
 
 
+def quality_stored(spark, sf_dir):
+    """The report of a state written in two parts, from the counts kept with it."""
+    folder = fresh_folder(spark, "state")
+    points = with_unit(gridded_events(spark.read.parquet(f"{sf_dir}/events.parquet")), "T", "K").select(*UPPER_KEYS, *UPPER_FIELDS)
+    state = GridState(points, _state(spark, sf_dir).surface)
+    split = F.lit("2024-01-03 00:00:00").cast("timestamp_ntz")
+    write_state(state.restrict(F.col("time") < split), folder)
+    write_state(state.restrict(F.col("time") >= split), folder, append=True)
+    return quality_report(read_state(spark, folder))
+
+
 def event_hours(spark, sf_dir) -> DataFrame:
     """Mean of `value` per clock hour."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -573,6 +584,7 @@ QUERIES: dict[str, Query] = {
     "load_per_variable": load_per_variable,
     "quality_report_broken": quality_report_broken,
     "quality_report_columns": quality_report_columns,
+    "quality_report_stored": quality_stored,
     "request_refusals": request_refusals,
     "budget_cropped": budget_cropped,
     "resolved_box": resolved_box,

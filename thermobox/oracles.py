@@ -579,7 +579,7 @@ FROM (SELECT time, level, lat, lon, 'T' AS name, temp AS value, 'first,second' A
             ("whole", SURFACE, (40, 60, -130, -110)), ("south", SURFACE, (40, 55, -130, -110)),
             ("north_west", Variant(top=80000.0), (45, 60, -130, -115)),
             ("raised", LEVEL, (40, 60, -130, -110)), ("raised_east", LEVEL, (40, 60, -125, -110))))
-    for same, of in (("budget_cropped", "budget"), ("budget_incremental", "budget"), ("budget_stored", "budget"), ("budget_stored_blended", "budget_blended"), ("budget_appended", "budget"),
+    for same, of in (("quality_report_stored", "quality_report"), ("budget_cropped", "budget"), ("budget_incremental", "budget"), ("budget_stored", "budget"), ("budget_stored_blended", "budget_blended"), ("budget_appended", "budget"),
                      ("budget_written", "budget"), ("budget_checked", "budget")):
         out[same] = out[of]
     return out

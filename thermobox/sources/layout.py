@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from thermobox.operators.axes import Tiling, coordinate_axes, tile_starts
 from thermobox.session import materialise
-from thermobox.sources.state import UPPER_FIELDS, GridState
+from thermobox.sources.quality import cells_per_time, read_axes
+from thermobox.sources.state import UPPER_FIELDS, UPPER_KEYS, GridState
 
 #: Latitudes and longitudes of a tile, and the most tiles along an axis: a longer axis has larger tiles.
 TILE_POINTS, MOST_TILES = 36, 256
@@ -26,6 +27,9 @@ def write_state(
     Rows are dealt by date and tile without sampling; the number of tasks follows from the size of the data, as small
     shares are put together and large ones cut at run time. `append` adds days, or replaces the tiles of
     days that `state` holds, and leaves the others as they are; the tiles are those of the first write.
+
+    Rows and distinct cells of each hour are counted from the keys of the days just written and kept by date, so that the
+    quality report of a stored state reads no cell.
     """
     spark = state.upper.sparkSession
     axes = materialise(coordinate_axes(state.upper) if state.axes is None else state.axes)
@@ -37,14 +41,22 @@ def write_state(
     rows = state.rows(UPPER_FIELDS, surface_fields).withColumns(
         {"date": F.to_date("time"), "tile_lat": tiling.column("lat"), "tile_lon": tiling.column("lon")}
     )
+    written = Observation("written")
     (
-        rows.hint("rebalance", *keys)
+        rows.observe(written, F.min("date").alias("first"), F.max("date").alias("last")).hint("rebalance", *keys)
         .sortWithinPartitions(*keys, "lat", "lon", "time", "level")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if append else "static")
         .partitionBy(*keys)
         .parquet(f"{path}/cells")
     )
     axes.coalesce(1).write.mode("append" if append else "overwrite").parquet(f"{path}/axes")
+    days = F.col("date").between(F.lit(written.get["first"]), F.lit(written.get["last"]))
+    stored = GridState(spark.read.parquet(f"{path}/cells").where(days), axes=spark.read.parquet(f"{path}/axes").distinct())
+    counts = cells_per_time(stored.upper, read_axes(stored), UPPER_KEYS[1:]).withColumn("date", F.to_date("time"))
+    (
+        counts.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if append else "static")
+        .partitionBy("date").parquet(f"{path}/summary")
+    )
 
 
 def read_tiling(spark: SparkSession, path: str) -> Tiling | None:
@@ -61,7 +73,8 @@ def read_tiling(spark: SparkSession, path: str) -> Tiling | None:
 def read_state(spark: SparkSession, path: str) -> GridState:
     """A table made by write_state, with its coordinates and tiles. Filters on `date` and tiles prune folders."""
     axes = spark.read.parquet(f"{path}/axes").distinct()
-    return GridState(spark.read.parquet(f"{path}/cells"), axes=axes, tiling=read_tiling(spark, path))
+    summary = spark.read.parquet(f"{path}/summary").drop("date")
+    return GridState(spark.read.parquet(f"{path}/cells"), axes=axes, tiling=read_tiling(spark, path), summary=summary)
 
 
 def write_budget(table: DataFrame, path: str) -> None:

@@ -93,7 +93,8 @@ def quality_report(state: GridState, order: str | None = None) -> DataFrame:
     """All rules as rows. When columns are missing, only the column rules are given.
 
     `order` names a column of the 4-D rows with the source position; without it the
-    table has no order of its own and the axis rules hold by sorting.
+    table has no order of its own and the axis rules hold by sorting. Of a stored state the counts taken while
+    it was written serve, and no cell is read.
     """
     spark = state.upper.sparkSession
     schema = T.StructType([T.StructField("rule", T.StringType()), T.StructField("ok", T.BooleanType()),
@@ -103,7 +104,8 @@ def quality_report(state: GridState, order: str | None = None) -> DataFrame:
         return spark.createDataFrame([(rule, bad == 0, bad) for rule, bad in fixed], schema)
 
     axes = read_axes(state)
-    hours = materialise(cells_per_time(state.upper, axes, ("level", "lat", "lon")))
+    counted = cells_per_time(state.upper, axes, UPPER_KEYS[1:]) if state.summary is None else state.summary
+    hours = materialise(counted)
     whole = hours.agg(F.sum("n_rows").alias("rows"), F.sum("n_cells").alias("cells"), F.count("time").alias("times")).first()
     rows, cells, times = (whole[name] or 0 for name in ("rows", "cells", "times"))
     n_level, n_lat, n_lon = (axes.sizes[axis] for axis in ("level", "lat", "lon"))

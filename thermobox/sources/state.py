@@ -34,7 +34,8 @@ class GridState:
     the layout the writer makes, and it lets a budget run without joining two large tables.
     `axes` (axis, value) are the coordinates where they are known without reading `upper`. With a `tiling`
     the rows carry tile_lat and tile_lon, by which whole files can be left out. `hours` (time) are the hours that a result
-    shall have although a box may hold no row of them.
+    shall have although a box may hold no row of them. `summary` (time, n_rows, n_cells) counts rows and distinct cells per
+    hour where the writer has done so.
     """
 
     upper: DataFrame
@@ -42,6 +43,7 @@ class GridState:
     axes: DataFrame | None = None
     tiling: Tiling | None = None
     hours: DataFrame | None = None
+    summary: DataFrame | None = None
 
     @property
     def wide(self) -> bool:
@@ -49,9 +51,8 @@ class GridState:
 
     def restrict(self, keep: Column) -> GridState:
         """Filter both tables by a condition on time, lat and lon."""
-        return replace(
-            self, upper=self.upper.where(keep), surface=None if self.wide else self.surface.where(keep)
-        )
+        surface = None if self.wide else self.surface.where(keep)
+        return replace(self, upper=self.upper.where(keep), surface=surface, summary=None)
 
     def rows(self, fields: Sequence[str], surface_fields: Sequence[str]) -> DataFrame:
         """4-D rows with the ground values of their column.
