@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from thermobox.operators.axes import Tiling, coordinate_axes, tile_starts
 from thermobox.session import materialise
@@ -36,7 +38,7 @@ def write_state(
     tiling = read_tiling(spark, path) if append else None
     if tiling is None:
         tile_starts(axes, tile_points, MOST_TILES).coalesce(1).write.mode("overwrite").parquet(f"{path}/tiles")
-        tiling = read_tiling(spark, path)
+        tiling = read_tiling(spark, path) or Tiling((), ())
     keys = ("date", "tile_lat", "tile_lon")
     rows = state.rows(UPPER_FIELDS, surface_fields).withColumns(
         {"date": F.to_date("time"), "tile_lat": tiling.column("lat"), "tile_lon": tiling.column("lon")}
@@ -50,8 +52,12 @@ def write_state(
         .parquet(f"{path}/cells")
     )
     axes.coalesce(1).write.mode("append" if append else "overwrite").parquet(f"{path}/axes")
-    days = F.col("date").between(F.lit(written.get["first"]), F.lit(written.get["last"]))
-    stored = GridState(spark.read.parquet(f"{path}/cells").where(days), axes=spark.read.parquet(f"{path}/axes").distinct())
+    try:
+        first, last = (written.get[name] for name in ("first", "last"))
+    except Py4JJavaError:  # of a period without rows Spark drops the observation with the rest of the plan
+        first = last = None
+    days = F.col("date").between(F.lit(first).cast("date"), F.lit(last).cast("date"))
+    stored = GridState(spark.read.schema(rows.schema).parquet(f"{path}/cells").where(days), axes=_read_axes(spark, path))
     counts = cells_per_time(stored.upper, read_axes(stored), UPPER_KEYS[1:]).withColumn("date", F.to_date("time"))
     (
         counts.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if append else "static")
@@ -60,21 +66,28 @@ def write_state(
 
 
 def read_tiling(spark: SparkSession, path: str) -> Tiling | None:
-    """The tiles of a written state, at most 2 x MOST_TILES numbers; None where nothing has been written."""
+    """The tiles of a written state, at most 2 x MOST_TILES numbers; None where no row has been written."""
     try:
-        rows = spark.read.parquet(f"{path}/tiles").orderBy("start").collect()
+        rows = spark.read.schema("axis string, tile int, start double").parquet(f"{path}/tiles").orderBy("start").collect()
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
+    if not rows:
+        return None
     return Tiling(*(tuple(r["start"] for r in rows if r["axis"] == axis) for axis in ("lat", "lon")))
 
 
 def read_state(spark: SparkSession, path: str) -> GridState:
     """A table made by write_state, with its coordinates and tiles. Filters on `date` and tiles prune folders."""
-    axes = spark.read.parquet(f"{path}/axes").distinct()
-    summary = spark.read.parquet(f"{path}/summary").drop("date")
-    return GridState(spark.read.parquet(f"{path}/cells"), axes=axes, tiling=read_tiling(spark, path), summary=summary)
+    cells = spark.read.parquet(f"{path}/cells")
+    counts = T.StructType([cells.schema["time"], *(T.StructField(n, T.LongType()) for n in ("n_rows", "n_cells")), T.StructField("date", T.DateType())])
+    summary = spark.read.schema(counts).parquet(f"{path}/summary").drop("date")
+    return GridState(cells, axes=_read_axes(spark, path), tiling=read_tiling(spark, path), summary=summary)
+
+
+def _read_axes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("axis string, value double").parquet(f"{path}/axes").distinct()
 
 
 def write_budget(table: DataFrame, path: str) -> None:
