@@ -152,3 +152,35 @@ def test_other_hours_are_refused(spark, two_days, tmp_path):
         read_run(spark, f"{tmp_path}/nothing")
     write_moments(days(two_days, 2), BoxRequest((0, 30, 100, 125), top_pressure=7e4), OVERFLOW, f"{tmp_path}/m")  # without append: anew
     assert read_run(spark, f"{tmp_path}/m").spec.lon == (105.0, 120.0)
+
+
+def test_hours_of_many_days_are_few_files(spark, tmp_path):
+    """Stored by year; days of one year are replaced without touching the others of that year, with or without a time."""
+    import datetime as dt
+
+    from thermobox.sources.layout import read_hours, write_hours
+
+    schema = "time timestamp_ntz, value double"
+    times = [dt.datetime(1999, 12, 1) + dt.timedelta(hours=6 * i) for i in range(240)]
+
+    def hourly(chosen, value):
+        return spark.createDataFrame([(t, value) for t in chosen], schema).repartition(8)
+
+    write_hours(hourly([*times, None], 1.0), f"{tmp_path}/h", append=True)  # nothing is stored yet
+    assert len(spark.read.parquet(f"{tmp_path}/h").inputFiles()) == 3
+    again = [t for t in times if t.date() in (dt.date(1999, 12, 31), dt.date(2000, 1, 2))][1:]  # one hour is no longer given
+    write_hours(hourly([*again, None], 2.0), f"{tmp_path}/h", append=True)
+    write_hours(hourly([], 3.0), f"{tmp_path}/h", append=True)
+    found = read_hours(spark, f"{tmp_path}/h", hourly([], 0.0).schema)
+    assert len(found.inputFiles()) == 3
+    expected = [(t, 2.0 if t in again or t is None else 1.0) for t in [*times, None] if t != again[0] - dt.timedelta(hours=6)]
+    assert sorted(((r.time, r.value) for r in found.collect()), key=str) == sorted(expected, key=str)
+    write_hours(hourly(again, 4.0), f"{tmp_path}/h")
+    assert read_hours(spark, f"{tmp_path}/h", hourly([], 0.0).schema).count() == len(again)
+
+
+def test_moments_of_many_days_are_few_files(spark, tmp_path):
+    state = noisy(spark, hours(24 * 12)[::12])
+    write_moments(state, BOX, OVERFLOW, f"{tmp_path}/m")
+    assert len(spark.read.parquet(f"{tmp_path}/m/hours").inputFiles()) == 1
+    assert read_run(spark, f"{tmp_path}/m").moments.length == 24

@@ -11,11 +11,11 @@ from dataclasses import asdict
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from thermobox.operators.domain import Box, resolve_box
 from thermobox.operators.series import index_by
 from thermobox.plans.budget import BudgetRun, hourly_moments
+from thermobox.sources.layout import write_hours
 from thermobox.sources.state import GridState
 from thermobox.specs import BoxRequest, BoxSpec, SurfacePolicy
 
@@ -33,7 +33,7 @@ def _stated(spark: SparkSession, path: str) -> dict | None:
 def write_moments(
     state: GridState, request: BoxRequest | Box, policy: SurfacePolicy, path: str, append: bool = False
 ) -> None:
-    """Store the hourly sums of `state` by date. With `append` the days of `state` are added or replaced.
+    """Store the hourly sums of `state` by year. With `append` the days of `state` are added or replaced.
 
     The box, snapped to the grid, and the policy must be those of the stored hours.
     """
@@ -43,9 +43,7 @@ def write_moments(
     known = _stated(spark, path) if append else None
     if known is not None and known != wanted:
         raise ValueError(f"the stored hours are of {known}, not of {wanted}")
-    hours = hourly_moments(state, box, policy).withColumn("date", F.to_date("time"))
-    writer = hours.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if append else "static")
-    writer.partitionBy("date").parquet(f"{path}/hours")
+    write_hours(hourly_moments(state, box, policy), f"{path}/hours", append)
     if known is None:
         spark.createDataFrame([(json.dumps(wanted),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/box")
 
@@ -56,4 +54,4 @@ def read_run(spark: SparkSession, path: str) -> BudgetRun:
     if stated is None:
         raise ValueError(f"no hours are stored in {path}")
     spec = BoxSpec(**{k: tuple(v) if isinstance(v, list) else v for k, v in stated["spec"].items()})
-    return BudgetRun(spec, index_by(spark.read.parquet(f"{path}/hours").drop("date")))
+    return BudgetRun(spec, index_by(spark.read.parquet(f"{path}/hours").drop("year")))

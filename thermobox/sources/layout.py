@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from thermobox.operators.axes import Tiling, coordinate_axes, tile_starts
-from thermobox.session import materialise
+from thermobox.session import materialise, stored as written_rows
 from thermobox.sources.quality import cells_per_time, read_axes
 from thermobox.sources.state import UPPER_FIELDS, UPPER_KEYS, GridState
 
@@ -30,7 +30,7 @@ def write_state(
     shares are put together and large ones cut at run time. `append` adds days, or replaces the tiles of
     days that `state` holds, and leaves the others as they are; the tiles are those of the first write.
 
-    Rows and distinct cells of each hour are counted from the keys of the days just written and kept by date, so that the
+    Rows and distinct cells of each hour are counted from the keys of the days just written and kept per hour, so that the
     quality report of a stored state reads no cell.
     """
     spark = state.upper.sparkSession
@@ -58,13 +58,42 @@ def write_state(
         first = last = None
     days = F.col("date").between(F.lit(first).cast("date"), F.lit(last).cast("date"))
     stored = GridState(spark.read.schema(rows.schema).parquet(f"{path}/cells").where(days), axes=_read_axes(spark, path))
-    counts = cells_per_time(stored.upper, read_axes(stored), UPPER_KEYS[1:]).withColumn("date", F.to_date("time"))
+    write_hours(cells_per_time(stored.upper, read_axes(stored), UPPER_KEYS[1:]), f"{path}/summary", append)
+
+
+def write_hours(hours: DataFrame, path: str, append: bool = False) -> None:
+    """A per-hour table by year, one file of some thousand rows each. With `append` the days of `hours` replace the stored ones.
+
+    Folders by day would hold 24 rows, so that a long series spent its time on opening and listing files. The years that get
+    days are read and written again with what they hold of other days, so `hours` is stored first: it is needed three times.
+    """
+    days = {"year": F.year("time"), "date": F.to_date("time")}
+    new = written_rows(hours, "hours") if append else hours
+    rows = new.withColumns(days)
+    held = read_hours(hours.sparkSession, path, new.schema) if append else None
+    if held is not None:
+        years = [r["year"] for r in rows.select("year").distinct().collect()]
+        year = F.col("year").isin(*[y for y in years if y is not None])
+        own = F.broadcast(rows.select(F.col("date").alias("day")).distinct())
+        held = held.where(year | F.col("year").isNull() if None in years else year).withColumn("date", F.to_date("time"))
+        rows = rows.unionByName(held.join(own, F.col("date").eqNullSafe(F.col("day")), "left_anti"))
     (
-        counts.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if append else "static")
-        .partitionBy("date").parquet(f"{path}/summary")
+        rows.drop("date").hint("rebalance", "year").sortWithinPartitions("year", "time")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if append else "static")
+        .partitionBy("year").parquet(path)
     )
 
 
+def read_hours(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    """The rows of write_hours with their `year`; None where nothing has been written."""
+    try:
+        return spark.read.schema(T.StructType([*schema, T.StructField("year", T.IntegerType())])).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def read_tiling(spark: SparkSession, path: str) -> Tiling | None:
     """The tiles of a written state, at most 2 x MOST_TILES numbers; None where no row has been written."""
     try:
@@ -81,9 +110,9 @@ def read_tiling(spark: SparkSession, path: str) -> Tiling | None:
 def read_state(spark: SparkSession, path: str) -> GridState:
     """A table made by write_state, with its coordinates and tiles. Filters on `date` and tiles prune folders."""
     cells = spark.read.parquet(f"{path}/cells")
-    counts = T.StructType([cells.schema["time"], *(T.StructField(n, T.LongType()) for n in ("n_rows", "n_cells")), T.StructField("date", T.DateType())])
-    summary = spark.read.schema(counts).parquet(f"{path}/summary").drop("date")
-    return GridState(cells, axes=_read_axes(spark, path), tiling=read_tiling(spark, path), summary=summary)
+    counts = T.StructType([cells.schema["time"], *(T.StructField(n, T.LongType()) for n in ("n_rows", "n_cells"))])
+    summary = read_hours(spark, f"{path}/summary", counts)
+    return GridState(cells, axes=_read_axes(spark, path), tiling=read_tiling(spark, path), summary=None if summary is None else summary.drop("year"))
 
 
 def _read_axes(spark: SparkSession, path: str) -> DataFrame:
