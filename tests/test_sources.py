@@ -349,3 +349,21 @@ def test_source_order_rules(good):
     rising = good.upper.withColumn("row", F.col("level") * 1000 + F.col("lat"))
     bad = report(GridState(with_unit(rising, "T", "K"), good.surface), "row")
     assert bad["levels_descending"] == 3 and bad["latitudes_ascending"] == 0
+
+
+def test_merged_raw_table_has_one_file_per_day(spark, tmp_path, monkeypatch):
+    """Also where many tasks hold rows of every day."""
+    from thermobox import catalog
+
+    monkeypatch.setattr(catalog, "fresh_folder", lambda _, name: f"{tmp_path}/{name}")
+    changed = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in changed}
+    try:
+        for name, value in changed.items():
+            spark.conf.set(name, value)
+        catalog.load_merged(spark, "/root/testdata/sf0.01")
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    raw = spark.read.parquet(f"{tmp_path}/merged")
+    assert len(raw.inputFiles()) == raw.select("date").distinct().count()

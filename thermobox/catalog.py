@@ -467,7 +467,8 @@ def load_merged(spark, sf_dir):
     raw = raw.withColumnsRenamed({**{n: names[n] for n in fields}, "time": "valid_time", "level": "isobaricInhPa"})
     raw = raw.withColumns({"isobaricInhPa": F.col("isobaricInhPa") / 100, "lon": F.col("lon") + 360})
     folder = fresh_folder(spark, "merged")
-    raw.write.partitionBy("date").parquet(folder)
+    # Dealt by day: else every task of the join writes a file for every day.
+    raw.hint("rebalance", "date").sortWithinPartitions("date").write.partitionBy("date").parquet(folder)
     state = load_state(spark, SourceSpec("merged", folder, "2024-01-01T02", "2024-01-02T05"), BLENDED)
     return rounded(state.upper.select(*UPPER_KEYS, *fields), 9)
 
