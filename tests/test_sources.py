@@ -367,3 +367,13 @@ def test_merged_raw_table_has_one_file_per_day(spark, tmp_path, monkeypatch):
             spark.conf.set(name, value)
     raw = spark.read.parquet(f"{tmp_path}/merged")
     assert len(raw.inputFiles()) == raw.select("date").distinct().count()
+
+
+def test_counts_of_many_days_are_few_files(spark, tmp_path):
+    """The counts kept with a stored state are one file a year, however many days it has."""
+    many = make_state(spark, **GRID, times=[dt.datetime(2000, 12, 26) + dt.timedelta(hours=12 * i) for i in range(24)])
+    write_state(many, f"{tmp_path}/s")
+    assert len(spark.read.parquet(f"{tmp_path}/s/summary").inputFiles()) == 2
+    stored = read_state(spark, f"{tmp_path}/s")
+    assert stored.summary.columns == ["time", "n_rows", "n_cells"] and stored.summary.count() == 24
+    assert {r.n_cells for r in stored.summary.collect()} == {100}
