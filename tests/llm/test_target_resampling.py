@@ -76,3 +76,11 @@ def test_empty_tables(spark):
     assert t.op11(none, none.selectExpr("doc_id AS item_id", "text")).collect() == []
     one = spark.createDataFrame([(5, "a b")], SCHEMA)
     assert [tuple(r) for r in t.op11(one, none.selectExpr("doc_id AS item_id", "text")).collect()] == brute([(5, "a b")], [])
+
+
+@pytest.mark.parametrize("head", [t.Head((), ()), t.Head((b"sit", b"ipsum", b"lorem"), ((2, 1),))])
+def test_any_head_gives_the_same_draw(spark, monkeypatch, head):
+    docs = [(i, f"{'lorem ipsum ' * (i % 7)}dolor w{i} sit amet " * 8) for i in range(60)]
+    monkeypatch.setattr(t, "learn_head", lambda _: head)
+    found = t.op11(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([(1, "lorem dolor sit")], "item_id long, text string"))
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(brute(docs, ["lorem dolor sit"]), key=key)
