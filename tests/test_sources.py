@@ -377,3 +377,13 @@ def test_counts_of_many_days_are_few_files(spark, tmp_path):
     stored = read_state(spark, f"{tmp_path}/s")
     assert stored.summary.columns == ["time", "n_rows", "n_cells"] and stored.summary.count() == 24
     assert {r.n_cells for r in stored.summary.collect()} == {100}
+
+
+def test_counts_of_added_days_join_their_year(spark, tmp_path):
+    many = make_state(spark, **GRID, times=[dt.datetime(2000, 3, 1) + dt.timedelta(hours=12 * i) for i in range(12)])
+    late = F.col("time") >= F.lit("2000-03-03 00:00:00").cast("timestamp_ntz")
+    write_state(many.restrict(~late), f"{tmp_path}/s")
+    write_state(many.restrict(late), f"{tmp_path}/s", append=True)
+    stored = read_state(spark, f"{tmp_path}/s")
+    assert len(spark.read.parquet(f"{tmp_path}/s/summary").inputFiles()) == 1 and stored.summary.count() == 12
+    assert {(r.n_rows, r.n_cells) for r in stored.summary.collect()} == {(100, 100)}
