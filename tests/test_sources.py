@@ -387,3 +387,46 @@ def test_counts_of_added_days_join_their_year(spark, tmp_path):
     stored = read_state(spark, f"{tmp_path}/s")
     assert len(spark.read.parquet(f"{tmp_path}/s/summary").inputFiles()) == 1 and stored.summary.count() == 12
     assert {(r.n_rows, r.n_cells) for r in stored.summary.collect()} == {(100, 100)}
+
+
+def test_small_tiles_share_a_folder_a_month(spark, tmp_path):
+    """Folders of a long series of a small grid; `date` stays the day of the row, and slices read their months only."""
+    many = make_state(spark, **GRID, times=[dt.datetime(2000, 1, 25) + dt.timedelta(hours=12 * i) for i in range(90)])
+    write_state(many, f"{tmp_path}/s")
+    upper = read_state(spark, f"{tmp_path}/s").upper
+    assert len(upper.inputFiles()) == 3  # January to March, not 45 days
+    assert upper.where("date <=> to_date(time)").count() == upper.count() == 9000
+    assert upper.where("date = DATE'2000-02-10'").count() == 200
+    sliced = slice_time(upper, "2000-02-10", "2000-02-12T00")
+    assert sliced.select("time").distinct().count() == 5
+    opened = {r.name.split("date=")[1][:10] for r in sliced.select(F.input_file_name().alias("name")).distinct().collect()}
+    assert opened == {"2000-02-01"}
+    lying = spark.read.parquet(f"{tmp_path}/s/cells")
+    assert slice_time(lying, "2000-02-10", "2000-02-12T00").count() == 500
+
+
+def test_large_tiles_keep_a_folder_a_day(spark, tmp_path, monkeypatch):
+    from thermobox.sources import layout
+
+    many = make_state(spark, **GRID, times=[dt.datetime(2000, 1, 30) + dt.timedelta(hours=12 * i) for i in range(8)], T=lambda t, k, i, j: 280.0 + t + k)
+    write_state(many, f"{tmp_path}/months")
+    monkeypatch.setattr(layout, "MONTH_ROWS", 100 * 744 - 1)
+    write_state(many, f"{tmp_path}/days")
+    months, days = (read_state(spark, f"{tmp_path}/{name}") for name in ("months", "days"))
+    assert len(months.upper.inputFiles()) == 2 and len(days.upper.inputFiles()) == 4
+    assert (months.tiling.monthly, days.tiling.monthly) == (True, False) and "since" not in days.upper.columns
+    assert months.upper.drop("since").select(days.upper.columns).exceptAll(days.upper).isEmpty()
+    same_budget(months, days)
+
+
+def test_coordinates_come_from_the_keys_of_the_variables(spark, state, tmp_path):
+    """Without merging them; also a point that one variable alone has, and after a slice."""
+    tables = raw_tables(state)
+    tables["w"] = tables["w"].unionByName(tables["w"].where("hour(valid_time) = 2").limit(1).withColumn("latitude", F.lit(77.0)))
+    for name, table in tables.items():
+        table.write.parquet(f"{tmp_path}/{VARIABLE_FILES[name][0]}.parquet")
+    source = SourceSpec("per_variable", str(tmp_path), "2000-01-01T01", None, units={"T": "C", "T2m": "K"})
+    loaded = load_state(spark, source, coordinates=True)
+    assert load_state(spark, source).axes is None
+    assert plan_of(loaded.axes).count("Exchange") == 1 and not loaded.axes.where("axis = 'lat' AND value = 77").isEmpty()
+    assert sorted(map(tuple, loaded.axes.collect())) == sorted(map(tuple, coordinate_axes(loaded.upper).collect()))

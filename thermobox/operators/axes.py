@@ -8,6 +8,7 @@ blocks of consecutive numbers, and ranges are plain aggregates.
 from __future__ import annotations
 
 import bisect
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -80,10 +81,14 @@ def order_breaks(points: DataFrame, order: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Tiling:
-    """Starts of the tiles along latitude and longitude, rising; a tile reaches to the next start, the outer ones have no end."""
+    """Starts of the tiles along latitude and longitude, rising; a tile reaches to the next start, the outer ones have no end.
+
+    Where a tile has few rows, `monthly`, its folders hold a month each instead of a day.
+    """
 
     lat: tuple[float, ...]
     lon: tuple[float, ...]
+    monthly: bool = False
 
     def number(self, axis: str, value: float) -> int:
         return max(0, bisect.bisect_right(getattr(self, axis), value) - 1)
@@ -100,6 +105,12 @@ class Tiling:
 
         return within(0, max(1, len(starts))).cast("int")
 
+    def folders(self) -> dict[str, Column]:
+        """The columns that say in which folder a row lies; monthly ones start on `date`, and the row keeps its `day`."""
+        day = F.to_date("time")
+        dates = {"date": F.trunc(day, "month"), "day": day} if self.monthly else {"date": day}
+        return {**dates, "tile_lat": self.column("lat"), "tile_lon": self.column("lon")}
+
     def between(self, axis: str, low: float, high: float) -> Column:
         return F.col(f"tile_{axis}").between(self.number(axis, low), self.number(axis, high))
 
@@ -115,3 +126,10 @@ def tile_starts(axes: DataFrame, points: int, most: int) -> DataFrame:
     wide = F.broadcast(places.groupBy("axis").agg(span.alias("span")))  # one row per axis
     first = places.join(wide, "axis").where(F.col("id") % F.col("span") == 0)
     return first.select("axis", F.expr("int(id div span)").alias("tile"), F.col("value").alias("start"))
+
+
+def rows_per_hour(axes: DataFrame, points: int, most: int) -> int:
+    """The most rows an hour has in one of the tiles that `tile_starts` makes."""
+    sizes = {r["axis"]: r["count"] for r in axes.groupBy("axis").count().collect()}  # three numbers
+    sides = [min(n, max(points, math.ceil(n / most))) for n in (sizes.get("lat", 0), sizes.get("lon", 0))]
+    return sizes.get("level", 0) * sides[0] * sides[1]

@@ -26,6 +26,6 @@ def run_source(
 ) -> tuple[BudgetRun, BudgetRun]:
     """Load, store as a wide table in `folder`, validate what is stored, run; also the run with constant T."""
     fields = tuple(name for name in wanted_fields(policy) if name not in UPPER_FIELDS)
-    write_state(load_state(spark, source, policy), folder, fields)
+    write_state(load_state(spark, source, policy, coordinates=True), folder, fields)
     run = checked_run(read_state(spark, folder), request, policy)
     return run, run.constant_temperature()

@@ -152,19 +152,21 @@ def slice_time(df: DataFrame, start: str | None, end: str | None) -> DataFrame:
     """Keep start <= time <= end; a partial end date includes the whole period it names.
 
     The bounds are literals of the type of the column, so they reach the scan. A stored
-    state also has its `date` folders cut.
+    state also has its `date` folders cut, or its folders by month, which begin on `since`.
     """
     kind = df.schema["time"].dataType
-    by_date = "date" in df.columns and isinstance(df.schema["date"].dataType, T.DateType)
+    folder = "since" if "since" in df.columns else "date"
+    by_date = folder in df.columns and isinstance(df.schema[folder].dataType, T.DateType)
+    by_month = folder == "since" or "day" in df.columns  # of cells read as they lie `date` is the first day of the folder
     condition = F.lit(True)
     if start is not None:
         first = _period(start)[0]
         condition = condition & (F.col("time") >= F.lit(first.isoformat(sep=" ")).cast(kind))
         if by_date:
-            condition = condition & (F.col("date") >= F.lit(first.date()))
+            condition = condition & (F.col(folder) >= F.lit(first.date().replace(day=1) if by_month else first.date()))
     if end is not None:
         after = _period(end)[1]
         condition = condition & (F.col("time") < F.lit(after.isoformat(sep=" ")).cast(kind))
         if by_date:
-            condition = condition & (F.col("date") <= F.lit(after.date()))
+            condition = condition & (F.col(folder) <= F.lit(after.date()))
     return df.where(condition)
