@@ -430,3 +430,21 @@ def test_coordinates_come_from_the_keys_of_the_variables(spark, state, tmp_path)
     assert load_state(spark, source).axes is None
     assert plan_of(loaded.axes).count("Exchange") == 1 and not loaded.axes.where("axis = 'lat' AND value = 77").isEmpty()
     assert sorted(map(tuple, loaded.axes.collect())) == sorted(map(tuple, coordinate_axes(loaded.upper).collect()))
+
+
+def test_added_days_join_their_month(spark, tmp_path):
+    """Days of a month that are written again are replaced, tile by tile; the other days of their folders stay."""
+    times = [dt.datetime(2000, 1, 30) + dt.timedelta(hours=12 * i) for i in range(12)]
+    first = make_state(spark, **GRID, times=times, T=lambda t, k, i, j: 280.0 + t)
+    second = make_state(spark, **GRID, times=times, T=lambda t, k, i, j: 290.0 + t)
+    early = F.col("time") < F.lit("2000-02-03 00:00:00").cast("timestamp_ntz")
+    again = (F.to_date("time") == F.lit("2000-02-01").cast("date")) & (F.col("lat") >= 50)
+    write_state(first.restrict(early), f"{tmp_path}/s", tile_points=2)
+    write_state(first.restrict(~early), f"{tmp_path}/s", append=True)
+    write_state(second.restrict(again), f"{tmp_path}/s", append=True)
+    stored = read_state(spark, f"{tmp_path}/s")
+    wanted = first.restrict(~again).rows(("T",), ("sp",)).unionByName(second.restrict(again).rows(("T",), ("sp",)))
+    found = stored.upper.select(*wanted.columns)
+    assert stored.upper.select("since").distinct().count() == 2 and found.count() == wanted.count() == 1200
+    assert found.exceptAll(wanted).isEmpty()
+    assert {(r.n_rows, r.n_cells) for r in stored.summary.collect()} == {(100, 100)} and stored.summary.count() == 12
