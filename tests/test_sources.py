@@ -220,6 +220,22 @@ def test_report_of_a_stored_state_reads_no_cell(spark, state, tmp_path):
     assert all(r.ok for r in quality_report(read_state(spark, f"{tmp_path}/s")).collect() if r.rule in ("keys_unique", "grid_dense"))
 
 
+def test_cells_of_an_hour_are_counted_in_hash_aggregates(spark):
+    """Repeats, a last cell in a word of its own and places off the axes; no buffer of a whole bitmap an hour and task."""
+    from thermobox.sources.quality import cells_per_time, read_axes
+
+    grid = make_state(spark, level=LEVELS[:1], lat=range(5), lon=range(13), times=hours(2)).upper  # 65 cells
+    axes = read_axes(GridState(grid))
+    first = F.col("time") == F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")
+    last, off = first & F.expr("lat = 4 AND lon >= 11"), ~first & F.expr("lat = 0 AND lon < 3")
+    rows = grid.unionByName(grid.where(last)).unionByName(grid.where(off).withColumn("lat", F.lit(7.0))).where("NOT (lat = 1 AND lon = 1)")
+    lost = grid.where(last).withColumns({"time": F.expr("time + interval 5 hours"), "level": F.lit(None).cast("double")})
+    counted = cells_per_time(rows.unionByName(lost), axes, UPPER_KEYS[1:])
+    assert [tuple(r)[1:] for r in counted.orderBy("time").collect()] == [(66, 64), (67, 64), (2, 0)]
+    plan = plan_of(counted)
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+
 def test_slice_prunes_date_folders(spark, state, tmp_path):
     write_state(state, f"{tmp_path}/s")
     sliced = slice_time(read_state(spark, f"{tmp_path}/s").upper, "2000-01-01T01", "2000-01-01T03")
